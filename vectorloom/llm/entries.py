@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_output
+from . import exact_dedup, mixing, packing, quality, token_output, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op6_token_output": token_output.op6_token_output,
+    "op7_quality": quality.op7_quality,
+    "op8_packing": packing.op8_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {"op10_exact_dedup": exact_dedup.SQL}
