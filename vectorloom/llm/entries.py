@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, token_output, toxicity
+from . import exact_dedup, mixing, packing, quality, substring_dedup, token_output, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op6_token_output": token_output.op6_token_output,
     "op7_quality": quality.op7_quality,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {"op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
