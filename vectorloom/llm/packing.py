@@ -109,7 +109,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
         for b in batches:
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             bucket = np.searchsorted(bounds, ids, side="left").astype(np.int32)
-            for i, j, out in encode_chunked(enc, b.column(1).to_pylist()):
+            for i, j, out in encode_chunked(enc, b.column(1)):
                 out = [x + end for x in out]
                 size = pa.array([len(x) // enc.dtype.itemsize for x in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[i:j]), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), size, pa.array(out, pa.binary())], ["bucket", "doc_id", "source", "n", "ids"])

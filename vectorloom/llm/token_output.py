@@ -153,7 +153,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
         for b in batches:
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             shard = np.searchsorted(bounds, ids, side="left").astype(np.int32)
-            for i, j, out in encode_chunked(enc, b.column(1).to_pylist()):
+            for i, j, out in encode_chunked(enc, b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(shard[i:j]), pa.array(ids[i:j]), pa.array([x + end for x in out], pa.binary())], ["shard", "doc_id", "ids"])
 
     def assemble(batches):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,56 +23,142 @@ _RUN = re.compile(r"\s\s")
 _LONG = 64
 
 
+def _byte_signs() -> list[str]:
+    """The printable sign that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs, more = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in signs:
+            signs[b], more = chr(more), more + 1
+    return [signs[b] for b in range(256)]
+
+
+_SIGNS = _byte_signs()
+#: Letters below U+0100 as their UTF-8 bytes' signs.
+_AS_SIGNS = {i: "".join(_SIGNS[b] for b in chr(i).encode()) for i in range(256)}
+
+
+class Remembered:
+    """A bounded memory of pieces in two generations: what is used again outlives what is not."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def fetch(self, pieces: set, learn) -> dict:
+        """Ids of all the pieces, those not known yet by `learn`, which takes a list."""
+        new, old = self.new, self.old
+        if len(new) > self.most:
+            self.new, self.old = {}, new
+            new, old = self.new, self.old
+        unknown = [p for p in pieces if p not in new]
+        if old:
+            again = [p for p in unknown if p in old]
+            new.update((p, old[p]) for p in again)
+            unknown = [p for p in unknown if p not in new]
+        if not unknown:
+            return new
+        got = dict(zip(unknown, learn(unknown)))
+        if max(map(len, unknown)) > _LONG:
+            new.update((p, x) for p, x in got.items() if len(p) <= _LONG)
+            return {p: new[p] if p in new else got[p] for p in pieces}
+        new.update(got)
+        return new
+
+
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian bytes of `dtype` (16 bits where the vocabulary fits)."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # in a text, their strings are text
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
-        self.most, self.first, self.later = most, {}, {}
+        self.model = self.tok.model
+        narrow = self.tok.get_vocab_size(True) <= 1 << 16
+        self.dtype, self.code = np.dtype("<u2" if narrow else "<u4"), "H" if narrow else "I"
+        self.first, self.later = Remembered(most // 5), Remembered(most)
         spec = json.loads(self.tok.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         glued = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         # here the pattern matches words only, and what it does not match is removed
         dropped = [x.get("behavior") == "Removed" and x.get("invert") for x in pre.get("pretokenizers", []) if x["type"] == "Split"]
-        self.kind = "glued" if glued else "dropped" if dropped and all(dropped) else "whole"
+        lower = [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.kind = "glued" if glued else "dropped" if dropped and all(dropped) and lower else "whole"
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _learn(self, known: dict, pieces: set, lead: str) -> dict:
-        """Ids of all of `pieces`; long ones are given back only."""
-        new = [p for p in pieces if p not in known]
-        once = {}
-        for p, ids in zip(new, self._ids([lead + p for p in new])):
-            (known if len(p) <= _LONG else once)[p] = ids
-        return once
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, signs: str) -> bytes:
+        """Merges within one word, given as signs."""
+        return self._bytes([t.id for t in self.model.tokenize(signs)])
+
+    def _glued(self, lead: str):
+        sign, ends, known = _SIGNS[32] if lead else "", {}, (self.later if lead else self.first).new
+
+        def one(p: str) -> bytes | None:
+            """A word of letters below U+0100, maybe with a comma or full stop: the pattern cuts it there and nowhere else."""
+            w, end = (p[:-1], p[-1]) if p[-1:] in (",", ".") else (p, "")
+            ids = known.get(w) if end else None
+            if ids is None:
+                if not w.isalpha():
+                    return None
+                if w.isascii():
+                    signs = w
+                elif max(w) > "\xff":
+                    return None
+                else:
+                    signs = w.translate(_AS_SIGNS)
+                ids = self._word(sign + signs)
+            elif not w.isalpha():
+                return None
+            if not end:
+                return ids
+            if end not in ends:
+                ends[end] = self._word(end)
+            return ids + ends[end]
+
+        return lambda unknown: self._mixed(unknown, one, lead)
+
+    def _mixed(self, unknown: list, one, lead: str = "") -> list[bytes]:
+        out = [one(p) for p in unknown]
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, x in zip(rest, self._ids([lead + (unknown[i] if isinstance(unknown[i], str) else unknown[i].decode()) for i in rest])):
+                out[i] = x
+        return out
+
+    def _dropped(self, unknown: list[bytes]) -> list[bytes]:
+        known = self.later.new
+
+        def one(p: bytes) -> bytes | None:
+            if p[-1] in (44, 46) and p[:-1] in known and p[:-1].decode().isalpha():
+                return known[p[:-1]] + self._word(chr(p[-1]))
+            w, end = p.decode(), ""
+            if w[-1] in ",.":
+                w, end = w[:-1], w[-1]
+            if not w.isalpha() or max(w) > "\xff":
+                return None
+            w = w.lower()
+            return self._word(w if w.isascii() else w.translate(_AS_SIGNS)) + (self._word(end) if end else b"")
+
+        return self._mixed(unknown, one)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._ids(texts)
-        for known in (self.first, self.later):
-            if len(known) > self.most:
-                known.clear()
         if self.kind == "dropped":
             cut = [t.encode().split() for t in texts]
-            pieces = set().union(*cut)
-            new = {p: p.decode() for p in pieces if p not in self.later}
-            once = {}
-            for p, ids in zip(new, self._ids(list(new.values()))):
-                (self.later if len(p) <= _LONG else once)[p] = ids
-            get = self.later.__getitem__ if not once else lambda p: once[p] if p in once else self.later[p]
+            get = self.later.fetch(set().union(*cut), self._dropped).__getitem__
             return [b"".join(map(get, c)) for c in cut]
         cut = [_GLUE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        once = self._learn(self.first, {c[0] for c in cut}, "")
-        heads = [once[c[0]] if c[0] in once else self.first[c[0]] for c in cut]
+        head = self.first.fetch({c[0] for c in cut}, self._glued(""))
+        heads = [head[c[0]] for c in cut]
         rest = [c[1:] for c in cut]
-        once = self._learn(self.later, set().union(*rest), " ")
-        get = self.later.__getitem__ if not once else lambda p: once[p] if p in once else self.later[p]
+        get = self.later.fetch(set().union(*rest), self._glued(" ")).__getitem__
         return [h + b"".join(map(get, r)) for h, r in zip(heads, rest)]
 
 
@@ -81,12 +168,12 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode_chunked(enc: PieceEncoder, texts: list, most: int = 2_000_000):
-    """Encode in chunks of about `most` characters; null texts count as empty. Yields (first, last + 1, ids)."""
+def encode_chunked(enc: PieceEncoder, texts, most: int = 500_000):
+    """Encode an Arrow column in chunks of about `most` characters; null texts count as empty. Yields (first, last + 1, ids)."""
     start = total = 0
     chunk: list[str] = []
     for i, t in enumerate(texts):
-        t = t or ""
+        t = t.as_py() or ""
         if chunk and total + len(t) > most:
             yield start, i, enc.encode(chunk)
             start, total, chunk = i, 0, []
