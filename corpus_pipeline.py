@@ -1,10 +1,59 @@
-"""A corpus pipeline."""
-STAGES = []
+"""A corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the shared
+folder and hands what it reads back to the next stage. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from vectorloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from vectorloom.llm.common import documents, materialise
+
+VOCABULARY, END_ID = "word_bpe_49k.json", 1
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled documents among its input, outside the held-out third."""
+    return toxicity.keep(docs, toxicity.learned(spark, docs, sf_dir))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
+    return exact_dedup.keep(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (shingles of five words, similarity 0.8) one document stays."""
+    return near_dedup.keep(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights: a row for each copy, and a source's last, partial copy as its first words."""
+    return mixing.mixture(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as pieces of full windows, with their ids."""
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), END_ID)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models and tokenizers are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

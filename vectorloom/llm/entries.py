@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, substring_dedup, token_output, toxicity
+from . import exact_dedup, learned_ann, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_learned_ann": learned_ann.op4_learned_ann,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_token_output": token_output.op6_token_output,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
 from .common import documents
@@ -234,15 +235,21 @@ def train(docs: DataFrame, y: DataFrame, most: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The input's columns and `toxicity`; null texts count as empty, repeated rows are scored each."""
+    """The input's columns and `toxicity`; null texts count as empty, repeated rows are scored each. Texts are in column `text`."""
     at = docs.columns.index("text")
 
     def work(batches):
         for b in batches:
-            s = [model.score(b.column(at).slice(i, 500).to_pylist()) for i in range(0, b.num_rows, 500)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(s) if s else np.zeros(0))], [*b.schema.names, "toxicity"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at).to_pylist()), pa.float64())], [*part.schema.names, "toxicity"])
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
 
-    return docs.mapInArrow(work, docs.schema.add("toxicity", "double"))
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents scored below the threshold, with all their columns."""
+    return score(docs, model).where(F.col("toxicity") < threshold).select(docs.columns)
 
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -254,12 +261,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents. Rows without an id count as the id of empty text; other columns are not read."""
     docs = documents(spark, sf_dir)
     model = learned(spark, docs, sf_dir)
-
-    def work(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1).to_pylist()))], ["doc_id", "score"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double")
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).withColumnRenamed("toxicity", "score")
     return out.select("doc_id", (labelled.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
