@@ -23,10 +23,14 @@ from .common import NO_ID, documents, mix64, new_path
 from .tokens import encode_chunked, encoder
 
 #: Characters of text in a shard, about; and bytes of ids in a block, at most (a longer document has a block of its own).
-SHARD_CHARS, BLOCK_BYTES = 16_000_000, 1_000_000
+SHARD_CHARS, BLOCK_BYTES = 16_000_000, 250_000
 _LEVELS = 40
 
 
+#: The writer looks at its buffers after a few rows, as rows are large.
+_WIDE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4}
+
+
 def key_hashes(ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
     """Keys are doc_ids and, for repeated ones, their number in the order of the file."""
     return mix64(ids.astype(np.int64).view(np.uint64) ^ mix64(nth.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
@@ -176,7 +180,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
 
     encoded = slim.mapInArrow(encode, "shard int, doc_id long, ids binary")
     dealt = encoded.repartition(n_shards, "shard").sortWithinPartitions("shard", "doc_id", F.length("ids"), "ids")
-    dealt.mapInArrow(assemble, _BLOCK).write.option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
+    dealt.mapInArrow(assemble, _BLOCK).write.options(**_WIDE_ROWS).parquet(f"{path}/blocks")
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs"))
     # a row for each shard: some thousand rows for each terabyte

@@ -1,7 +1,7 @@
 """Token ids of whole texts, with an encoder that remembers the ids of pieces it has seen.
 
 Both kinds of vocabulary that are remembered cut a text into pieces before any merge, and no piece crosses
-certain white space: a byte-level vocabulary glues a single space to what follows it, a word vocabulary drops
+certain white space: a byte-level vocabulary glues a single space to what follows it and takes a line end by itself, a word vocabulary drops
 white space. A text is cut at just these places, each distinct piece goes through the tokenizer once, and the
 ids are joined, which equals the tokenizer's own result. Other vocabularies encode whole texts.
 """
@@ -21,6 +21,8 @@ _GLUE = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
 #: Longer pieces are not remembered.
 _LONG = 64
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_ASCII_WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 def _byte_signs() -> list[str]:
@@ -45,7 +47,7 @@ class Remembered:
         self.most, self.new, self.old = most, {}, {}
 
     def fetch(self, pieces: set, learn) -> dict:
-        """Ids of all the pieces, those not known yet by `learn`, which takes a list."""
+        """Ids of all the pieces, those not known yet by `learn`, which takes a list and what is known."""
         new, old = self.new, self.old
         if len(new) > self.most:
             self.new, self.old = {}, new
@@ -57,7 +59,7 @@ class Remembered:
             unknown = [p for p in unknown if p not in new]
         if not unknown:
             return new
-        got = dict(zip(unknown, learn(unknown)))
+        got = dict(zip(unknown, learn(unknown, new)))
         if max(map(len, unknown)) > _LONG:
             new.update((p, x) for p, x in got.items() if len(p) <= _LONG)
             return {p: new[p] if p in new else got[p] for p in pieces}
@@ -68,7 +70,7 @@ class Remembered:
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian bytes of `dtype` (16 bits where the vocabulary fits)."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,13 +79,14 @@ class PieceEncoder:
         self.model = self.tok.model
         narrow = self.tok.get_vocab_size(True) <= 1 << 16
         self.dtype, self.code = np.dtype("<u2" if narrow else "<u4"), "H" if narrow else "I"
-        self.first, self.later = Remembered(most // 5), Remembered(most)
+        self.first, self.later = Remembered(most // 4), Remembered(most)
         spec = json.loads(self.tok.to_str())
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         glued = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         # here the pattern matches words only, and what it does not match is removed
         dropped = [x.get("behavior") == "Removed" and x.get("invert") for x in pre.get("pretokenizers", []) if x["type"] == "Split"]
         lower = [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.line = self._ids(["\n"])[0]  # a line end between two signs is a piece by itself
         self.kind = "glued" if glued else "dropped" if dropped and all(dropped) and lower else "whole"
 
     def _bytes(self, ids) -> bytes:
@@ -92,74 +95,49 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, signs: str) -> bytes:
-        """Merges within one word, given as signs."""
-        return self._bytes([t.id for t in self.model.tokenize(signs)])
-
-    def _glued(self, lead: str):
-        sign, ends, known = _SIGNS[32] if lead else "", {}, (self.later if lead else self.first).new
-
-        def one(p: str) -> bytes | None:
-            """A word of letters below U+0100, maybe with a comma or full stop: the pattern cuts it there and nowhere else."""
+    def _learn(self, unknown: list, known: dict, lead: str) -> list[bytes]:
+        """Ids of pieces. A word of letters below U+0100, maybe with a comma or full stop, takes its merges directly: the pattern cuts it there and nowhere else."""
+        sign, lower = _SIGNS[32] if lead else "", self.kind == "dropped"
+        tokenize, code, out, rest = self.model.tokenize, self.code, [], []
+        ends = {c: array(code, [t.id for t in tokenize(c)]).tobytes() for c in ",."}
+        for p in unknown:
             w, end = (p[:-1], p[-1]) if p[-1:] in (",", ".") else (p, "")
+            if w.isascii():
+                if not w.isalpha():
+                    rest.append(len(out))
+                    out.append(b"")
+                    continue
+                signs = w.lower() if lower else w
+            elif w.isalpha() and max(w) <= "\xff":
+                signs = (w.lower() if lower else w).translate(_AS_SIGNS)
+            else:
+                rest.append(len(out))
+                out.append(b"")
+                continue
             ids = known.get(w) if end else None
             if ids is None:
-                if not w.isalpha():
-                    return None
-                if w.isascii():
-                    signs = w
-                elif max(w) > "\xff":
-                    return None
-                else:
-                    signs = w.translate(_AS_SIGNS)
-                ids = self._word(sign + signs)
-            elif not w.isalpha():
-                return None
-            if not end:
-                return ids
-            if end not in ends:
-                ends[end] = self._word(end)
-            return ids + ends[end]
-
-        return lambda unknown: self._mixed(unknown, one, lead)
-
-    def _mixed(self, unknown: list, one, lead: str = "") -> list[bytes]:
-        out = [one(p) for p in unknown]
-        rest = [i for i, x in enumerate(out) if x is None]
+                ids = array(code, [t.id for t in tokenize(sign + signs)]).tobytes()
+                if end:
+                    known[w] = ids  # most words come with and without
+            out.append(ids + ends[end] if end else ids)
         if rest:
-            for i, x in zip(rest, self._ids([lead + (unknown[i] if isinstance(unknown[i], str) else unknown[i].decode()) for i in rest])):
+            for i, x in zip(rest, self._ids([lead + unknown[i] for i in rest])):
                 out[i] = x
         return out
 
-    def _dropped(self, unknown: list[bytes]) -> list[bytes]:
-        known = self.later.new
-
-        def one(p: bytes) -> bytes | None:
-            if p[-1] in (44, 46) and p[:-1] in known and p[:-1].decode().isalpha():
-                return known[p[:-1]] + self._word(chr(p[-1]))
-            w, end = p.decode(), ""
-            if w[-1] in ",.":
-                w, end = w[:-1], w[-1]
-            if not w.isalpha() or max(w) > "\xff":
-                return None
-            w = w.lower()
-            return self._word(w if w.isascii() else w.translate(_AS_SIGNS)) + (self._word(end) if end else b"")
-
-        return self._mixed(unknown, one)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._ids(texts)
         if self.kind == "dropped":
-            cut = [t.encode().split() for t in texts]
-            get = self.later.fetch(set().union(*cut), self._dropped).__getitem__
+            # four control signs are white space to Python alone
+            cut = [_ASCII_WHITE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+            pieces = set().union(*cut)
+            get = self.later.fetch(pieces, lambda new, known: self._learn(new, known, "")).__getitem__
             return [b"".join(map(get, c)) for c in cut]
-        cut = [_GLUE.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        head = self.first.fetch({c[0] for c in cut}, self._glued(""))
-        heads = [head[c[0]] for c in cut]
-        rest = [c[1:] for c in cut]
-        get = self.later.fetch(set().union(*rest), self._glued(" ")).__getitem__
-        return [h + b"".join(map(get, r)) for h, r in zip(heads, rest)]
+        cut = [[_GLUE.split(t)] if _RUN.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        head = self.first.fetch({x[0] for c in cut for x in c}, lambda new, known: self._learn(new, known, "")).__getitem__
+        get = self.later.fetch(set().union(*(x[1:] for c in cut for x in c)), lambda new, known: self._learn(new, known, " ")).__getitem__
+        return [self.line.join([head(x[0]) + b"".join(map(get, x[1:])) for x in c]) for c in cut]
 
 
 @lru_cache(maxsize=4)
@@ -168,7 +146,7 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encode_chunked(enc: PieceEncoder, texts, most: int = 500_000):
+def encode_chunked(enc: PieceEncoder, texts, most: int = 300_000):
     """Encode an Arrow column in chunks of about `most` characters; null texts count as empty. Yields (first, last + 1, ids)."""
     start = total = 0
     chunk: list[str] = []
