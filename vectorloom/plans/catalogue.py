@@ -185,10 +185,10 @@ def theta_f1(spark, sf):
 y AS (SELECT query_id, grouping(query_id) AS g, count(*) FILTER (pred AND pos) AS tp, count(*) FILTER (pred AND neg) AS fp, count(*) FILTER (NOT pred AND pos) AS fn, count(*) FILTER (pred) AS n, count(*) FILTER (cross_) AS crossings
   FROM x GROUP BY GROUPING SETS ((query_id), ())),
 z AS (SELECT *, CASE WHEN g = 1 THEN tp / greatest(tp + fp, 1) ELSE tp / greatest(n, 1) END AS p, tp / greatest(tp + fn, 1) AS rr FROM y)
-SELECT query_id, tp, fp, fn, crossings, round(p, 6) AS precision, round(rr, 6) AS recall, round(2 * p * rr / greatest(p + rr, 1e-12), 6) AS f1 FROM z""")
+SELECT coalesce(query_id, -1) AS query_id, tp, fp, fn, crossings, round(p, 6) AS precision, round(rr, 6) AS recall, round(2 * p * rr / greatest(p + rr, 1e-12), 6) AS f1 FROM z""")
 def threshold_confusion(spark, sf):
     q, d = vecs(spark, sf)
-    return H.confusion(X.all_scores(clients(q), d), X.all_scores(q, d), THETA, TAU, GUARD)
+    return H.confusion(X.all_scores(clients(q), d), X.all_scores(q, d), THETA, TAU, GUARD).withColumn("query_id", F.coalesce("query_id", F.lit(-1).cast("long")))
 
 
 @query("threshold_diagnostic", BASE + """, k AS (SELECT query_id, max(score) FILTER (rank = 10) AS kth, max(score) FILTER (rank = 1) AS top FROM r GROUP BY 1)
