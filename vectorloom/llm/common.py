@@ -73,7 +73,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words (bytes), remembered up to a bound, so that the memory stays bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         from xxhash import xxh3_64_intdigest
 
         self.most, self.known, self.digest = most, {}, xxh3_64_intdigest
