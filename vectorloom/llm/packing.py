@@ -72,21 +72,22 @@ def chunk_plan(c: int, n_chunks: int, lengths: tuple[int, ...], window: int) ->
 def pieces(start: int, stop: int, queue: int, n_chunks: int, lengths: tuple[int, ...], window: int, stride: int):
     """Cut tokens start..stop of a queue: (first, last + 1, sequence, offset)."""
     t = lengths[queue]
-    while start < stop:
+    while start < stop:  # chunk by chunk
         c = start * n_chunks // t
         while t * (c + 1) // n_chunks <= start:
             c += 1
         low = t * c // n_chunks
         before, at = chunk_plan(c, n_chunks, lengths, window)
-        column = before[:, queue]
+        column, offsets = before[:, queue], at[:, queue]
         end = min(stop, t * (c + 1) // n_chunks)
         j = int(np.searchsorted(column, start - low, side="right")) - 1
-        while start < end:
-            to = min(end, low + int(column[j + 1]))
-            if to > start:
-                yield start, to, c * stride + j, int(at[j, queue]) + start - low - int(column[j])
-                start = to
-            j += 1
+        last = int(np.searchsorted(column, end - low, side="left"))
+        edges = column[j : last + 1].tolist()
+        for k, (x, y, o) in enumerate(zip(edges[:-1], edges[1:], offsets[j:last].tolist())):
+            x, y = low + x, min(end, low + y)
+            if y > start:
+                yield start, y, c * stride + j + k, o + start - x
+                start = y
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, chunk: int = CHUNK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -136,16 +137,16 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
         for b in batches:
             doc_id, source, size, at, ids = (b.column(k) for k in range(5))
             for lo in range(0, b.num_rows, 200):
-                rows: list[tuple] = []
-                for i in range(lo, min(lo + 200, b.num_rows)):
-                    d, s, n_, a = doc_id[i].as_py(), source[i].as_py(), size[i].as_py(), at[i].as_py()
-                    data = memoryview(ids[i].as_buffer())
+                out: tuple = tuple([] for _ in names)
+                add = [x.append for x in out]
+                for d, s, n_, a, raw in zip(*(c.slice(lo, 200).to_pylist() for c in (doc_id, source, size, at, ids))):
+                    wide = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
                     for x, y, seq, off in pieces(a, a + n_, number[s], n_chunks, lengths, window, stride):
-                        part = data[(x - a) * width : (y - a) * width]
-                        crc = zlib.crc32(np.frombuffer(part, f"<u{width}").astype("<u4").tobytes())
-                        rows.append((d, s, x - a, y - x, n_, seq, off, crc, bytes(part)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        x, y = x - a, y - a
+                        for put, v in zip(add, (d, s, x, y - x, n_, seq, off, zlib.crc32(wide[4 * x : 4 * y]), raw[x * width : y * width])):
+                            put(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"]
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]

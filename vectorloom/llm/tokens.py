@@ -70,7 +70,7 @@ class Remembered:
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian bytes of `dtype` (16 bits where the vocabulary fits)."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
