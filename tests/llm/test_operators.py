@@ -168,6 +168,18 @@ def test_near_dedup(spark, docs, none, local, pivots):
         assert [i for i in ids if i in (4, 5, 13, None)] == [] and {1, 6, 7, 16} <= set(ids)
 
 
+def test_rounds_judge_links_between_what_two_pivots_reached(spark):
+    """A chain, in which only neighbours are linked, is one component, wherever the first pivots stand; a shorter one beside it is another."""
+    w, v = words(10, 200, 10**6), words(11, 90, 10**6)
+    order = [2, 0, 3, 4, 1, 5]  # the first pivots are the second and the fifth: each reaches its neighbours, and the link between those is left
+    chains = [(order[i], " ".join(w[4 * i : 4 * i + 43])) for i in range(6)] + [(6 + i, " ".join(v[4 * i : 4 * i + 43])) for i in range(3)]
+    members = spark.createDataFrame([(b"c", bytes([i]), t) for i, t in chains], "cluster binary, sig binary, text string")
+    heads = {r["sig"][0]: bytes(r["head"]) for r in near_dedup._rounds(members.where("sig < X'06'"), 4, 80, 2).collect()}
+    assert len(heads) == 6 and len(set(heads.values())) == 1
+    heads = {r["sig"][0]: bytes(r["head"]) for r in near_dedup._rounds(members, 4, 80, 2).collect()}
+    assert len(heads) == 9 and len({heads[i] for i in range(6)}) == 1 and len({heads[6 + i] for i in range(3)}) == 1 and heads[0] != heads[6]
+
+
 def test_sketch_estimate_is_near():
     a, b = np.arange(1, 4001, dtype=np.uint64), np.arange(401, 4401, dtype=np.uint64)
     from vectorloom.llm.common import mix64

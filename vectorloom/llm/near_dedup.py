@@ -194,10 +194,11 @@ def _clusters(size: int, percent: int):
 
 
 def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFrame:
-    """(sig, head) of large clusters: in each round some members are compared with all that are not yet reached, in blocks on all executors.
+    """(sig, head) of large clusters: in each round some members are compared with all that have not had their turn, in blocks on all executors.
 
-    Next come members that have been reached and not compared yet, so that a component is exhausted before
-    another begins; only the pivots of a round, at most `pivots` sets for each cluster, are broadcast.
+    A member that had its turn was compared with all others but those of its own component, so a cluster is
+    resolved once what has not had its turn is of one component. Members of the components with the fewest such
+    members come first; only the pivots of a round, at most `pivots` sets for each cluster, are broadcast.
     """
     spark = members.sparkSession
 
@@ -207,48 +208,44 @@ def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["cluster", "sig", "set"])
 
     sets = materialise(members.mapInArrow(to_sets, "cluster binary, sig binary, set binary").dropDuplicates(["sig"]), "near-sets")
-    # state: head null = not reached; done = compared with all others
-    state = materialise(sets.select("cluster", "sig", F.lit(None).cast("binary").alias("head"), F.lit(False).alias("done")), "near-state")
+    # state: head = the component as known so far; done = had its turn
+    state = materialise(sets.select("cluster", "sig", F.col("sig").alias("head"), F.lit(False).alias("done")), "near-state")
     from pyspark.sql import Window as W
 
     while True:
-        open_ = state.groupBy("cluster").agg(F.count(F.when(F.col("head").isNull(), 1)).alias("free")).where("free > 0").select("cluster")
-        rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("head").isNull(), "sig"))
-        chosen = state.join(open_, "cluster", "left_semi").where("not done").withColumn("rank", rank).where(F.col("rank") <= pivots)
-        picks = chosen.join(sets.select("sig", "set"), "sig").select("cluster", "sig", "set", "head").collect()  # at most `pivots` for each large cluster
+        todo = state.where("not done")
+        free = todo.groupBy("cluster", "head").agg(F.count("*").alias("free"))
+        open_ = free.groupBy("cluster").agg(F.count("*").alias("heads")).where("heads > 1").select("cluster")
+        todo = todo.join(open_, "cluster", "left_semi")
+        rank = F.row_number().over(W.partitionBy("cluster").orderBy("free", "sig"))
+        chosen = todo.join(free, ["cluster", "head"]).withColumn("rank", rank).where(F.col("rank") <= pivots)
+        picks = chosen.select("sig", "head").join(sets, "sig").select("cluster", "sig", "set", "head").collect()  # at most `pivots` for each large cluster
         if not picks:
             break
         by: dict[bytes, list] = {}
         for r in picks:
-            by.setdefault(bytes(r["cluster"]), []).append((bytes(r["sig"]), np.frombuffer(r["set"], np.uint64)))
+            by.setdefault(bytes(r["cluster"]), []).append((bytes(r["head"]), np.frombuffer(r["set"], np.uint64)))
         shared = spark.sparkContext.broadcast(by)
 
         def compare(batches):
             for b in batches:
-                a, p = [], []
-                for cluster, sig, raw in zip(*(b.column(k) for k in range(3))):
-                    s, me = np.frombuffer(raw.as_py(), np.uint64), sig.as_py()
-                    for q, t in shared.value.get(cluster.as_py(), ()):
-                        if q != me and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                links = set()
+                for cluster, head, raw in zip(*(b.column(k) for k in range(3))):
+                    s, own = np.frombuffer(raw.as_py(), np.uint64), head.as_py()
+                    for other, t in shared.value.get(cluster.as_py(), ()):
+                        if other != own and (own, other) not in links and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
                             n = len(np.intersect1d(s, t, assume_unique=True))
                             if 100 * n >= percent * (len(s) + len(t) - n):
-                                a.append(me), p.append(q)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(p, pa.binary())], ["a", "b"])
-
-        pick_ids = spark.createDataFrame([(r["sig"],) for r in picks], "sig binary")
-        asked = state.where("head is null").select("sig").unionByName(pick_ids).distinct()
-        links = materialise(sets.join(asked, "sig", "left_semi").select("cluster", "sig", "set").mapInArrow(compare, "a binary, b binary"), "near-links")
-        # heads of the pivots are nodes too: they carry what was reached before
-        heads = state.where("head is not null").select(F.col("sig").alias("a"), F.col("head").alias("b")).join(pick_ids.select(F.col("sig").alias("a")), "a", "left_semi")
-        cc = components(links.unionByName(heads))
-        now = state.join(cc, state["sig"] == cc["node"], "left").join(pick_ids.withColumn("picked", F.lit(True)), "sig", "left")
-        # what was reached by way of an older head follows it
-        moved = cc.select(F.col("node").alias("old"), F.col("label").alias("new"))
-        now = now.join(moved, now["head"] == moved["old"], "left")
-        head = F.coalesce("label", "new", "head", F.when(F.col("picked"), F.col("sig")))
-        state = materialise(now.select("cluster", "sig", head.alias("head"), (F.col("done") | F.coalesce("picked", F.lit(False))).alias("done")), "near-state")
+                                links.add((own, other))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
+
+        rows = sets.select("sig", "set").join(todo, "sig").select("cluster", "head", "set")
+        cc = components(rows.mapInArrow(compare, "a binary, b binary"))
+        picked = spark.createDataFrame([(r["sig"], True) for r in picks], "sig binary, picked boolean")
+        now = state.join(cc, state["head"] == cc["node"], "left").join(F.broadcast(picked), "sig", "left")
+        state = materialise(now.select("cluster", "sig", F.coalesce("label", "head").alias("head"), (F.col("done") | F.coalesce("picked", F.lit(False))).alias("done")), "near-state")
         shared.unpersist()
-    return state.select("sig", F.coalesce("head", "sig").alias("head"))
+    return state.select("sig", "head")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, local: int = LOCAL, pivots: int = PIVOTS) -> DataFrame:
