@@ -337,6 +337,26 @@ def test_toxicity_finds_held_out_insults(spark, none):
     assert toxicity.score(none, toxicity.train(none, y.where("false"))).count() == 0
 
 
+def test_toxicity_learns_rare_insults(spark):
+    """Insults of three to a dozen toxic training documents each, never seen in a clean one."""
+    rng, rows, insults = np.random.default_rng(12), [], [f"slur{chr(97 + k)}" for k in range(20)]
+    for i in range(600):
+        w = words(700 + i, 60, 500)
+        if i % 10 == 0:
+            for p, k in zip(rng.choice(60, 3, replace=False), rng.choice(20, 3, replace=False)):
+                w[p] = insults[k]
+        rows.append((i, " ".join(w)))
+    docs_ = frame(spark, rows)
+    y = labelled.training_labels(spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int"), "toxic", 3, lambda r: r == 1)
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    seen = collections.Counter(w for i, t in rows if i not in held for w in set(t.split()) & set(insults))
+    model = toxicity.train(docs_, y)
+    assert {w.encode() for w, n in seen.items() if n >= 3} <= set(model.lexicon)
+    s = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs_, model).collect()}
+    toxic = [i for i in held if i % 10 == 0]
+    assert sum(s[i] >= 0.7 for i in toxic) >= 0.9 * len(toxic) and sum(s[i] >= 0.7 for i in held if i % 10) <= 0.02 * len(held)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     m = rng.normal(size=300)

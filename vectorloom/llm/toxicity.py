@@ -20,8 +20,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import labelled
 from .common import documents
 
-#: Rows of the fitting sample and words of the lexicon at most; a lexicon word's least log ratio, z value and toxic documents.
-SAMPLE, LEXICON, LEAST_RATIO, LEAST_Z, LEAST_DOCS = 20_000, 5_000, 2.0, 3.5, 3
+#: Rows of the fitting sample at most; a lexicon word's least log ratio, z value (a word in 3 toxic and no other documents has 2.6 at a tenth of toxic ones) and toxic documents.
+SAMPLE, LEAST_RATIO, LEAST_Z, LEAST_DOCS = 20_000, 2.0, 2.0, 3
 THRESHOLD = 0.7
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 5
@@ -82,7 +82,7 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     ]
 
 
-def lexicon_of(rows: DataFrame, most: int = LEXICON) -> dict[bytes, float]:
+def lexicon_of(rows: DataFrame) -> dict[bytes, float]:
     """Words and their log ratios, from the document counts of all rows (text, y)."""
 
     def work(batches):
@@ -114,7 +114,7 @@ def lexicon_of(rows: DataFrame, most: int = LEXICON) -> dict[bytes, float]:
     ratio = F.log((F.col("n1") + 0.5) / (F.col("all1") + 1)) - F.log((F.col("n0") + 0.5) / (F.col("all0") + 1))
     scored = counts.where("w != X''").crossJoin(total).withColumn("ratio", ratio)
     scored = scored.withColumn("z", F.col("ratio") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
-    best = scored.where((F.col("ratio") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "w").limit(most)
+    best = scored.where((F.col("ratio") >= LEAST_RATIO) & (F.col("z") >= LEAST_Z))
     return {bytes(r["w"]): float(r["ratio"]) for r in best.select("w", "ratio").collect()}
 
 
