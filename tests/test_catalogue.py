@@ -42,3 +42,9 @@ def test_query_equals_its_sql(spark, duck, name):
     order = [[d[0] for d in want.description].index(c) for c in cols]
     rows = sorted([tuple(plain(r[i]) for i in order) for r in want.fetchall()], key=repr)
     assert sorted([tuple(plain(r[c]) for c in cols) for r in got.collect()], key=repr) == rows
+
+
+def test_common_prefix_reads_all_turns(spark, tmp_path):
+    rows = [(c, t, r, "x") for c in range(3) for t, r in enumerate(("system", "user", "assistant", "user", ("tool", "user", "user")[c]))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["common"] for r in __spark_entry__.queries()["common_prefix"](spark, str(tmp_path)).collect()] == [4]

@@ -540,7 +540,7 @@ def clean_lines(spark, sf):
 p AS (SELECT turn, count(DISTINCT role) AS kinds, count(*) AS have FROM conversations WHERE turn <= 1 GROUP BY 1)
 SELECT coalesce(min(CASE WHEN kinds > 1 OR have < streams THEN turn END), max(turn) + 1, 0)::BIGINT AS common FROM p, n""")
 def common_prefix(spark, sf):
-    return P.common_prefix(table(spark, sf, "conversations").where("turn <= 1"), "conv_id", "turn", "role")
+    return P.common_prefix(table(spark, sf, "conversations"), "conv_id", "turn", "role")
 
 
 TASKS = {"src0": "Given a claim, retrieve documents that support it", "src1": "Given a question, retrieve passages that answer it"}
