@@ -317,6 +317,32 @@ def test_every_window_has_the_queues_shares():
         assert np.abs(np.diff(full, axis=0) - share).max() < 3 and np.abs(full - share * np.arange(len(full))[:, None]).max() < 3
 
 
+def test_packing_to_targets(spark):
+    """Windows hold the targets' shares until a source is dry, and nothing is lost."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, " ".join(words(1200 + i, 150)), "abcd"[min(3, i // 10)]) for i in range(36)]
+    docs = frame(spark, rows).repartition(3)
+    plain = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bucket_bytes=4000).collect()
+    got = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bucket_bytes=4000, targets={"a": 6, "b": 3, "c": 1}).collect()
+    tokens = lambda rows_: sorted((r["doc_id"], x) for r in rows_ for x in range(r["start"], r["start"] + r["length"]))
+    assert tokens(got) == tokens(plain)
+    seq = collections.defaultdict(collections.Counter)
+    for r in got:
+        seq[r["sequence_id"]][r["source"]] += r["length"]
+    spans = collections.defaultdict(list)
+    for r in got:
+        spans[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    for v in spans.values():
+        v.sort()
+        assert v[0][0] == 0 and all(x[1] == y[0] for x, y in zip(v, v[1:])) and v[-1][1] & (v[-1][1] - 1) == 0
+    order = sorted(seq)
+    dry = max(i for i, k in enumerate(order) if seq[k]["a"])
+    first = [seq[k] for k in order[: dry + 1] if sum(seq[k].values()) == 64]
+    assert len(first) > 20 and all(abs(c["a"] - 38.4) < 3 and abs(c["b"] - 19.2) < 3 and abs(c["c"] - 6.4) < 3 and not c["d"] for c in first)
+    then = [seq[k] for k in order[dry + 1 : max(i for i, k in enumerate(order) if seq[k]["b"]) + 1] if sum(seq[k].values()) == 64]
+    assert then and all(abs(c["b"] - 48) < 3 and abs(c["c"] - 16) < 3 and not c["d"] for c in then)
+    assert packing.phases((10, 10, 0), [1, 1, 5]) == [(10, 10, 0)] and packing.phases((4, 9), [0, 0]) == [(4, 9)] and packing.phases((), []) == []
+
 
 def test_toxicity_finds_held_out_insults(spark, none):
     rng, rows = np.random.default_rng(9), []

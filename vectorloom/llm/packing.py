@@ -7,11 +7,15 @@ queue earns its share of the window, gives the whole tokens that it has earned,
 next window. Which tokens a window holds follows from the queues' lengths alone, so every document can be cut
 into its pieces by itself. What a chunk has left after its full windows goes into sequences whose lengths are
 powers of two, so that no sequence needs padding.
+
+Without targets the queues have their natural shares of every window. With targets they are dealt in phases:
+the shares of a phase are those of the targets among the queues that are not dry, until the next one is dry.
 """
 
 from __future__ import annotations
 
 import zlib
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +52,22 @@ def _deal(size: int, earned: np.ndarray, left: np.ndarray) -> np.ndarray:
     return take
 
 
+def phases(lengths: tuple[int, ...], weights: list) -> list[tuple[int, ...]]:
+    """Tokens that each queue gives in each phase; queues without a weight come after all others, by their lengths."""
+    left, w, out = list(lengths), [Fraction(x or 0) for x in weights], []
+    while any(left):
+        live = [i for i, n in enumerate(left) if n and w[i] > 0]
+        if not live:
+            out.append(tuple(left))
+            break
+        end = min(left[i] / w[i] for i in live)  # exact: weights are fractions
+        # what would leave less than a token is dry too
+        give = [0 if i not in live else n if n - end * w[i] < 1 else int(end * w[i]) for i, n in enumerate(left)]
+        out.append(tuple(give))
+        left = [n - g for n, g in zip(left, give)]
+    return out
+
+
 @lru_cache(maxsize=16)
 def chunk_plan(c: int, n_chunks: int, lengths: tuple[int, ...], window: int) -> tuple[np.ndarray, np.ndarray]:
     """For chunk c: tokens of each queue before each of its sequences (one row more than sequences), and where each queue's tokens start in it."""
@@ -90,12 +110,28 @@ def pieces(start: int, stop: int, queue: int, n_chunks: int, lengths: tuple[int,
                 start = y
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, chunk: int = CHUNK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def phased(start: int, stop: int, queue: int, plan: list, window: int, stride: int):
+    """`pieces` over all phases, each (lengths, n_chunks)."""
+    base = chunks = 0
+    for lengths, n_chunks in plan:
+        lo, hi = max(start, base), min(stop, base + lengths[queue])
+        if lo < hi:
+            for x, y, seq, off in pieces(lo - base, hi - base, queue, n_chunks, lengths, window, stride):
+                yield base + x, base + y, chunks * stride + seq, off
+        base += lengths[queue]
+        chunks += n_chunks
+        if base >= stop:
+            break
+
+
+def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, chunk: int = CHUNK, bucket_bytes: int = BUCKET_BYTES, targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids (binary, little-endian of 16 or 32 bits).
 
     A document is its text's ids and end_id; null and empty texts are the end id alone. A null source is a
     queue of its own, null doc_ids come last in their queue, repeated rows are documents of their own. Other
-    columns are not read. An empty table gives an empty result. The lengths of the queues, one number for each
+    columns are not read. An empty table gives an empty result. `targets` are weights of sources, in tokens
+    (without them: the natural shares); no token is left out, so once a source is dry the others go on by
+    their weights, and sources without a weight come last. The lengths of the queues, one number for each
     source, are the only data that pass through the driver.
     """
     spark = docs.sparkSession
@@ -120,9 +156,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
     queues = sorted(parts.groupBy("source").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     number = {r["source"]: i for i, r in enumerate(queues)}
     lengths = tuple(int(r["n"]) for r in queues)
-    total = sum(lengths)
-    n_chunks = max(1, round(total / (chunk * window)))
-    stride = (total // n_chunks + len(lengths) + 1) // window + window.bit_length() + 1
+    amounts = [lengths] if targets is None else phases(lengths, [targets.get(r["source"], 0) for r in queues])
+    plan = [(x, max(1, round(sum(x) / (chunk * window)))) for x in amounts]
+    stride = max(((sum(x) // k + len(x) + 1) // window + window.bit_length() + 1 for x, k in plan), default=1)
     # a row for each bucket and source
     bases = parts.select(
         F.col("bucket").alias("b"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base")
@@ -141,7 +177,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
                 add = [x.append for x in out]
                 for d, s, n_, a, raw in zip(*(c.slice(lo, 200).to_pylist() for c in (doc_id, source, size, at, ids))):
                     wide = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-                    for x, y, seq, off in pieces(a, a + n_, number[s], n_chunks, lengths, window, stride):
+                    for x, y, seq, off in phased(a, a + n_, number[s], plan, window, stride):
                         x, y = x - a, y - a
                         for put, v in zip(add, (d, s, x, y - x, n_, seq, off, zlib.crc32(wide[4 * x : 4 * y]), raw[x * width : y * width])):
                             put(v)
