@@ -48,3 +48,13 @@ def test_common_prefix_reads_all_turns(spark, tmp_path):
     rows = [(c, t, r, "x") for c in range(3) for t, r in enumerate(("system", "user", "assistant", "user", ("tool", "user", "user")[c]))]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r["common"] for r in __spark_entry__.queries()["common_prefix"](spark, str(tmp_path)).collect()] == [4]
+
+
+def test_kquant_quantises_every_vector(spark, tmp_path):
+    """Ids 0 to 9 without 5, one of them twice, one null, one vector of 32: no block is dropped."""
+    ids = [0, 1, 2, 3, 4, 6, 7, 8, 8, 9, 0, None]
+    rows = [(i, [((7 * k + 3 * j) % 11 - 5) / 10 for j in range(32 if i == 9 else 64)], 0) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = __spark_entry__.queries()["kquant_rtn"](spark, str(tmp_path)).collect()
+    assert sorted(r["block"] for r in got if r["block"] is not None) == [0, 0, 1, 2] and sum(r["block"] is None for r in got) == 1
+    assert all(r["bytes"] == 84 and 0 <= r["max_err"] < 0.4 for r in got)

@@ -73,15 +73,15 @@ def bits_per_weight(bits: int) -> float:
 
 
 def quantise_blocks(blocks: DataFrame, bits: int) -> DataFrame:
-    """(block, packed, mse, largest error) of (block, w: 256 doubles)."""
+    """(block, packed, mse, largest error) of (block, w: 1 to 256 doubles); shorter ones are filled with zeros, which the errors leave out."""
 
     def work(batches):
         for b in batches:
             packed, mse, err = [], [], []
             for row in b.column(1):
                 x = np.array(row.as_py(), float)
-                raw = to_bytes(pack_super(x, bits), bits)
-                e = unpack_super(from_bytes(raw, bits)) - x
+                raw = to_bytes(pack_super(np.pad(x, (0, SUPER - len(x))), bits), bits)
+                e = unpack_super(from_bytes(raw, bits))[: len(x)] - x
                 packed.append(raw), mse.append(float((e * e).mean())), err.append(float(np.abs(e).max()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(mse, pa.float64()), pa.array(err, pa.float64())], ["block", "packed", "mse", "max_err"])
 

@@ -303,9 +303,12 @@ def half_round_trip(spark, sf):
 
 @query("kquant_rtn")
 def kquant_rtn(spark, sf):
-    """Vectors, four at a time, as super-blocks of 256 weights at 2 bits."""
-    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("block"), "vec_id", V.as_double(F.col("embedding")).alias("x"))
-    b = e.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("s")).select("block", F.flatten(F.transform("s", lambda t: t["x"])).alias("w")).where(F.size("w") == 256)
+    """Vectors, four ids at a time, as super-blocks of 256 weights at 2 bits; a block may be shorter, and ids that repeat may need several."""
+    x = V.as_double(F.col("embedding"))
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("block"), "vec_id", x.alias("x")).where(F.size("x") > 0)
+    # vectors without an id have blocks of their own
+    b = e.groupBy("block", F.when(F.col("vec_id").isNull(), F.xxhash64("x")).alias("own")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("s")).select("block", F.flatten(F.transform("s", lambda t: t["x"])).alias("w"))
+    b = b.select("block", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 256).cast("int")), lambda i: F.slice("w", i * 256 + 1, 256))).alias("w"))
     return Q.quantise_blocks(b, 2).select("block", F.length("packed").cast("long").alias("bytes"), F.round("mse", 9).alias("mse"), F.round("max_err", 6).alias("max_err"))
 
 
