@@ -277,6 +277,20 @@ def test_token_output_round_trip(spark, docs, none, tmp_path):
     assert token_output.read_all(spark, path + "0").count() == 0
 
 
+def test_lookup_compares_the_stored_keys(spark, docs, tmp_path):
+    """A key that is not there gives no row, even where its fingerprint agrees with that of its slot."""
+    path, vocabulary = str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json")
+    token_output.write(docs, path, vocabulary, 0)
+    (row,) = (r.asDict() for r in spark.read.schema(token_output._BLOCK).parquet(f"{path}/blocks").collect())
+    block, strangers = token_output.Block(row), np.arange(1000, 1100)
+    keys = token_output.key_hashes(strangers, np.zeros(100, np.uint32))
+    k = int(np.flatnonzero(block.ph.slots(keys) >= 0)[0])
+    prints = block.ph.prints.copy()
+    prints[block.ph.slots(keys[k : k + 1])] = token_output.PerfectHash.fingerprint(keys[k : k + 1])
+    spark.createDataFrame([row | {"prints": prints.tobytes()}], token_output._BLOCK).write.parquet(f"{path}/blocks", mode="overwrite")
+    assert token_output.lookup(spark.createDataFrame([(int(strangers[k]),)], "doc_id long"), path).count() == 0
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     p = token_output.PerfectHash.build(keys)

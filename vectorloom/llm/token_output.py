@@ -218,8 +218,9 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
 def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """The ids of the documents asked for: doc_id, nth, ids (array<long>). Keys that are not there give no row.
 
-    A key goes to its shard by the ranges in `shards`, and there to the blocks of that range; repeated doc_ids
-    give all their rows.
+    A key goes to its shard by the ranges in `shards`, and there to the blocks whose stored keys, in ascending
+    order, hold it: only those are opened, and asked for the keys they have. All rows of the shard are read for
+    that. Repeated doc_ids give all their rows.
     """
     spark = keys.sparkSession
     bounds = np.array([r["last"] for r in spark.read.parquet(f"{path}/shards").where("last is not null").orderBy("shard").select("last").collect()], np.float64)
@@ -235,13 +236,13 @@ def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         import pandas as pd
 
         out = []
-        ids = left["doc_id"].to_numpy(np.int64)
+        ids = np.sort(left["doc_id"].to_numpy(np.int64))
         for row in right.to_dict("records"):
-            block, nth = Block(row), 0
-            ask = ids
-            most = int(np.frombuffer(row["nth"], np.uint32).max(initial=0))
-            for nth in range(most + 1):
-                out += [(int(d), nth, g[1].tolist()) for d, g in zip(ask, block.get(ask, np.full(len(ask), nth, np.uint32))) if g is not None]
+            have, nth = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nth"], np.uint32)
+            near = ids[np.searchsorted(ids, have[0], side="left") : np.searchsorted(ids, have[-1], side="right")]
+            at = np.flatnonzero(np.isin(have, near))
+            if len(at):
+                out += [(int(d), int(n), g[1].tolist()) for d, n, g in zip(have[at], nth[at], Block(row).get(have[at], nth[at]))]
         return pd.DataFrame(out, columns=["doc_id", "nth", "ids"])
 
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
