@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from vectorloom.llm import exact_dedup, labelled, learned_ann, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
@@ -252,14 +253,14 @@ ODD = ["", " ", "a", " a", "a ", "\n", "a\n b", "a  b", "it 's", "don't stop", "
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_equals_the_tokenizer(name):
     e = PieceEncoder(public_tokenizers.path(name), most=20)
-    for _ in range(2):
-        for t, ids in zip(ODD, e.encode(ODD)):
-            assert np.frombuffer(ids, e.dtype).tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
+    for end in (None, 7):
+        for t, ids in zip(ODD, e.encode(pa.array(ODD), end).to_pylist()):
+            assert np.frombuffer(ids, e.dtype).tolist() == e.tok.encode(t, add_special_tokens=False).ids + [7] * bool(end), t
 
 
 def test_token_output_round_trip(spark, docs, none, tmp_path):
     path, vocabulary = str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json")
-    token_output.write(docs, path, vocabulary, 0, shard_chars=5000, block_bytes=3000)
+    token_output.write(docs, path, vocabulary, 0, shard_bytes=5000, block_bytes=3000)
     tok = PieceEncoder(vocabulary).tok
     rows = sorted(corpus(), key=lambda r: r[0] if r[0] is not None else 1 << 62)
     want, at = [], 0
@@ -282,13 +283,31 @@ def test_lookup_compares_the_stored_keys(spark, docs, tmp_path):
     path, vocabulary = str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json")
     token_output.write(docs, path, vocabulary, 0)
     (row,) = (r.asDict() for r in spark.read.schema(token_output._BLOCK).parquet(f"{path}/blocks").collect())
-    block, strangers = token_output.Block(row), np.arange(1000, 1100)
-    keys = token_output.key_hashes(strangers, np.zeros(100, np.uint32))
+    block, strangers = token_output.Block(row), np.arange(20, 1100)  # inside the block's range, as null ids come last
+    keys = token_output.key_hashes(strangers, np.zeros(1080, np.uint32))
     k = int(np.flatnonzero(block.ph.slots(keys) >= 0)[0])
     prints = block.ph.prints.copy()
     prints[block.ph.slots(keys[k : k + 1])] = token_output.PerfectHash.fingerprint(keys[k : k + 1])
-    spark.createDataFrame([row | {"prints": prints.tobytes()}], token_output._BLOCK).write.parquet(f"{path}/blocks", mode="overwrite")
-    assert token_output.lookup(spark.createDataFrame([(int(strangers[k]),)], "doc_id long"), path).count() == 0
+    spark.createDataFrame([row | {"prints": prints.tobytes()}], token_output._BLOCK).write.partitionBy("shard").parquet(f"{path}/blocks", mode="overwrite")
+    asked = spark.createDataFrame([(int(strangers[k]),)], "doc_id long")
+    assert token_output.candidates(asked, path)[0].count() == 1 and token_output.lookup(asked, path).count() == 0
+
+
+def test_lookup_reads_the_files_of_its_shards_alone(spark, tmp_path):
+    path, vocabulary = str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, " ".join(words(5000 + i, 40))) for i in range(200)] + [(77, None)] * 150 + [(None, "nobody's")] * 100
+    token_output.write(frame(spark, rows).repartition(4), path, vocabulary, 0, shard_bytes=4000, block_bytes=1000)
+    shards = spark.read.parquet(f"{path}/shards").collect()
+    assert len(shards) > 8
+    asked = spark.createDataFrame([(5,), (6,), (500,)], "doc_id long")
+    blocks, _ = token_output.candidates(asked, path)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [shard" in plan and blocks.select("shard").distinct().count() <= 2 and token_output.lookup(asked, path).count() == 2
+    # all rows of a repeated id, which several shards hold
+    assert token_output.lookup(spark.createDataFrame([(77,)], "doc_id long"), path).count() == 151
+    got = token_output.read_all(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows if r[0] is not None)) + [None] * 100
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
 
 
 def test_perfect_hash_is_minimal_and_refuses_strangers():
@@ -300,7 +319,7 @@ def test_perfect_hash_is_minimal_and_refuses_strangers():
 
 def test_packing(spark, docs, none):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    got = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bucket_bytes=4000).collect()
+    got = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bytes_per_part=4000).collect()
     tok = PieceEncoder(vocabulary).tok
     want = collections.Counter((r[0], tuple(tok.encode(r[1] or "", add_special_tokens=False).ids + [1])) for r in corpus())
     by, seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -336,8 +355,8 @@ def test_packing_to_targets(spark):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     rows = [(i, " ".join(words(1200 + i, 150)), "abcd"[min(3, i // 10)]) for i in range(36)]
     docs = frame(spark, rows).repartition(3)
-    plain = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bucket_bytes=4000).collect()
-    got = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bucket_bytes=4000, targets={"a": 6, "b": 3, "c": 1}).collect()
+    plain = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bytes_per_part=4000).collect()
+    got = packing.pack(docs, vocabulary, 1, window=64, chunk=8, bytes_per_part=4000, targets={"a": 6, "b": 3, "c": 1}).collect()
     tokens = lambda rows_: sorted((r["doc_id"], x) for r in rows_ for x in range(r["start"], r["start"] + r["length"]))
     assert tokens(got) == tokens(plain)
     seq = collections.defaultdict(collections.Counter)

@@ -4,6 +4,7 @@ import collections
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline
 from vectorloom.llm import mixing
@@ -59,7 +60,7 @@ def test_stages(spark, tmp_path):
     goal = mixing.targets(dict(sizes))
     assert all(abs(taken[s] - goal[s]) < 1 for s in goal)
     enc = PieceEncoder(public_tokenizers.path(corpus_pipeline.VOCABULARY))
-    total = sum(len(x) // 2 + 1 for x in enc.encode([r["text"] for r in out["mixing"].collect()]))
+    total = sum(len(x) // 2 + 1 for x in enc.encode(pa.array([r["text"] for r in out["mixing"].collect()])).to_pylist())
     packed = out["packing"].collect()
     assert sum(r["length"] for r in packed) == total
     assert sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == total

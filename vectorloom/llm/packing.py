@@ -4,8 +4,8 @@ The documents of a source, in ascending doc_id order, make a queue of token ids.
 chunks of about `CHUNK` windows, each of them with the same share of every queue (what a cut rounds off is
 the deficit that the next chunk starts with). In a chunk every window is filled by deficit round-robin: each
 queue earns its share of the window, gives the whole tokens that it has earned, and carries the rest to the
-next window. Which tokens a window holds follows from the queues' lengths alone, so every document can be cut
-into its pieces by itself. What a chunk has left after its full windows goes into sequences whose lengths are
+next window. Which tokens a window holds follows from the queues' lengths alone, so any batch of documents can
+be cut into its pieces by itself. What a chunk has left after its full windows goes into sequences whose lengths are
 powers of two, so that no sequence needs padding.
 
 Without targets the queues have their natural shares of every window. With targets they are dealt in phases:
@@ -20,15 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, materialise
-from .tokens import encode_chunked, encoder
+from .common import documents, materialise
+from .tokens import encoder, in_chunks
 
-#: Tokens in a full sequence; windows in a chunk, about; bytes of text in a bucket of neighbouring documents, about.
-WINDOW, CHUNK, BUCKET_BYTES = 2048, 1024, 8_000_000
+#: Tokens in a full sequence; windows in a chunk, about; bytes of text in a part of neighbouring documents, at least, about.
+WINDOW, CHUNK, PART_BYTES = 2048, 1024, 8_000_000
 
 
 def _deal(size: int, earned: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -89,43 +90,62 @@ def chunk_plan(c: int, n_chunks: int, lengths: tuple[int, ...], window: int) ->
     return before, np.cumsum(takes, axis=1) - takes
 
 
-def pieces(start: int, stop: int, queue: int, n_chunks: int, lengths: tuple[int, ...], window: int, stride: int):
-    """Cut tokens start..stop of a queue: (first, last + 1, sequence, offset)."""
-    t = lengths[queue]
-    while start < stop:  # chunk by chunk
-        c = start * n_chunks // t
-        while t * (c + 1) // n_chunks <= start:
-            c += 1
-        low = t * c // n_chunks
-        before, at = chunk_plan(c, n_chunks, lengths, window)
-        column, offsets = before[:, queue], at[:, queue]
-        end = min(stop, t * (c + 1) // n_chunks)
-        j = int(np.searchsorted(column, start - low, side="right")) - 1
-        last = int(np.searchsorted(column, end - low, side="left"))
-        edges = column[j : last + 1].tolist()
-        for k, (x, y, o) in enumerate(zip(edges[:-1], edges[1:], offsets[j:last].tolist())):
-            x, y = low + x, min(end, low + y)
-            if y > start:
-                yield start, y, c * stride + j + k, o + start - x
-                start = y
-
-
-def phased(start: int, stop: int, queue: int, plan: list, window: int, stride: int):
-    """`pieces` over all phases, each (lengths, n_chunks)."""
+def edges(queue: int, low: int, high: int, plan: list, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the tokens low..high of a queue are cut, over all phases (lengths, n_chunks): place of each piece's first token, its sequence, its offset there."""
+    places, sequences, offsets = [], [], []
     base = chunks = 0
     for lengths, n_chunks in plan:
-        lo, hi = max(start, base), min(stop, base + lengths[queue])
-        if lo < hi:
-            for x, y, seq, off in pieces(lo - base, hi - base, queue, n_chunks, lengths, window, stride):
-                yield base + x, base + y, chunks * stride + seq, off
-        base += lengths[queue]
+        t = lengths[queue]
+        lo, hi = max(low, base) - base, min(high, base + t) - base
+        c = lo * n_chunks // t if lo < hi else n_chunks
+        while c < n_chunks and t * c // n_chunks < hi:
+            first = t * c // n_chunks
+            before, at = chunk_plan(c, n_chunks, lengths, window)
+            has = np.flatnonzero(np.diff(before[:, queue]))
+            places.append(base + first + before[has, queue])
+            sequences.append((chunks + c) * stride + has)
+            offsets.append(at[has, queue])
+            c += 1
+        base += t
         chunks += n_chunks
-        if base >= stop:
+        if base >= high:
             break
-
-
-def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, chunk: int = CHUNK, bucket_bytes: int = BUCKET_BYTES, targets: dict[str | None, float] | None = None) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids (binary, little-endian of 16 or 32 bits).
+    return (np.concatenate(places), np.concatenate(sequences), np.concatenate(offsets)) if places else (np.zeros(0, np.int64),) * 3
+
+
+def cut(queue: np.ndarray, at: np.ndarray, size: np.ndarray, plan: list, window: int, stride: int) -> tuple[np.ndarray, ...]:
+    """Pieces of documents that take `size` tokens of their queues from `at`: (document, start in it, length, sequence, offset), in order."""
+    first, many = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    places, sequences, offsets, have = [], [], [], 0
+    for q in np.unique(queue):
+        own = np.flatnonzero((queue == q) & (size > 0))
+        if not len(own):
+            continue
+        p, s, o = edges(int(q), int(at[own].min()), int((at[own] + size[own]).max()), plan, window, stride)
+        first[own] = have + np.searchsorted(p, at[own], side="right") - 1
+        many[own] = have + np.searchsorted(p, at[own] + size[own], side="left") - first[own]
+        # after each queue's last piece there is none
+        places.append(np.append(p, np.iinfo(np.int64).max)), sequences.append(np.append(s, -1)), offsets.append(np.append(o, 0))
+        have += len(p) + 1
+    if not have:
+        return (np.zeros(0, np.int64),) * 5
+    p, s, o = np.concatenate(places), np.concatenate(sequences), np.concatenate(offsets)
+    doc = np.repeat(np.arange(len(at)), many)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
+    start = np.maximum(p[k], at[doc])
+    return doc, start - at[doc], np.minimum(p[k + 1], at[doc] + size[doc]) - start, s[k], o[k] + start - p[k]
+
+
+def part_bytes(total: int) -> int:
+    """Bytes of text in a part: 8 MB for small tables, 128 MB at most, so that there are neither few parts nor millions."""
+    return min(max(total // 20_000, PART_BYTES), 16 * PART_BYTES)
+
+
+def pack(
+    docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, chunk: int = CHUNK, targets: dict[str | None, float] | None = None, payload: bool = True,
+    bytes_per_part: int | None = None,
+) -> DataFrame:
+    """One row per piece: doc_id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32, and with `payload` ids (binary, little-endian of 16 or 32 bits).
 
     A document is its text's ids and end_id; null and empty texts are the end id alone. A null source is a
     queue of its own, null doc_ids come last in their queue, repeated rows are documents of their own. Other
@@ -133,64 +153,75 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
     (without them: the natural shares); no token is left out, so once a source is dry the others go on by
     their weights, and sources without a weight come last. The lengths of the queues, one number for each
     source, are the only data that pass through the driver.
+
+    Texts move once, into parts by ranges of (doc_id, text), so rows with one doc_id or none are split like any
+    others; ids stay in the part where they were made.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("row"))
     n = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
-    n_buckets = max(1, round((n["bytes"] + 8 * n["rows"]) / bucket_bytes))
-    bounds = np.array(slim.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets) if n_buckets > 1 else [], np.float64)
+    total = n["bytes"] + 8 * n["rows"]
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.col("row")]  # equal rows are told apart by their place in the input
+    dealt = slim.repartitionByRange(max(1, round(total / (bytes_per_part or part_bytes(total)))), *order).sortWithinPartitions(F.asc_nulls_last("source"), *order).select("text", "doc_id", "source")
 
     def encode(batches):
-        enc = encoder(vocabulary)
-        end = np.asarray([end_id], enc.dtype).tobytes()
-        for b in batches:
-            ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            bucket = np.searchsorted(bounds, ids, side="left").astype(np.int32)
-            for i, j, out in encode_chunked(enc, b.column(1)):
-                out = [x + end for x in out]
-                size = pa.array([len(x) // enc.dtype.itemsize for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[i:j]), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), size, pa.array(out, pa.binary())], ["bucket", "doc_id", "source", "n", "ids"])
-
-    encoded = materialise(slim.mapInArrow(encode, "bucket int, doc_id long, source string, n long, ids binary"), "pack-ids")
-    parts = materialise(encoded.groupBy("bucket", "source").agg(F.sum("n").alias("n")), "pack-parts")
+        from pyspark import TaskContext
+
+        part, enc = TaskContext.get().partitionId(), encoder(vocabulary)
+        done: dict = {}  # tokens of each source in the part so far
+        for b in in_chunks(batches):
+            ids = enc.encode(b.column(0), end_id)
+            size = pc.binary_length(ids).to_numpy().astype(np.int64) // enc.dtype.itemsize
+            inner = np.cumsum(size) - size
+            names = b.column(2).to_pylist()
+            cuts = [i for i, s in enumerate(names) if not i or s != names[i - 1]]
+            for i, j in zip(cuts, [*cuts[1:], len(names)]):  # sources are in order
+                inner[i:j] += done.get(names[i], 0) - inner[i]
+                done[names[i]] = int(inner[j - 1] + size[j - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), part, np.int32)), b.column(1), b.column(2), pa.array(size), pa.array(inner), ids], ["part", "doc_id", "source", "n", "inner", "ids"])
+
+    encoded = materialise(dealt.mapInArrow(encode, "part int, doc_id long, source string, n long, inner long, ids binary"), "pack-ids")
+    parts = materialise(encoded.groupBy("part", "source").agg(F.sum("n").alias("n")), "pack-parts")
     queues = sorted(parts.groupBy("source").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    number = {r["source"]: i for i, r in enumerate(queues)}
     lengths = tuple(int(r["n"]) for r in queues)
     amounts = [lengths] if targets is None else phases(lengths, [targets.get(r["source"], 0) for r in queues])
     plan = [(x, max(1, round(sum(x) / (chunk * window)))) for x in amounts]
     stride = max(((sum(x) // k + len(x) + 1) // window + window.bit_length() + 1 for x, k in plan), default=1)
-    # a row for each bucket and source
-    bases = parts.select(
-        F.col("bucket").alias("b"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base")
-    )
-    keyed = encoded.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("z", F.col("source").isNull()).withColumnRenamed("bucket", "b")
-    order = W.partitionBy("b", "s", "z").orderBy(F.asc_nulls_last("doc_id"), "n", F.xxhash64("ids"))
-    placed = keyed.withColumn("inner", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).join(bases, ["b", "s", "z"])
-    placed = placed.select("doc_id", "source", "n", (F.col("base") + F.col("inner")).alias("at"), "ids")
+    number = {r["source"]: i for i, r in enumerate(queues)}
+    # a row for each part and source
+    before = F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")
+    bases = materialise(parts.select("part", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), before.alias("base")), "pack-bases")
+    keyed = encoded.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("z", F.col("source").isNull())
+    placed = keyed.join(bases, ["part", "s", "z"]).select("doc_id", "source", "n", (F.col("base") + F.col("inner")).alias("at"), "ids")
     width = encoder(vocabulary).dtype.itemsize
 
-    def cut(batches):
+    def give(batches):
         for b in batches:
-            doc_id, source, size, at, ids = (b.column(k) for k in range(5))
-            for lo in range(0, b.num_rows, 200):
-                out: tuple = tuple([] for _ in names)
-                add = [x.append for x in out]
-                for d, s, n_, a, raw in zip(*(c.slice(lo, 200).to_pylist() for c in (doc_id, source, size, at, ids))):
-                    wide = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-                    for x, y, seq, off in phased(a, a + n_, number[s], plan, window, stride):
-                        x, y = x - a, y - a
-                        for put, v in zip(add, (d, s, x, y - x, n_, seq, off, zlib.crc32(wide[4 * x : 4 * y]), raw[x * width : y * width])):
-                            put(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-
-    names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"]
-    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
-    return placed.mapInArrow(cut, "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary")
+            if not b.num_rows:
+                continue
+            size, at = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            names = b.column(1).dictionary_encode()
+            of = np.array([number[s] for s in names.dictionary.to_pylist()] + [number.get(None, 0)])
+            queue = of[names.indices.fill_null(len(of) - 1).to_numpy()]
+            doc, start, length, sequence, offset = cut(queue, at, size, plan, window, stride)
+            ids = b.column(4)
+            buffer, first = ids.buffers()[2], int(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset])
+            raw = buffer.slice(first, int(size.sum()) * width)
+            wide = memoryview(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
+            to = 4 * np.cumsum(length)  # the pieces are the documents' tokens in order
+            sums = [zlib.crc32(wide[x:y]) for x, y in zip((to - 4 * length).tolist(), to.tolist())]
+            take = pa.array(doc)
+            columns = [b.column(0).take(take), b.column(1).take(take), pa.array(start), pa.array(length), pa.array(size[doc]), pa.array(sequence), pa.array(offset), pa.array(sums, pa.int64())]
+            if payload:
+                columns.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], to // 4 * width]).astype(np.int32)), raw]))
+            yield pa.RecordBatch.from_arrays(columns, names_)
+
+    names_ = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"] + ["ids"] * payload
+    return placed.mapInArrow(give, "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long" + ", ids binary" * payload)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
+    out = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1, payload=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
