@@ -12,7 +12,7 @@ import pytest
 
 from vectorloom.llm import exact_dedup, labelled, learned_ann, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
 from vectorloom.llm.induced_sort import permuted_common_prefixes, suffix_array
-from vectorloom.llm.tokens import PieceEncoder
+from vectorloom.llm.tokens import PieceEncoder, in_chunks
 
 # clashing names among the extra columns
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, did string, whole string, fp int, row string, n int, spans string, kept string, size int"
@@ -457,3 +457,16 @@ def test_nearest_neighbours(spark):
     assert learned_ann.search(v.where("false"), v).count() == 0 and learned_ann.search(v, v.where("false")).count() == 0
     few = v.where("vec_id in (1, 2, 3)")
     assert learned_ann.search(few, few).count() == 6
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_piece_encoder_on_slices_and_chunks(name):
+    """Slices of Arrow columns with nulls, all kinds of white space, and a table of pieces that is full again and again."""
+    rng, e = np.random.default_rng(31), PieceEncoder(public_tokenizers.path(name), most=300)
+    pieces, gaps = ["à", "Å", "été", "The", "Ño", "ß", "x" * 80, "a,b", "€", "ü.", "日本", "don't", "(7)", "\x00"], [" ", "  ", "\n", "\t", " ", " ", " ", "\n\n", " \n"]
+    for _ in range(30):
+        rows = [None if rng.random() < 0.05 else "".join(pieces[rng.integers(len(pieces))] + str(rng.integers(99)) * int(rng.integers(2)) + gaps[rng.integers(len(gaps))] for _ in range(rng.integers(40))) for _ in range(60)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 17], pa.string())], ["t"]) for i in range(0, 60, 17)]
+        got = [x for b in in_chunks(iter(batches), most=int(rng.choice([200, 3000]))) for x in e.encode(b.column(0), 5).to_pylist()]
+        want = e.tok.encode_batch_fast([r or "" for r in rows], add_special_tokens=False)
+        assert [np.frombuffer(x, e.dtype).tolist() for x in got] == [w.ids + [5] for w in want]

@@ -77,7 +77,7 @@ class PieceEncoder:
         lower = [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.kind = "glued" if glued else "dropped" if dropped and all(dropped) and lower else "whole"
         # the table of pieces: their strings, their ids, and the number of the chunk that used each last
-        self.keys, self.ids, self.used, self.chunk = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64), 0
+        self.keys, self.ids, self.used, self.chunk = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -118,7 +118,7 @@ class PieceEncoder:
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The pieces of all texts, one after another, and where each text's begin (one entry more than texts)."""
         if self.kind == "dropped":
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # no cast before: lowering misreads a slice that was cast
         else:
             care = pc.match_substring_regex(texts, _CARE)
             if pc.any(care).as_py():  # in the order of the texts, those with care apart
@@ -128,7 +128,7 @@ class PieceEncoder:
                 easy, at = self._cut(texts.filter(pc.invert(care)))
                 n[where], n[~where] = [len(x) for x in hard], np.diff(at)
                 starts = np.concatenate([[0], np.cumsum(n)])
-                both = pa.concat_arrays([easy, pa.array([p for x in hard for p in x], pa.large_string())])
+                both = pa.concat_arrays([easy, pa.array([p for x in hard for p in x], pa.string())])
                 place = np.empty(int(starts[-1]), np.int64)
                 is_hard = np.repeat(where, n)
                 place[~is_hard], place[is_hard] = np.arange(len(easy)), np.arange(len(easy), len(both))
@@ -178,7 +178,7 @@ class PieceEncoder:
         end = b"" if end_id is None else np.asarray([end_id], self.dtype).tobytes()
         if self.kind == "whole":
             return pa.array([array(self.code, x).tobytes() + end for x in self._whole(texts.to_pylist())], pa.binary())
-        pieces, starts = self._cut(texts.cast(pa.large_string()))
+        pieces, starts = self._cut(texts)
         at, ids = self._slots(pieces)
         if end:
             at = np.insert(at, starts[1:], len(ids))
