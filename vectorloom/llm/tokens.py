@@ -28,7 +28,7 @@ _FIRST = "\x00"
 #: Longer pieces are not remembered.
 _LONG = 64
 #: Characters of text that are cut and looked up at once, about.
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 
 # Letters below U+0100; an apostrophe may begin an ending that the patterns cut off, so words with one go through the tokenizer whole.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -60,7 +60,7 @@ def _offsets(a: pa.Array) -> np.ndarray:
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian bytes of `dtype` (16 bits where the vocabulary fits)."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -124,7 +124,7 @@ class PieceEncoder:
             if pc.any(care).as_py():  # in the order of the texts, those with care apart
                 n = np.zeros(len(texts), np.int64)
                 where = care.to_numpy(zero_copy_only=False)
-                hard = [[_FIRST + x[0], *x[1:]] for x in map(_GLUE.split, texts.filter(care).to_pylist())]
+                hard = [[_FIRST + x[0], *x[1:]] for x in ([t] if _FIRST in t else _GLUE.split(t) for t in texts.filter(care).to_pylist())]
                 easy, at = self._cut(texts.filter(pc.invert(care)))
                 n[where], n[~where] = [len(x) for x in hard], np.diff(at)
                 starts = np.concatenate([[0], np.cumsum(n)])
@@ -187,6 +187,7 @@ class PieceEncoder:
         out = ids.take(pa.array(at))
         cut = _offsets(out)[starts]
         self._forget()
+        pa.default_memory_pool().release_unused()
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((cut - cut[0]).astype(np.int32)), out.buffers()[2].slice(int(cut[0]))])
 
 
