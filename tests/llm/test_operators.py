@@ -110,6 +110,18 @@ def test_suffix_dedup(docs, none, monkeypatch, hot):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_long_periodic_texts(spark, monkeypatch):
+    """Texts of a megabyte of one sign or two, by the shard (the first two) and by aggregation; nothing is left of what repeats."""
+    random = "".join(map(chr, np.random.default_rng(3).integers(97, 123, 1_000_000)))
+    rows = [(1, "a" * 1_000_000), (2, "ab" * 500_000), (3, random), (4, random[:500_000] + "!" + random[500_000:]), (5, "xy" * 99)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"])) for r in suffix_dedup.dedup(frame(spark, rows).repartition(2)).collect()}
+    assert got == {1: (1_000_000, 1_000_000, 1), 2: (1_000_000, 1_000_000, 1), 3: (1_000_000, 1_000_000, 1), 4: (1_000_001, 1_000_000, 2), 5: (198, 0, 0)}
+    monkeypatch.setattr(suffix_dedup, "HOT", 10_000)
+    short = [(i, t[:30_000]) for i, t in rows]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(frame(spark, short)).collect()}
+    assert got == {1: (30_000, 30_000), 2: (30_000, 30_000), 3: (30_000, 30_000), 4: (30_000, 30_000), 5: (198, 0)}
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(5)
     for n, k in ((1, 1), (2, 1), (40, 1), (60, 2), (300, 3), (200, 150), (2500, 2000)):

@@ -3,8 +3,8 @@
 Strings are dealt to shards by their anchors (see anchors.py), so that equal strings meet; only the stretches
 of text under an anchor that occurs twice are sent. A shard's array is made by induced sorting, and its
 permuted common prefixes tell which strings repeat. Texts that occur twice as a whole are found by digest, and
-one of them stands for all. Under an anchor of very many texts, strings are counted by aggregation instead, so
-that no task holds them all.
+one of them stands for all. Under an anchor of very many bytes (of many texts, or of a periodic one), strings are
+counted by aggregation of 128-bit hashes instead, so that no task holds them all.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from .anchors import covered, gram_hashes, runs, true_spans, window_anchors
 from .common import documents, materialise, mix64
 from .induced_sort import permuted_common_prefixes, suffix_array
 
-#: Bytes of a string and of an anchored gram; bytes of distinct stretches in a shard; texts under an anchor that is counted by aggregation.
-WINDOW, GRAM, SHARD_BYTES, HOT = 200, 24, 3_000_000, 5_000
+#: Bytes of a string and of an anchored gram (long, so that few texts share one by chance); bytes of stretches in a shard; bytes of stretches under an anchor that is counted by aggregation.
+WINDOW, GRAM, SHARD_BYTES, HOT = 200, 64, 3_000_000, 1_500_000
+
+#: Strings in a row of hashes, at most.
+LONG = 10_000
 
 _SIGN = mix64(np.arange(1, 257, dtype=np.uint64))
 
@@ -29,30 +32,36 @@ def _units(text: bytes) -> np.ndarray:
 
 
 def _anchors(window: int, gram: int):
-    """Each text's anchors, those twice whose gram it holds twice."""
+    """Each text's anchors and the bytes of the stretches under them, in two halves if the text holds the gram twice."""
 
     def work(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                fps = []
+                fps, sizes = [], []
                 for t in b.column(1).slice(lo, 200):
                     units = _units(t.as_py().encode())
-                    a = np.unique(window_anchors(units, window, gram))
+                    a = window_anchors(units, window, gram)
+                    s, e = runs(a)
+                    a, inverse = np.unique(a[s], return_inverse=True)
+                    size = np.bincount(inverse, e - s + window - 1, len(a)).astype(np.int64)
                     if len(a):
                         g = gram_hashes(units, gram).view(np.int64)
-                        u, n = np.unique(g[np.isin(g, a)], return_counts=True)
-                        a = np.repeat(u, np.minimum(n, 2))
-                    fps.append(a)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), pa.array(fps, pa.list_(pa.int64()))], ["whole", "fps"])
+                        at = np.searchsorted(a, g)
+                        hit = a[np.minimum(at, len(a) - 1)] == g
+                        n = np.minimum(np.bincount(at[hit], minlength=len(a)), 2)
+                        a, size = np.repeat(a, n), np.repeat(size // n, n)
+                    fps.append(a), sizes.append(size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["whole", "fps", "sizes"])
 
     return work
 
 
 def _stretches(window: int, gram: int, hashed: bool):
-    """Rows (fp, whole, start, bytes) of the stretches under a text's shared anchors, or with the strings' hashes in place of bytes."""
+    """Rows (fp, whole, start, bytes) of the stretches under a text's shared anchors, or with two hashes of each string in place of bytes."""
 
     def work(batches):
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()) if hashed else pa.binary()]
+        pair = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64())]))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pair if hashed else pa.binary()]
         names = ["fp", "whole", "start", "hashes" if hashed else "piece"]
         for b in batches:
             rows: list[tuple] = []
@@ -61,15 +70,18 @@ def _stretches(window: int, gram: int, hashed: bool):
                 raw = text.as_py().encode()
                 units = _units(raw)
                 a = window_anchors(units, window, gram)
-                strings = gram_hashes(units ^ np.uint64(0xA5A5A5A5A5A5A5A5), window).view(np.int64) if hashed else None
+                if hashed:
+                    h, g = (gram_hashes(mix64(units ^ np.uint64(x)), window).view(np.int64) for x in (0xA5A5A5A5A5A5A5A5, 0x5DEECE66D1234567))
                 s, e = runs(a)
                 ok = np.isin(a[s], np.array(fps.as_py(), np.int64))
                 for x, y in zip(s[ok].tolist(), e[ok].tolist()):
-                    rows.append((int(a[x]), whole.as_py(), x, strings[x:y] if hashed else raw[x : y + window - 1]))
-                    size += (8 if hashed else 1) * (y - x) + 200
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                    rows, size = [], 0
+                    for z in range(x, y, LONG if hashed else y - x):
+                        end = min(z + LONG, y) if hashed else y
+                        rows.append((int(a[x]), whole.as_py(), z, [{"h": i, "g": j} for i, j in zip(h[z:end].tolist(), g[z:end].tolist())] if hashed else raw[z : end + window - 1]))
+                        size += (100 if hashed else 1) * (end - z) + 200
+                        if size > 4_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                            rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -79,9 +91,9 @@ def _stretches(window: int, gram: int, hashed: bool):
 def repeated_strings(pieces: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
     """For each of distinct pieces, which of its strings of `window` bytes repeat in any piece; a piece counted twice repeats as a whole."""
     sizes = np.array([len(p) for p in pieces])
-    t = np.zeros(int(sizes.sum()) + len(pieces) + 1, np.int64)
-    joined = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    t[:-1] = joined.astype(np.int64) + 2
+    t = np.zeros(int(sizes.sum()) + len(pieces) + 1, np.uint16)
+    t[:-1] = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    t[:-1] += 2
     ends = np.cumsum(sizes + 1) - 1
     t[ends] = 1
     before, common = permuted_common_prefixes(t, suffix_array(t))
@@ -147,28 +159,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("whole"), text.alias("text"))
-    base = materialise(rows.select("whole", "text").mapInArrow(_anchors(window, gram), "whole binary, fps array<long>").where(F.size("fps") > 0), "strings-base")
-    own = base.groupBy("whole").agg(F.count("*").alias("copies"), F.first("fps").alias("fps"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("whole"), text.alias("text"))
+    base = materialise(rows.select("whole", "text").mapInArrow(_anchors(window, gram), "whole binary, fps array<long>, sizes array<long>").where(F.size("fps") > 0), "strings-base")
+    own = base.groupBy("whole").agg(F.count("*").alias("copies"), F.first("fps").alias("fps"), F.first("sizes").alias("sizes"))
     own = materialise(own, "strings-own")
     copies = own.where("copies > 1").select("whole")
-    size = own.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0)).alias("n")).first()["n"]
-    shared = materialise(own.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "strings-shared")
-    wanted = own.select("whole", F.explode("fps").alias("fp")).distinct().join(shared, "fp").groupBy("whole").agg(F.collect_list(F.when(F.col("n") <= HOT, F.col("fp"))).alias("fps"), F.collect_list(F.when(F.col("n") > HOT, F.col("fp"))).alias("hot"))
-    wanted = materialise(wanted, "strings-wanted")
-    # one row for each distinct text
-    one = rows.select("whole", "text").join(wanted.select("whole", "fps", "hot"), "whole").groupBy("whole").agg(F.first("text").alias("text"), F.first("fps").alias("fps"), F.first("hot").alias("hot"))
-    any_hot = shared.where(F.col("n") > HOT).limit(1).count() > 0
+    marks = own.select("whole", F.explode(F.arrays_zip("fps", "sizes")).alias("x")).select("whole", F.col("x.fps").alias("fp"), F.col("x.sizes").alias("size"))
+    shared = materialise(marks.groupBy("fp").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1"), "strings-shared")
+    wanted = marks.select("whole", "fp").distinct().join(shared, "fp").groupBy("whole").agg(F.collect_list(F.when(F.col("size") <= HOT, F.col("fp"))).alias("fps"), F.collect_list(F.when(F.col("size") > HOT, F.col("fp"))).alias("hot"))
+    # a row for each distinct text; copies are put together before they move, so a text of many copies is no burden
+    one = rows.groupBy("whole").agg(F.first("text").alias("text")).join(wanted, "whole")
+    any_hot = shared.where(F.col("size") > HOT).limit(1).count() > 0
     if any_hot:
         one = materialise(one, "strings-texts")
     pieces = one.select("whole", "text", "fps").mapInArrow(_stretches(window, gram, False), "fp long, whole binary, start long, piece binary")
-    n_parts = max(2, round(size / 60_000))
+    size = shared.where(F.col("size") <= HOT).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    n_parts = max(2, round(size / SHARD_BYTES))
     hits = pieces.repartition(n_parts, "fp").sortWithinPartitions("fp").mapInArrow(_resolve(window, SHARD_BYTES), "whole binary, start long, count long")
     if any_hot:
-        lists = one.where(F.size("hot") > 0).select("whole", "text", "hot").mapInArrow(_stretches(window, gram, True), "fp long, whole binary, start long, hashes array<long>")
-        single = materialise(lists.select("fp", "whole", "start", F.posexplode("hashes").alias("i", "h")).select("fp", "h", "whole", (F.col("start") + F.col("i")).alias("start")), "strings-hot")
-        twice = single.groupBy("fp", "h").agg(F.count("*").alias("n")).where("n > 1").select("fp", "h")
-        hits = hits.unionByName(single.join(twice, ["fp", "h"]).select("whole", "start", F.lit(1).cast("long").alias("count")))
+        lists = one.where(F.size("hot") > 0).select("whole", "text", "hot").mapInArrow(_stretches(window, gram, True), "fp long, whole binary, start long, hashes array<struct<h:long,g:long>>")
+        single = lists.select("fp", "whole", "start", F.posexplode("hashes").alias("i", "x")).select("fp", "x.h", "x.g", "whole", (F.col("start") + F.col("i")).alias("start"))
+        single = materialise(single, "strings-hot")
+        twice = single.groupBy("fp", "h", "g").agg(F.count("*").alias("n")).where("n > 1").select("fp", "h", "g")
+        hits = hits.unionByName(single.join(twice, ["fp", "h", "g"]).select("whole", "start", F.lit(1).cast("long").alias("count")))
     spans = hits.groupBy("whole").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("whole", F.array().cast("array<struct<start:long,count:long>>").alias("spans"), F.lit(True).alias("copy")))
     marks = marks.groupBy("whole").agg(F.max("copy").alias("copy"), F.first("spans").alias("spans"))
