@@ -471,6 +471,32 @@ def test_nearest_neighbours(spark):
     assert learned_ann.search(few, few).count() == 6
 
 
+@pytest.mark.parametrize("split", [40_000, 150])
+def test_learned_partitions_visit_few_parts_of_clustered_vectors(spark, split):
+    """Recall over 0.9 for queries of all vectors, with less than half of the parts visited; with and without a second level."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 24))[rng.integers(0, 150, 9000)] + 0.35 * rng.normal(size=(9000, 24))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    distinct, _ = learned_ann.prepared(v, 5)
+    made, index = learned_ann.partitions(distinct, 5, sample=3000, split=split)
+    assert made.parts > (40 if split > 9000 else 100) and made.visits < made.parts / 2 and bool(made.below) == (split < 9000)
+    assert index.count() == 9000
+    got = collections.defaultdict(set)
+    for r in learned_ann.search(v, v.where("vec_id % 50 = 0"), sample=3000, split=split).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = sum(len(got[q] & set([i for i in np.argsort(-(u @ u[q]), kind="stable")[:6].tolist() if i != q][:5])) for q in range(0, 9000, 50))
+    assert found >= 0.9 * 5 * 180
+
+
+def test_cosine_of_very_long_and_very_short_vectors():
+    x = np.random.default_rng(1).normal(size=(6, 8))
+    for scale in (1e-200, 1e200, 1.0):
+        assert learned_ann.cosine(x * scale, x[::-1]).tolist() == pytest.approx(learned_ann.cosine(x, x[::-1]).tolist(), rel=1e-14)
+    plain = (x * x[::-1]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[::-1] ** 2).sum(axis=1)))
+    assert (learned_ann.cosine(x, x[::-1]) == plain).all()
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_on_slices_and_chunks(name):
     """Slices of Arrow columns with nulls, all kinds of white space, and a table of pieces that is full again and again."""

@@ -2,13 +2,19 @@
 
 A bounded sample of the vectors (SAMPLE) makes a neighbour graph, which is cut into parts of nearly equal size
 that keep neighbours together. A small network learns to tell a vector's part. It deals every vector to its
-likeliest part and a query to several of the likeliest, whose vectors are reranked by exact cosine. How many
-parts a query visits is read off a bounded set of trial queries (TRIALS) whose exact neighbours among all
-vectors are known: the fewest that hold TARGET of them.
+likeliest part and a query to several of the likeliest, whose vectors are reranked by exact cosine. Parts of
+more than SPLIT vectors are cut anew in the same way, each by a sample of its own on the executors, so the number
+of parts grows with the table; a vector's probability of such a part is the product of the two networks'.
+
+How many parts a query visits is read off a bounded set of trial queries (TRIALS) that no network was fitted on,
+and whose exact neighbours among all vectors are known: the fewest that hold TARGET of them.
 """
 
 from __future__ import annotations
 
+import pickle
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Vectors that the parts are learned from, trial queries, and the share of true neighbours to be found, with a margin over 0.9.
+#: Vectors that the parts of a level are learned from, about; trial queries; the share of true neighbours to be found, with a margin over 0.9.
 SAMPLE, TRIALS, TARGET = 8_192, 256, 0.97
-#: Sampled vectors in a part, neighbours in the graph, hidden units of the network; vectors and queries that meet in a task.
-PART, NEIGHBOURS, HIDDEN, BLOCK, QUERY_BLOCK = 256, 10, 128, 20_000, 20_000
+#: Parts that one network tells apart at most, and vectors in a part that is cut anew.
+FANOUT, SPLIT = 64, 40_000
+#: Neighbours in the graph, hidden units of the network; vectors and queries that meet in a task.
+NEIGHBOURS, HIDDEN, BLOCK, QUERY_BLOCK = 10, 128, 20_000, 20_000
+#: One distinct vector in so many can be a trial query, and is not in any sample.
+HELD_OUT = 16
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -99,11 +109,52 @@ class Router:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        """Log probabilities of the parts for each unit vector."""
+        z = np.maximum((x * x.shape[1] ** 0.5) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
+        z = z - z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def n_parts(n: int) -> int:
+    """Parts that a set of n vectors is cut into: half the root of n, FANOUT at most."""
+    return int(min(FANOUT, max(1, round(n**0.5 / 2))))
+
+
+def learn(x: np.ndarray, parts: int) -> Router:
+    """Cut a sample of unit vectors into parts and fit a network that tells them."""
+    graph = neighbour_graph(x, NEIGHBOURS)
+    one_hot = np.eye(parts)[balanced_parts(x, graph, parts)]
+    return Router(x, 0.5 * one_hot + 0.5 * one_hot[graph].mean(axis=1))
+
+
+@dataclass
+class Partitions:
+    """What was learned: a network at the root (none: one part), one for each part that was cut anew, and the number of parts to visit."""
+
+    root: Router | None
+    below: dict
+    visits: int = 1
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all parts, and each unit vector's log probabilities of them."""
+        if self.root is None:
+            return np.zeros(1, np.int64), np.zeros((len(x), 1))
+        top = self.root.log_odds(x)
+        names, odds = [], []
+        for p in range(top.shape[1]):
+            z = top[:, p : p + 1] + self.below[p].log_odds(x) if p in self.below else top[:, p : p + 1]
+            names.append(p * FANOUT + np.arange(z.shape[1])), odds.append(z)
+        return np.concatenate(names), np.concatenate(odds, axis=1)
+
     def order(self, x: np.ndarray) -> np.ndarray:
         """Parts of each unit vector, likeliest first."""
-        # row by row, so that equal vectors get equal parts whatever their batch
-        z = np.stack([np.maximum(r @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3] for r in x * x.shape[1] ** 0.5]) if len(x) else np.zeros((0, len(self.w[3])))
-        return np.argsort(-z, axis=1, kind="stable")
+        names, odds = self.leaves(x)
+        return names[np.argsort(-odds, axis=1, kind="stable")]
+
+    @property
+    def parts(self) -> int:
+        return len(self.leaves(np.zeros((0, len(self.root.w[0]))))[0]) if self.root else 1
 
 
 def _matrix(column) -> np.ndarray:
@@ -111,14 +162,23 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that very long and very short vectors neither overflow nor vanish; this changes no cosine, not in the last bit."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(most)[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows over their lengths; scaled first, so that very long and very short vectors do not overflow or vanish."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows over their lengths."""
+    x = scaled(x) if len(x) else x
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of rows in pairs, in double precision; equal inputs give equal results wherever they stand."""
+    if not len(a):
+        return np.zeros(0)
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -139,7 +199,81 @@ def _best(q: np.ndarray, v: np.ndarray, k: int):
         yield r + i, c, cosine(q[r + i], v[c])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
+def _trained(sample: DataFrame, sizes: dict[int, int]) -> dict[int, Router]:
+    """A network for each part of `sample` (part, vec), fitted on the executors. At most FANOUT of them, of some 100 KB each, come to the driver."""
+
+    def work(key, table):
+        x = unit(_matrix(table["vec"]))
+        parts = min(n_parts(sizes[key[0].as_py()]), len(x))
+        made = pickle.dumps(learn(x, parts)) if parts > 1 else b""
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([made], pa.binary())})
+
+    return {r["part"]: pickle.loads(r["model"]) for r in sample.groupBy("part").applyInArrow(work, "part int, model binary").collect() if len(r["model"])}
+
+
+def partitions(distinct: DataFrame, k: int, sample: int = SAMPLE, target: float = TARGET, split: int = SPLIT) -> tuple[Partitions, DataFrame]:
+    """Learn from distinct vectors (vec, ids, rep); the parts, and the vectors with their `part`, written."""
+    pick = F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1 << 30))
+
+    def some(df, rate):  # one of HELD_OUT is kept for the trials
+        return df.where(F.pmod(F.xxhash64("vec"), F.lit(HELD_OUT)) != 0).where(pick < (rate * (1 << 30)).cast("long")).select("part", "vec")
+
+    n = distinct.count()
+    routers = _trained(some(distinct.withColumn("part", F.lit(0)), F.lit(min(1.0, sample / max(1, n)))), {0: n})
+    made = Partitions(routers.get(0), {})
+
+    def deal(made):
+        def work(batches):
+            for b in batches:
+                m = _matrix(b.column(0))
+                p = made.order(unit(m))[:, 0] if len(m) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), *b.columns], ["part", *b.schema.names])
+
+        return materialise(distinct.select("vec", "ids", "rep").mapInArrow(work, "part int, vec array<double>, ids array<long>, rep long"), "ann-index")
+
+    index = deal(made)
+    large = {r["part"] // FANOUT: r["count"] for r in index.groupBy("part").count().collect() if r["count"] > split}
+    if large and made.root is not None:
+        rate = F.element_at(F.create_map(*[F.lit(x) for p, c in large.items() for x in (p, min(1.0, sample / c))]), F.col("part"))
+        inner = index.withColumn("part", F.floor(F.col("part") / FANOUT).cast("int")).where(F.col("part").isin(list(large)))
+        made = Partitions(made.root, _trained(some(inner, rate), large))
+        index = deal(made)
+    if made.root is None:
+        return made, index
+    held = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(HELD_OUT)) == 0).orderBy(pick, "rep").limit(TRIALS).select("vec").toArrow()  # at most TRIALS vectors
+    if not held.num_rows:
+        return Partitions(made.root, made.below, made.parts), index
+    trial = _matrix(held["vec"])
+
+    def trials(batches):
+        for b in batches:
+            v = _matrix(b.column("vec"))
+            if not len(v):
+                continue
+            p = b.column("part").to_numpy()
+            for r, c, s in _best(trial, v, k + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(p[c]), pa.array(s)], ["q", "part", "s"])
+
+    near = index.select("part", "vec").mapInArrow(trials, "q long, part int, s double")
+    top = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "part"))
+    # the first is the trial vector itself
+    truth = near.withColumn("r", top).where((F.col("r") > 1) & (F.col("r") <= k + 1)).select("q", "part").collect()  # at most k for each trial
+    order = made.order(unit(trial))
+    at = np.sort([int(np.flatnonzero(order[r["q"]] == r["part"])[0]) for r in truth]) if truth else np.array([order.shape[1] - 1])
+    return Partitions(made.root, made.below, int(at[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)]) + 1), index
+
+
+def prepared(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
+    """(vec, ids, rep) of the distinct usable vectors of the most frequent length, and that length (0: there is none). Of equal vectors' ids the k + 1 smallest are all that can be in a result."""
+    good = usable(vectors, id_col, vector_col)
+    lengths = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dim = lengths[0]["d"] if lengths else 0
+    place = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
+    distinct = good.where(F.size("vec") == dim).withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return materialise(distinct.withColumn("rep", F.col("ids")[0]), "ann-distinct"), dim
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET, split: int = SPLIT) -> DataFrame:
     """The k nearest of `vectors` for each row of `queries` (the same columns; its own id is no candidate): query_id, rank, vec_id, score.
 
     Nearest first, ties to the smaller id; score is the cosine of the original vectors in double precision. A
@@ -148,75 +282,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     agree in id and vector count once. Other columns are not read. Without vectors or queries the result is empty.
     """
     spark = vectors.sparkSession
-    good = usable(vectors, id_col, vector_col)
-    asked = usable(queries, id_col, vector_col)
-    lengths = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = lengths[0]["d"] if lengths else 1
-    good, asked = good.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
-    # equal vectors are one; of their ids the k + 1 smallest are all that can be in a result
-    place = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
-    distinct = good.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    distinct = materialise(distinct.withColumn("rep", F.col("ids")[0]), "ann-distinct")
-    out_type = "query_id long, rank int, vec_id long, score double"
-    rows = distinct.select("vec").orderBy(F.xxhash64("vec"), "rep").limit(sample).toArrow()  # at most `sample` vectors
-    if not rows.num_rows:
-        return spark.createDataFrame([], out_type)
-    x = unit(_matrix(rows["vec"]))
-    parts = max(1, min(256, len(x) // PART))
-    if parts == 1:
-        router = None
-    else:
-        graph = neighbour_graph(x, NEIGHBOURS)
-        part = balanced_parts(x, graph, parts)
-        one_hot = np.eye(parts)[part]
-        router = Router(x, 0.5 * one_hot + 0.5 * one_hot[graph].mean(axis=1))
-
-    def deal(batches):
-        for b in batches:
-            m = _matrix(b.column(0))
-            p = router.order(unit(m))[:, 0] if router and len(m) else np.zeros(b.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), *b.columns], ["part", *b.schema.names])
-
-    index = materialise(distinct.mapInArrow(deal, "part int, vec array<double>, ids array<long>, rep long"), "ann-index")
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
-    visits = parts
-    if router:
-        trial = _matrix(rows["vec"])[:TRIALS]
-
-        def trials(batches):
-            for b in batches:
-                v = _matrix(b.column("vec"))
-                if not len(v):
-                    continue
-                p = b.column("part").to_numpy()
-                for r, c, s in _best(trial, v, k + 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(p[c]), pa.array(s)], ["q", "part", "s"])
-
-        near = index.select("part", "vec").mapInArrow(trials, "q long, part int, s double")
-        top = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "part"))
-        # the first is the trial vector itself
-        truth = near.withColumn("r", top).where((F.col("r") > 1) & (F.col("r") <= k + 1)).select("q", "part").collect()  # at most k for each trial
-        rank = np.argsort(router.order(unit(trial)), axis=1)
-        at = np.sort([rank[r["q"], r["part"]] for r in truth]) if truth else np.array([parts - 1])
-        visits = int(at[min(len(at) - 1, int(np.ceil(target * len(at))) - 1)]) + 1
-
-    blocks = {p: max(1, -(-n // BLOCK)) for p, n in sizes.items()}
-    n_queries = asked.count()
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    distinct, dim = prepared(vectors, k, id_col, vector_col)
+    if not dim:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = usable(queries, id_col, vector_col).where(F.size("vec") == dim)
+    made, index = partitions(distinct, k, sample, target, split)
 
     def route(batches):
         for b in batches:
             m = _matrix(b.column(0))
-            if not len(m):
-                continue
-            order = router.order(unit(m))[:, :visits] if router else np.zeros((len(m), 1), np.int64)
-            i, p, s = [], [], []
-            for j, own in enumerate(order):
-                for q in own.tolist():
-                    for t in range(blocks.get(q, 0)):
-                        i.append(j), p.append(q), s.append(t)
-            i = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(s, pa.int32()), b.column(0).take(i), b.column(1).take(i)], ["part", "block", "vec", "q"])
+            if len(m):
+                order = made.order(unit(m))[:, : made.visits]
+                at = pa.array(np.repeat(np.arange(len(m)), order.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], ["part", "vec", "q"])
+
+    # queries with equal vectors are searched once
+    searched = materialise(asked.groupBy("vec").agg(F.min("vec_id").alias("q")), "ann-queries")
+    routed = materialise(searched.mapInArrow(route, "part int, vec array<double>, q long"), "ann-routed")
+    # large parts and large sets of queries are met block by block; one number for each part
+    blocks, turns = (F.create_map(*[F.lit(x) for r in df.groupBy("part").count().collect() for x in (r["part"], -(-r["count"] // most))], F.lit(-1), F.lit(1)) for df, most in ((index, BLOCK), (routed, QUERY_BLOCK)))
+    times = lambda m: F.coalesce(F.try_element_at(m, F.col("part")), F.lit(1))
+    spot = lambda col, m: F.pmod(F.xxhash64(col), times(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), (times(m) - 1).cast("int")))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("q", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
@@ -228,12 +315,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             out.append(pa.Table.from_arrays([pa.array(qs[r]), pa.array(s), ids.take(pa.array(c))], schema=schema))
         return pa.concat_tables(out)
 
-    # queries with equal vectors are searched once
-    searched = asked.groupBy("vec").agg(F.min("vec_id").alias("q"))
-    routed = searched.select("vec", "q").mapInArrow(route, "part int, block int, vec array<double>, q long").withColumn("turn", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int"))
-    count_of = F.create_map(*[F.lit(x) for p, n in blocks.items() for x in (p, n)])
-    dealt = index.withColumn("block", F.pmod(F.xxhash64("rep"), F.element_at(count_of, F.col("part"))).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    found = dealt.select("part", "block", "turn", "vec", "ids").groupBy("part", "block", "turn").cogroup(routed.groupBy("part", "block", "turn")).applyInArrow(compare, "q long, score double, ids array<long>")
+    left = index.select("part", "vec", "ids", spot("rep", blocks).alias("block"), every(turns).alias("turn"))
+    right = routed.select("part", "vec", "q", every(blocks).alias("block"), spot("q", turns).alias("turn"))
+    found = left.groupBy("part", "block", "turn").cogroup(right.groupBy("part", "block", "turn")).applyInArrow(compare, "q long, score double, ids array<long>")
     flat = found.select("q", "score", F.explode("ids").alias("vec_id"))
     best = flat.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     # back to every query of that vector
