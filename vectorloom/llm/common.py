@@ -20,9 +20,11 @@ M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, but only if all runs on one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="vectorloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -32,18 +34,46 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vectorloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """A folder that results may still read goes when the application ends."""
+    p, fs = _files(spark, path)
+    fs.deleteOnExit(p)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _files(spark, path)
+    fs.delete(p, True)
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors. The folder goes by `drop`, or when the application ends."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    df.write.parquet(path)
+    until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vectorloom_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove what `materialise` wrote, once all that reads it has been written itself."""
+    for df in frames:
+        drop_path(df.sparkSession, df._vectorloom_path)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Rows in a batch that goes to Python, at most: texts are long.
@@ -51,6 +81,7 @@ BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents. The session's limit of rows in a batch that goes to Python is lowered, and stays so, as plans are made later."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import covered, gram_hashes, runs, true_spans, window_anchors
-from .common import documents, materialise, mix64
+from .common import documents, drop, materialise, mix64
 from .induced_sort import permuted_common_prefixes, suffix_array
 
 #: Bytes of a string and of an anchored gram (long, so that few texts share one by chance); bytes of stretches in a shard; bytes of stretches under an anchor that is counted by aggregation.
 WINDOW, GRAM, SHARD_BYTES, HOT = 200, 64, 3_000_000, 1_500_000
 
-#: Strings in a row of hashes, at most.
-LONG = 10_000
+#: Strings in a row of hashes, at most; digests (16 bytes each) that are broadcast, at most.
+LONG, FEW = 10_000, 1_000_000
 
 _SIGN = mix64(np.arange(1, 257, dtype=np.uint64))
 
@@ -51,7 +51,7 @@ def _anchors(window: int, gram: int):
                         n = np.minimum(np.bincount(at[hit], minlength=len(a)), 2)
                         a, size = np.repeat(a, n), np.repeat(size // n, n)
                     fps.append(a), sizes.append(size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["whole", "fps", "sizes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["whole", "fps", "sizes"])
 
     return work
 
@@ -159,16 +159,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("whole"), text.alias("text"))
-    base = materialise(rows.select("whole", "text").mapInArrow(_anchors(window, gram), "whole binary, fps array<long>, sizes array<long>").where(F.size("fps") > 0), "strings-base")
+    digest = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("whole"), text.alias("text"))
+    base = materialise(rows.select("whole", "text").mapInArrow(_anchors(window, gram), "whole binary, fps array<long>, sizes array<int>").where(F.size("fps") > 0), "strings-base")
     own = base.groupBy("whole").agg(F.count("*").alias("copies"), F.first("fps").alias("fps"), F.first("sizes").alias("sizes"))
     own = materialise(own, "strings-own")
+    drop(base)
     copies = own.where("copies > 1").select("whole")
     marks = own.select("whole", F.explode(F.arrays_zip("fps", "sizes")).alias("x")).select("whole", F.col("x.fps").alias("fp"), F.col("x.sizes").alias("size"))
     shared = materialise(marks.groupBy("fp").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1"), "strings-shared")
-    wanted = marks.select("whole", "fp").distinct().join(shared, "fp").groupBy("whole").agg(F.collect_list(F.when(F.col("size") <= HOT, F.col("fp"))).alias("fps"), F.collect_list(F.when(F.col("size") > HOT, F.col("fp"))).alias("hot"))
+    wanted = marks.select("whole", "fp").join(shared, "fp").groupBy("whole").agg(F.collect_set(F.when(F.col("size") <= HOT, F.col("fp"))).alias("fps"), F.collect_set(F.when(F.col("size") > HOT, F.col("fp"))).alias("hot"))
+    wanted = materialise(wanted, "strings-wanted")
     # a row for each distinct text; copies are put together before they move, so a text of many copies is no burden
-    one = rows.groupBy("whole").agg(F.first("text").alias("text")).join(wanted, "whole")
+    one = _among(rows, wanted, "left_semi").groupBy("whole").agg(F.first("text").alias("text")).join(wanted, "whole")
     any_hot = shared.where(F.col("size") > HOT).limit(1).count() > 0
     if any_hot:
         one = materialise(one, "strings-texts")
@@ -184,7 +187,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         hits = hits.unionByName(single.join(twice, ["fp", "h", "g"]).select("whole", "start", F.lit(1).cast("long").alias("count")))
     spans = hits.groupBy("whole").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("whole", F.array().cast("array<struct<start:long,count:long>>").alias("spans"), F.lit(True).alias("copy")))
-    marks = marks.groupBy("whole").agg(F.max("copy").alias("copy"), F.first("spans").alias("spans"))
+    marks = materialise(marks.groupBy("whole").agg(F.max("copy").alias("copy"), F.first("spans").alias("spans")), "strings-marks")
 
     def work(batches):
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -207,8 +210,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                         kept.append(raw), gone.append(0), removed.append([])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array([[{"start": i, "end": j} for i, j in r] for r in removed], pa.list_(span))], ["doc_id", "n_bytes", "n_removed", "kept", "removed"])
 
-    joined = rows.join(marks, "whole", "left").select("doc_id", "text", "copy", "spans")
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
+    kind = "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>"
+    columns = ["doc_id", "text", "copy", "spans"]
+    if marks.count() > FEW:
+        return rows.join(marks, "whole", "left").select(*columns).mapInArrow(work, kind)
+    # texts without a repeat stay where they are
+    hit, free = _among(rows, marks, "left_semi").join(marks, "whole"), _among(rows, marks, "left_anti")
+    free = free.select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<struct<start:long,count:long>>").alias("spans"))
+    return hit.select(*columns).mapInArrow(work, kind).unionByName(free.mapInArrow(work, kind))
+
+
+def _among(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """Rows whose text is among the known ones (left_semi) or is not (left_anti): at most FEW digests are broadcast; beyond, nothing is gained by looking."""
+    return rows.join(F.broadcast(known.select("whole")), "whole", how) if known.count() <= FEW else rows
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
