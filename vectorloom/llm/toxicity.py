@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
-from .common import documents
+from .common import documents, unused
 
 #: Rows of the fitting sample at most; a lexicon word's least log ratio, z value (a word in 3 toxic and no other documents has 2.6 at a tenth of toxic ones) and toxic documents.
 SAMPLE, LEAST_RATIO, LEAST_Z, LEAST_DOCS = 20_000, 2.0, 2.0, 3
@@ -87,7 +87,7 @@ def lexicon_of(rows: DataFrame) -> dict[bytes, float]:
 
     def work(batches):
         counts: tuple[dict, dict] = ({}, {})
-        docs = [0, 0]
+        docs, size = [0, 0], 0
 
         def flush():
             keys = list(counts[0].keys() | counts[1].keys())
@@ -100,12 +100,14 @@ def lexicon_of(rows: DataFrame) -> dict[bytes, float]:
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist()):
                 docs[y] += 1
-                own = counts[y]
-                for w in set(words_of((t.as_py() or "").encode())):
-                    if len(w) <= 64:
-                        own[w] = own.get(w, 0) + 1
-            if len(counts[0]) + len(counts[1]) > 500_000:
-                yield from flush()
+                own, before = counts[y], len(counts[y])
+                seen = set(words_of((t.as_py() or "").encode()))
+                for w in seen:
+                    own[w] = own.get(w, 0) + 1
+                size += 100 * (len(own) - before) + sum(len(w) for w in seen if len(w) > 64)  # long words count by their length
+                if size > 50_000_000:
+                    yield from flush()
+                    size = 0
         yield from flush()
         yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([docs[0]], pa.int64()), pa.array([docs[1]], pa.int64())], ["w", "n0", "n1"])
 
@@ -234,22 +236,27 @@ def train(docs: DataFrame, y: DataFrame, most: int = SAMPLE) -> Model:
     return Model(lexicon, trees, isotonic(trees.sums(x[part]), t[part]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The input's columns and `toxicity`; null texts count as empty, repeated rows are scored each. Texts are in column `text`."""
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """The input's columns and the score, in a column `name` that the input must not have.
+
+    Texts are in column `text`; null and blank ones have a score too, very long ones are read whole, repeated
+    rows are scored each, other columns, whatever their names, are only handed on; an empty table gives an empty result.
+    """
     at = docs.columns.index("text")
 
     def work(batches):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at).to_pylist()), pa.float64())], [*part.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at).to_pylist()), pa.float64())], [*part.schema.names, name])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
-    return score(docs, model).where(F.col("toxicity") < threshold).select(docs.columns)
+    name = unused("toxicity", docs.columns)
+    return score(docs, model, name).where(F.col(name) < threshold).select(docs.columns)
 
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
