@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import WHITE, documents, materialise
 
 #: Share of all rows above which a digest counts as frequent; 1/SUPPORT bounds the broadcast table's rows.
-SUPPORT = 1 / 256
+SUPPORT = 1 / 2048
+#: Rows of lost documents (about 100 bytes each) that are broadcast at most; beyond, texts are shuffled to them.
+FEW = 200_000
 
 
 def normalised_digest(text):
@@ -73,6 +75,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
         .where("not kept or copies > 1")
         .select(F.col("doc_id").alias("__id"), F.col("n_points").alias("__n"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept"))
     )
+    lost = materialise(lost, "exact-lost")
+    lost = F.broadcast(lost) if lost.count() <= FEW else lost
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select("*", F.char_length(text).cast("long").alias("__points"), normalised_digest(F.col(text_col)).alias("__digest"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__points") == F.col("__n")) & (F.col("__digest") == F.col("__sha"))
