@@ -193,6 +193,31 @@ def test_rounds_judge_links_between_what_two_pivots_reached(spark):
     assert len(heads) == 9 and len({heads[i] for i in range(6)}) == 1 and len({heads[6 + i] for i in range(3)}) == 1 and heads[0] != heads[6]
 
 
+def test_both_paths_of_near_dedup_find_the_same_links(spark, monkeypatch):
+    """A cluster bounded by its shingles, not its members, goes through rounds, with the same result."""
+    base = words(71, 400)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for p in np.random.default_rng(i).integers(0, 400, i % 12):
+            w[p] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    docs = frame(spark, rows)
+    ask = lambda: collected(near_dedup.classes(docs), "doc_id", "component_id")
+    local = ask()
+    monkeypatch.setattr(near_dedup, "LOCAL_SET", 1_000)
+    assert ask() == local == sorted([(d, c) for d, _, c in plain_classes(rows, 5)], key=repr) and len({c for _, c in local}) > 3
+
+
+def test_resolving_unlinked_members_is_quick():
+    import time
+
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 62, 200).astype(np.uint64)) for i in range(1000)]
+    began = time.process_time()
+    assert near_dedup.resolve(sets).tolist() == list(range(1000))
+    assert time.process_time() - began < 8
+
+
 def test_sketch_estimate_is_near():
     a, b = np.arange(1, 4001, dtype=np.uint64), np.arange(401, 4401, dtype=np.uint64)
     from vectorloom.llm.common import mix64

@@ -6,7 +6,8 @@ keys, and documents that share a key are candidates: each is tied to its key's p
 is a cluster. Every link lies inside a cluster, which is then resolved exactly: a member is compared with those
 not yet reached, first by the joint likelihood of the two sketches (which rules out only what is far below the
 threshold), then on the full sets. Documents with equal sets are one member, however many they are.
-A cluster of more than `LOCAL` members is resolved by rounds over all executors instead of in one task.
+A cluster of more than `LOCAL` members or `LOCAL_SET` shingles is resolved by rounds over all executors instead of
+in one task, by the same comparisons.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import gram_hashes
-from .common import NO_ID, WordHasher, documents, materialise, mix64
+from .common import NO_ID, WordHasher, documents, drop, materialise, mix64
 
 #: A pair at a similarity of 0.8 shares none of 30 keys of 5 registers with a probability of (1 - 0.8**5)**30 < 1e-5.
 BANDS, ROWS = 30, 5
@@ -25,10 +26,12 @@ BANDS, ROWS = 30, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Percent of the union that two sets share; words in a shingle.
 PERCENT, SHINGLE = 80, 5
-#: Sketches that look less similar than this are not compared: 7 standard deviations below 0.8 with 150 registers.
+#: Sketches that look less similar than this are not compared: 7 standard deviations below 0.8 with 150 registers (a chance below 1e-11 for a pair of 0.8).
 RULED_OUT = 0.55
-#: Members of a cluster that one task resolves; pivots of a round for larger ones.
-LOCAL, PIVOTS = 20_000, 64
+#: Nor are those of which a smaller share of registers is equal, which the likelihood would rule out as well: it is not worked out for them.
+LEAST_EQUAL = 0.4
+#: Members of a cluster that one task resolves, and their shingles; pivots of a round for larger ones.
+LOCAL, LOCAL_SET, PIVOTS = 2_000, 4_000_000, 64
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -91,6 +94,14 @@ def similarity(reg: np.ndarray, n: int, regs: np.ndarray, ns: np.ndarray) -> np.
     return (lo + hi) / 2
 
 
+def plausible(reg: np.ndarray, n: int, regs: np.ndarray, ns: np.ndarray, percent: int) -> np.ndarray:
+    """Which of other sets can share `percent` percent of the union with a set, by their sizes and sketches."""
+    ok = 100 * np.minimum(ns, n) >= percent * np.maximum(ns, n)
+    at = np.flatnonzero(ok)
+    at = at[(regs[at] == reg).sum(axis=1) >= LEAST_EQUAL * len(reg)]
+    return at[similarity(reg, n, regs[at], ns[at]) >= RULED_OUT] if len(at) else at
+
+
 def resolve(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """For each of distinct non-empty sets the index of the first one that links connect it with; links are judged on the full sets."""
     n = len(sets)
@@ -111,10 +122,7 @@ def resolve(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         left = left[left != seed]
         while queue and len(left):
             u = queue.pop()
-            a, b = np.minimum(sizes[left], sizes[u]), np.maximum(sizes[left], sizes[u])
-            near = left[100 * a >= percent * b]
-            if len(near):
-                near = near[similarity(regs[u], sizes[u], regs[near], sizes[near]) >= RULED_OUT]
+            near = left[plausible(regs[u], sizes[u], regs[left], sizes[left], percent)]
             if not len(near):
                 continue
             flag[flat[starts[u] : starts[u] + sizes[u]]] = True
@@ -139,6 +147,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         low = materialise(low, "cc-low")
+        old = [low, edges] + ([label] if label is not None else [])
         if label is None:
             label = low.select(F.col("a").alias("node"), F.col("m").alias("label"))
         else:
@@ -147,6 +156,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         x, y = low.select(F.col("a").alias("xa"), F.col("m").alias("xm")), low.select(F.col("a").alias("ya"), F.col("m").alias("ym"))
         edges = edges.join(x, edges["a"] == x["xa"]).join(y, edges["b"] == y["ya"]).select(F.col("xm").alias("a"), F.col("ym").alias("b")).where("a != b").distinct()
         edges = materialise(edges, "cc-edges")
+        drop(*old)
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -204,10 +214,12 @@ def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFra
 
     def to_sets(batches):
         for b in batches:
-            sets = [shingles(t.as_py(), size).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["cluster", "sig", "set"])
+            for lo in range(0, b.num_rows, 200):
+                sets = [shingles(t.as_py(), size) for t in b.column(2).slice(lo, 200)]
+                regs = [r.tobytes() for r in registers(sets)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), b.column(1).slice(lo, 200), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(regs, pa.binary())], ["cluster", "sig", "set", "regs"])
 
-    sets = materialise(members.mapInArrow(to_sets, "cluster binary, sig binary, set binary").dropDuplicates(["sig"]), "near-sets")
+    sets = materialise(members.dropDuplicates(["sig"]).mapInArrow(to_sets, "cluster binary, sig binary, set binary, regs binary"), "near-sets")
     # state: head = the component as known so far; done = had its turn
     state = materialise(sets.select("cluster", "sig", F.col("sig").alias("head"), F.lit(False).alias("done")), "near-state")
     from pyspark.sql import Window as W
@@ -219,31 +231,37 @@ def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFra
         todo = todo.join(open_, "cluster", "left_semi")
         rank = F.row_number().over(W.partitionBy("cluster").orderBy("free", "sig"))
         chosen = todo.join(free, ["cluster", "head"]).withColumn("rank", rank).where(F.col("rank") <= pivots)
-        picks = chosen.select("sig", "head").join(sets, "sig").select("cluster", "sig", "set", "head").collect()  # at most `pivots` for each large cluster
+        picks = chosen.select("sig", "head").join(sets, "sig").select("cluster", "sig", "set", "regs", "head").collect()  # at most `pivots` for each large cluster
         if not picks:
             break
         by: dict[bytes, list] = {}
         for r in picks:
-            by.setdefault(bytes(r["cluster"]), []).append((bytes(r["head"]), np.frombuffer(r["set"], np.uint64)))
-        shared = spark.sparkContext.broadcast(by)
+            by.setdefault(bytes(r["cluster"]), []).append((bytes(r["head"]), np.frombuffer(r["set"], np.uint64), np.frombuffer(r["regs"], np.uint16)))
+        packed = {c: ([h for h, _, _ in x], [s for _, s, _ in x], np.stack([g for _, _, g in x]), np.array([len(s) for _, s, _ in x])) for c, x in by.items()}
+        shared = spark.sparkContext.broadcast(packed)
 
         def compare(batches):
             for b in batches:
                 links = set()
-                for cluster, head, raw in zip(*(b.column(k) for k in range(3))):
+                for cluster, head, raw, reg in zip(*(b.column(k) for k in range(4))):
+                    got = shared.value.get(cluster.as_py())
+                    if got is None:
+                        continue
+                    heads, pivots_, regs, ns = got
                     s, own = np.frombuffer(raw.as_py(), np.uint64), head.as_py()
-                    for other, t in shared.value.get(cluster.as_py(), ()):
-                        if other != own and (own, other) not in links and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
-                            n = len(np.intersect1d(s, t, assume_unique=True))
-                            if 100 * n >= percent * (len(s) + len(t) - n):
-                                links.add((own, other))
+                    for k in plausible(np.frombuffer(reg.as_py(), np.uint16), len(s), regs, ns, percent):
+                        if heads[k] != own and (own, heads[k]) not in links:
+                            n = len(np.intersect1d(s, pivots_[k], assume_unique=True))
+                            if 100 * n >= percent * (len(s) + int(ns[k]) - n):
+                                links.add((own, heads[k]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
 
-        rows = sets.select("sig", "set").join(todo, "sig").select("cluster", "head", "set")
+        rows = sets.select("sig", "set", "regs").join(todo, "sig").select("cluster", "head", "set", "regs")
         cc = components(rows.mapInArrow(compare, "a binary, b binary"))
         picked = spark.createDataFrame([(r["sig"], True) for r in picks], "sig binary, picked boolean")
         now = state.join(cc, state["head"] == cc["node"], "left").join(F.broadcast(picked), "sig", "left")
-        state = materialise(now.select("cluster", "sig", F.coalesce("label", "head").alias("head"), (F.col("done") | F.coalesce("picked", F.lit(False))).alias("done")), "near-state")
+        before, state = state, materialise(now.select("cluster", "sig", F.coalesce("label", "head").alias("head"), (F.col("done") | F.coalesce("picked", F.lit(False))).alias("done")), "near-state")
+        drop(before)
         shared.unpersist()
     return state.select("sig", "head")
 
@@ -259,15 +277,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("key"), text.alias("text"))
     base = materialise(rows.mapInArrow(_sketched(shingle), "did long, key long, sig binary, n long, bands array<long>"), "near-base")
-    nodes = base.where("n > 0").groupBy("sig").agg(F.min(F.struct("did", "key")).alias("row"), F.first("bands").alias("bands"))
+    nodes = base.where("n > 0").groupBy("sig").agg(F.min(F.struct("did", "key")).alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     keyed = materialise(nodes, "near-nodes")
     marks = keyed.select("sig", F.explode("bands").alias("band"))
     pivot = marks.groupBy("band").agg(F.min("sig").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
     ties = marks.join(pivot, "band").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
     cluster = components(ties)
-    members = keyed.join(cluster, keyed["sig"] == cluster["node"]).select("sig", F.col("row.did").alias("did"), F.col("row.key").alias("key"), F.col("label").alias("cluster"))
-    texts = rows.join(members, ["did", "key"]).select("cluster", "sig", "text")
-    large = materialise(cluster.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > local).select(F.col("label").alias("cluster")), "near-large")
+    members = keyed.join(cluster, keyed["sig"] == cluster["node"]).select("sig", F.col("row.did").alias("did"), F.col("row.key").alias("key"), F.col("label").alias("cluster"), "n")
+    members = materialise(members, "near-members")
+    texts = rows.join(members.select("sig", "did", "key", "cluster"), ["did", "key"]).select("cluster", "sig", "text")
+    large = materialise(members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("n")).where((F.col("members") > local) | (F.col("n") > LOCAL_SET)).select("cluster"), "near-large")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if large.limit(1).count():
         texts = materialise(texts, "near-texts")
@@ -279,7 +298,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     heads = materialise(small if heads is None else small.unionByName(heads), "near-heads")
     slim = base.select("did", "key", "sig", "n").join(heads, "sig", "left").withColumn("head", F.coalesce("head", "sig"))
     # an empty set is linked with nothing
-    firsts = slim.where("n > 0").groupBy("head").agg(F.min(F.struct("did", "key")).alias("row"))
+    firsts = materialise(slim.where("n > 0").groupBy("head").agg(F.min(F.struct("did", "key")).alias("row")), "near-firsts")
     named = slim.join(firsts, "head", "left").withColumn("row", F.when(F.col("n") > 0, F.col("row")).otherwise(F.struct("did", "key")))
     known = lambda c: F.when(c != NO_ID, c)
     return named.select(known(F.col("did")).alias("doc_id"), "did", "key", F.col("n").alias("n_shingles"), known(F.col("row.did")).alias("component_id"), (F.col("row") == F.struct("did", "key")).alias("first"))
