@@ -10,7 +10,6 @@ import __spark_entry__
 from vectorloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SOME = ("topk_search", "map_at_100", "order_agreement", "theta_rate", "threshold_confusion", "bootstrap_ci", "exact_dedup", "remap_qrels_max", "subsample_keep_judged", "ensure_splits", "latest_row_wins", "smallest_passing", "nested_export", "sentence_filter")
 
 
 def test_every_sql_has_its_query():
@@ -34,7 +33,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_equals_its_sql(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, SF)
     cols = sorted(got.columns)

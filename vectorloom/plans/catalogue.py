@@ -603,9 +603,9 @@ def merge_sources(spark, sf):
 ARMS = "WITH a AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS m FROM documents GROUP BY 1, 2)"
 
 
-@query("arm_pivot", """SELECT source, coalesce((count(*) FILTER (lang = 'en') )::VARCHAR, '–') AS en, coalesce(nullif(count(*) FILTER (lang = 'de'), 0)::VARCHAR, '–') AS de, coalesce(nullif(count(*) FILTER (lang = 'fr'), 0)::VARCHAR, '–') AS fr FROM documents GROUP BY 1""".replace("(count(*) FILTER (lang = 'en') )", "nullif(count(*) FILTER (lang = 'en'), 0)"))
+@query("arm_pivot", "SELECT source, " + ", ".join(f"coalesce(nullif(count(*) FILTER (lang = '{v}'), 0)::VARCHAR, '–') AS {v}" for v in ("en", "de", "fr")) + " FROM documents GROUP BY 1")
 def arm_pivot(spark, sf):
-    return R.pivot(table(spark, sf, "documents"), "source", "lang", ["en", "de", "fr"], F.count("*"))
+    return R.pivot(table(spark, sf, "documents"), "source", "lang", ["en", "de", "fr"], F.count(F.lit(1)))
 
 
 @query("pct_of_baseline", ARMS + """ SELECT a.lang, a.source, round(100.0::DOUBLE * a.m / b.m, 6) AS percent, round(a.m - b.m, 6) AS delta FROM a LEFT JOIN (SELECT lang, m FROM a WHERE source = 'src0') b USING (lang)""")
