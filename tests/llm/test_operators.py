@@ -81,14 +81,30 @@ def test_substring_dedup(docs, none, monkeypatch, hot):
 
 def test_fingerprint_index_merges_runs(spark):
     index = substring_dedup.FingerprintIndex(spark, 2, fan=2)
-    found = [index.add(spark.createDataFrame([(d, f) for f in fps], "did long, fp long")) for d, fps in ((1, (1, 2)), (2, (2, 3)), (3, (3, 4)), (4, (1, 9)))]
-    assert [sorted((r["fp"], r["first"], r["last"]) for r in f.collect()) for f in found] == [[], [(2, 1, 2)], [(3, 2, 3)], [(1, 1, 4)]]
-    assert len(index.runs) <= 3
+    found = [index.add(spark.createDataFrame([(f, d, d) for f in fps], "fp long, did long, key long")) for d, fps in ((1, (1, 2)), (2, (2, 3)), (3, (3, 4)), (4, (1, 9)))]
+    assert [sorted(r["fp"] for r in f.collect()) for f in found] == [[], [2], [3], [1]]
+    assert len(index.runs) == 2  # three of them were compacted
+    assert collected(index.holders(found[3]), "fp", "did") == [(1, 1), (1, 4)]
     index.compact()
-    assert {r["fp"]: r["docs"] for r in index.history().collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 9: 1}
+    assert len(index.runs) == 1 and collected(index.history(), "fp", "did") == [(1, 1), (1, 4), (2, 1), (2, 2), (3, 2), (3, 3), (4, 3), (9, 4)]
     index.close()
 
 
+def test_batches_against_a_lasting_index(spark, tmp_path):
+    """Batches in ascending order, each with an index opened anew from its folder, give what one run over everything gives; runs are compacted on the way."""
+    rows = sorted((r for r in corpus() if r[0] is not None), key=lambda r: r[0])
+    rows += [(20, " ".join(words(1, 300)[40:200])), (21, None), (22, " ".join(words(2, 260)[5:70] + words(9, 100)))]
+    got = []
+    for i, part in enumerate((rows[:3], rows[3:8], rows[8:12], [], rows[12:15], rows[15:])):
+        index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"))
+        out = substring_dedup.dedup_batch(index, frame(spark, part) if part else spark.createDataFrame([], SCHEMA))
+        got += collected(out, "doc_id", "n_words", "n_removed", "kept")
+        assert len(index.runs) <= 2 and len(index.texts) == i + 1
+        index.close()
+    assert sorted(got, key=repr) == plain_windows(rows, 50)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("vectorloom_")]
+
+
 def plain_strings(rows, n):
     raw = [(r[1] or "").encode() for r in rows]
     count = collections.Counter(t[i : i + n] for t in raw for i in range(len(t) - n + 1))

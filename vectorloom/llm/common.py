@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -104,10 +105,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words (bytes), remembered up to a bound, so that the memory stays bounded."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 150_000, seed: int = 0):
         from xxhash import xxh3_64_intdigest
 
-        self.most, self.known, self.digest = most, {}, xxh3_64_intdigest
+        self.most, self.known, self.digest = most, {}, partial(xxh3_64_intdigest, seed=seed) if seed else xxh3_64_intdigest
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known, digest = self.known, self.digest

@@ -1,16 +1,20 @@
 """Substring dedup with a log-structured fingerprint index.
 
 The index is a set of immutable runs, each sorted by fingerprint and bucketed by it, of the window fingerprints
-(anchors) of a batch of documents: fingerprint, first and last document, number of documents. A new batch is
-fingerprinted into a run of its own, which is merge-joined with the runs of history (equal buckets, sorted,
-so without a shuffle); fingerprints that history or the batch holds twice are candidates. Runs are compacted
-into one when there are more than `FAN`. Candidates are verified against the texts: under each candidate
-fingerprint, all windows of the documents that hold it are compared by a second, independent 64-bit hash over
-the whole window, and the smallest doc_id that holds a window owns it.
+(anchors) of a batch of documents and who holds them: (fp, did, key). A new batch is fingerprinted into a run of
+its own, which is merge-joined with the runs of history (equal buckets, sorted, so without a shuffle);
+fingerprints that history holds too, or two documents of the batch, are candidates, and the runs tell which
+documents hold them. Runs are compacted into one when there are more than `FAN`. Candidates are verified against
+the texts: under each candidate fingerprint, all windows of the documents that hold it are compared by a 128-bit
+hash over the whole window, and the smallest doc_id that holds a window owns it.
+
+An index may live on in a folder of its own (`FingerprintIndex.open`), with the texts of its documents;
+`dedup_batch` judges a new batch against it and adds it.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -19,71 +23,122 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import covered, gram_hashes, keyed, runs, true_spans, window_anchors
-from .common import WordHasher, documents, materialise, new_path
+from .common import WordHasher, documents, drop_path, materialise, new_path
 
 #: Words in a window and in a fingerprinted gram; runs before they are compacted; batches of a one-off call.
-WINDOW, GRAM, FAN, BATCHES = 50, 16, 4, 3
+WINDOW, GRAM, FAN, BATCHES = 50, 16, 2, 4
 #: Fingerprints in a bucket, about. Fingerprints of more documents than HOT are compared by aggregation, not in one task.
 BUCKET_ROWS, HOT = 1_000_000, 5_000
+#: Stands for every document of history where a batch is judged.
+EARLIER = -(1 << 63)
 
-_hasher = None
+_hashers: list[WordHasher] = []
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    global _hasher
-    if _hasher is None:
-        _hasher = WordHasher()
-    return _hasher(words)
+def _hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    if not _hashers:
+        _hashers.extend(WordHasher(seed=i) for i in range(2))
+    return _hashers[seed](words)
 
 
 class FingerprintIndex:
-    """Runs of (fp, first, last, docs) as bucketed, sorted tables in a folder that the cluster shares."""
-
-    def __init__(self, spark: SparkSession, buckets: int = 8, fan: int = FAN):
-        self.spark, self.buckets, self.fan, self.runs = spark, buckets, fan, []
-        self.path, self.name = new_path(spark, "fingerprints"), f"vectorloom_{uuid.uuid4().hex}"
-        self.made = 0
-
-    def _write(self, df: DataFrame) -> str:
-        name = f"{self.name}_{self.made}"
-        self.made += 1
-        # one sorted file for each bucket, so that a merge join needs neither exchange nor sort
-        df.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
-        return name
+    """Runs of (fp, did, key) as bucketed, sorted tables in a folder that the cluster shares."""
+
+    SCHEMA = "fp long, did long, key long"
+
+    def __init__(self, spark: SparkSession, buckets: int = 8, fan: int = FAN, path: str | None = None):
+        self.spark, self.buckets, self.fan, self.runs, self.texts, self.version = spark, buckets, fan, [], [], 0
+        self.lasting, self.path = path is not None, path or new_path(spark, "fingerprints")
+        self.name = f"vectorloom_{uuid.uuid4().hex}"  # of the tables in the session's catalogue, until close()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, buckets: int = 8, fan: int = FAN) -> FingerprintIndex:
+        """The index in a folder, as its last batch left it; a new one where there is none."""
+        index = cls(spark, buckets, fan, path.rstrip("/"))
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index.path}/state")
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            done = [int(x) for x in cls._versions(spark, fs, p)]
+            if done:
+                state = json.loads(spark.read.text(f"{index.path}/state/{max(done)}").first()[0])
+                index.buckets, index.runs, index.texts, index.version = state["buckets"], state["runs"], state["texts"], max(done)
+                for run in index.runs:
+                    spark.sql(f"CREATE TABLE {index._table(run)} ({cls.SCHEMA.replace(' long', ' BIGINT')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{index.path}/{run}'")
+        return index
 
     @staticmethod
-    def _merge(df: DataFrame) -> DataFrame:
-        return df.groupBy("fp").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("docs").alias("docs"))
+    def _versions(spark, fs, p) -> list[str]:
+        """States that were written to the end."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return [f.getPath().getName() for f in fs.listStatus(p) if fs.exists(path(f.getPath(), "_SUCCESS"))]
+
+    def _table(self, run: str) -> str:
+        return f"{self.name}_{run.replace('-', '_')}"
+
+    def _save(self, gone: tuple[str, ...] = ()) -> None:
+        """What the index consists of from now on; what is no part of it any more goes afterwards."""
+        if self.lasting:
+            self.version += 1
+            state = json.dumps({"buckets": self.buckets, "runs": self.runs, "texts": self.texts})
+            self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/state/{self.version}")
+        for run in gone:
+            self.spark.sql(f"DROP TABLE {self._table(run)}")
+            drop_path(self.spark, f"{self.path}/{run}")
+
+    def _write(self, marks: DataFrame) -> str:
+        run = f"run-{uuid.uuid4().hex}"
+        # one sorted file for each bucket, so that a merge join needs neither exchange nor sort
+        marks.select("fp", "did", "key").repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{run}").saveAsTable(self._table(run))
+        return run
 
     def history(self) -> DataFrame:
-        """All runs as plain files: a union of bucketed tables would be taken for one that is bucketed, and equal fingerprints not be merged."""
-        return self.spark.read.schema("fp long, first long, last long, docs long").parquet(*[f"{self.path}/{name}" for name in self.runs])
-
-    def add(self, marks: DataFrame) -> DataFrame:
-        """Add a batch of (did, fp); returns its candidates (fp, first, last, docs), history included."""
-        run = self._write(self._merge(marks.select("fp", F.col("did").alias("first"), F.col("did").alias("last"), F.lit(1).cast("long").alias("docs"))))
-        new = self.spark.table(run)
-        found = new.select("fp", "first", "last", "docs")
-        for name in self.runs:
-            old = self.spark.table(name).select("fp", F.col("first").alias("f"), F.col("last").alias("l"), F.col("docs").alias("d"))
-            found = found.hint("merge").join(old.hint("merge"), "fp", "left").select("fp", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"), (F.col("docs") + F.coalesce("d", F.lit(0))).alias("docs"))
-        found = materialise(found.where("first < last"), "fp-candidates")
+        """All runs as plain files."""
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{run}" for run in self.runs])
+
+    def add(self, marks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """Add a batch of (fp, did, key), each once, and the documents' (did, key, text) if the index shall last; returns the batch's candidates (fp)."""
+        run = self._write(marks)
+        new = self.spark.table(self._table(run))
+        found = new.groupBy("fp").agg(F.min("did").alias("low"), F.max("did").alias("high")).where("low < high").select("fp")
+        for old in self.runs:
+            found = found.unionByName(new.select("fp").hint("merge").join(self.spark.table(self._table(old)).select("fp").hint("merge"), "fp", "left_semi"))
+        found = materialise(found.distinct(), "fp-candidates")
         self.runs.append(run)
+        if texts is not None:
+            part = f"texts-{uuid.uuid4().hex}"
+            texts.select("did", "key", "text").write.parquet(f"{self.path}/{part}")
+            self.texts.append(part)
         if len(self.runs) > self.fan:
             self.compact()
+        else:
+            self._save()
         return found
 
+    def holders(self, candidates: DataFrame) -> DataFrame:
+        """(fp, did, key) of all documents of the index that hold a candidate."""
+        out = [self.spark.table(self._table(run)).join(candidates, "fp", "left_semi") for run in self.runs]
+        both = out[0]
+        for x in out[1:]:
+            both = both.unionByName(x)
+        return both
+
+    def stored(self) -> DataFrame:
+        """(did, key, text) of the documents of all batches."""
+        return self.spark.read.schema("did long, key long, text string").parquet(*[f"{self.path}/{part}" for part in self.texts])
+
     def compact(self) -> None:
         """Merge all runs into one."""
-        one = self._write(self._merge(self.history()))
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-        self.runs = [one]
+        old = tuple(self.runs)
+        self.runs = [self._write(self.history())]
+        self._save(old)
 
     def close(self) -> None:
-        """Forget the tables; the files of an index that stays can be registered anew."""
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Forget the tables; an index that lasts can be opened again, the files of any other go."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
+        if not self.lasting:
+            drop_path(self.spark, self.path)
+        self.runs = []
 
 
 def _fingerprint(window: int, gram: int):
@@ -106,29 +161,30 @@ def _fingerprint(window: int, gram: int):
 
 
 def _windows(window: int, gram: int):
-    """Rows (fp, did, key, start, hashes of the windows from there) of the stretches under a document's candidate fingerprints."""
+    """Rows (fp, did, key, start, two hashes each of the windows from there) of the stretches under a document's candidate fingerprints."""
 
     def work(batches):
         for b in batches:
             rows: list[tuple] = []
             size = 0
             for did, key, text, fps in zip(*(b.column(k) for k in range(4))):
-                units = _hashes(text.as_py().encode().split())
+                words = text.as_py().encode().split()
+                units = _hashes(words)
                 a = window_anchors(units, window, gram)
-                whole = gram_hashes(units ^ np.uint64(0xA5A5A5A5A5A5A5A5), window).view(np.int64)
+                h, g = (gram_hashes(x ^ np.uint64(0xA5A5A5A5A5A5A5A5), window).view(np.int64) for x in (units, _hashes(words, 1)))
                 s, e = runs(a)
                 ok = np.isin(a[s], np.array(fps.as_py(), np.int64))
                 for x, y in zip(s[ok], e[ok]):
-                    rows.append((int(a[x]), did.as_py(), key.as_py(), int(x), whole[x:y]))
-                    size += int(y - x) + 5
+                    rows.append((int(a[x]), did.as_py(), key.as_py(), int(x), h[x:y], g[x:y]))
+                    size += 2 * int(y - x) + 5
                 if size > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                     rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    names = ["fp", "did", "key", "start", "hashes"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    names = ["fp", "did", "key", "start", "hashes", "more"]
     return work
 
 
@@ -139,11 +195,11 @@ def _owned(batches):
         t = pa.Table.from_batches(parts)
         fp, did, key, start = (t.column(k).to_numpy() for k in range(4))
         lists = t.column(4).combine_chunks()
-        flat, count = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        flat, more, count = lists.flatten().to_numpy(), t.column(5).combine_chunks().flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
         row = np.repeat(np.arange(len(fp)), count)
-        order = np.lexsort((did[row], flat, fp[row]))
-        f, h, d = fp[row][order], flat[order], did[row][order]
-        new = np.concatenate([[True], (f[1:] != f[:-1]) | (h[1:] != h[:-1])])
+        order = np.lexsort((did[row], more, flat, fp[row]))
+        f, h, g, d = fp[row][order], flat[order], more[order], did[row][order]
+        new = np.concatenate([[True], (f[1:] != f[:-1]) | (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         hit = np.empty(len(flat), bool)
         hit[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
         # stretches of hits within each row
@@ -175,7 +231,7 @@ def _owned(batches):
                     held, size = [], 0
                 continue
             held.append(b)
-            size += len(b.column(4).flatten()) + b.num_rows
+            size += 2 * len(b.column(4).flatten()) + b.num_rows
             break
     if held and sum(x.num_rows for x in held):
         out = solve(held)
@@ -183,63 +239,66 @@ def _owned(batches):
             yield out
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """For keyed documents: (did, key, spans) of windows that a smaller did holds, and (did, key) of those whose word sequence as a whole does.
-
-    Windows start at `start`, `start + 1`, ... `count` of them.
-    """
-    spark = docs.sparkSession
+def _prepared(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """For keyed documents: (did, key, fps) of those that have windows, and (did, key) of those whose word sequence as a whole has a smaller did."""
     base = materialise(docs.select("did", "key", "text").mapInArrow(_fingerprint(window, gram), "did long, key long, n long, whole binary, fps array<long>"), "windows-base")
-    firsts = base.groupBy("whole").agg(F.min("did").alias("first"))
+    firsts = materialise(base.groupBy("whole").agg(F.min("did").alias("first")), "windows-firsts")
     known = base.join(firsts, "whole")
     copies = known.where((F.col("did") > F.col("first")) & (F.col("n") >= window)).select("did", "key").distinct()
-    own = materialise(known.where(F.col("did") == F.col("first")).where(F.size("fps") > 0).select("did", "key", "fps").dropDuplicates(["did", "key"]), "windows-own")
-    size = own.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0)).alias("n")).first()["n"]
-    cuts = own.approxQuantile("did", [i / batches for i in range(1, batches)], 0.01) if size and batches > 1 else []
-    index = FingerprintIndex(spark, max(4, round(size / BUCKET_ROWS)))
-    found = None
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds[:-1], bounds[1:]):  # ascending batches
-        part = own
-        part = part.where(F.col("did") > low) if low is not None else part
-        part = part.where(F.col("did") <= high) if high is not None else part
-        new = index.add(part.select("did", F.explode("fps").alias("fp")))
-        found = new if found is None else found.unionByName(new)
-    index.compact()
-    index.close()
-    shared = found.groupBy("fp").agg(F.max("docs").alias("docs"))
-    marks = own.select("did", "key", F.explode("fps").alias("fp")).join(shared, "fp")
-    wanted = marks.groupBy("did", "key").agg(F.collect_list("fp").alias("fps"))
-    texts = docs.select("did", "key", "text").join(wanted, ["did", "key"]).select("did", "key", "text", "fps")
-    rows = texts.mapInArrow(_windows(window, gram), "fp long, did long, key long, start long, hashes array<long>")
-    hot = shared.where(F.col("docs") > HOT).select("fp").withColumn("hot", F.lit(True))
-    n_hot = hot.count()
+    own = known.where(F.col("did") == F.col("first")).where(F.size("fps") > 0).select("did", "key", "fps").dropDuplicates(["did", "key"])
+    return materialise(own, "windows-own"), copies
+
+
+def _verified(texts: DataFrame, holders: DataFrame, window: int, gram: int) -> DataFrame:
+    """(did, key, spans) of the windows that a smaller did holds, among the documents (did, key, text) that hold candidates (fp, did, key).
+
+    Windows start at `start`, `start + 1`, ... `count` of them.
+    """
+    holders = materialise(holders, "windows-holders")
+    shared = holders.groupBy("fp").agg(F.count("*").alias("docs"))
+    wanted = holders.groupBy("did", "key").agg(F.collect_list("fp").alias("fps"))
+    rows = texts.join(wanted, ["did", "key"]).select("did", "key", "text", "fps")
+    rows = rows.mapInArrow(_windows(window, gram), "fp long, did long, key long, start long, hashes array<long>, more array<long>")
+    hot = materialise(shared.where(F.col("docs") > HOT).select("fp"), "windows-hot")
+    n_hot, size = hot.count(), holders.count()
     if n_hot:
         rows = materialise(rows, "windows-rows")
-        single = rows.join(hot, "fp", "left_semi").select("fp", "did", "key", "start", F.posexplode("hashes").alias("i", "h")).select("fp", "h", "did", "key", (F.col("start") + F.col("i")).alias("start"))
-        owner = single.groupBy("fp", "h").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("fp", "h", "first")
-        more = single.join(owner, ["fp", "h"]).where("did > first").select("did", "key", "start", F.lit(1).cast("long").alias("count"))
+        single = rows.join(hot, "fp", "left_semi").select("fp", "did", "key", "start", F.posexplode(F.arrays_zip("hashes", "more")).alias("i", "x"))
+        single = single.select("fp", F.col("x.hashes").alias("h"), F.col("x.more").alias("g"), "did", "key", (F.col("start") + F.col("i")).alias("start"))
+        owner = materialise(single.groupBy("fp", "h", "g").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").select("fp", "h", "g", "first"), "windows-owners")
+        more = single.join(owner, ["fp", "h", "g"]).where("did > first").select("did", "key", "start", F.lit(1).cast("long").alias("count"))
         rows = rows.join(hot, "fp", "left_anti")
-    n_parts = max(2, round(size / 100_000))
-    hits = rows.repartition(n_parts, "fp").sortWithinPartitions("fp").mapInArrow(_owned, "did long, key long, start long, count long")
+    hits = rows.repartition(max(2, round(size / 30_000)), "fp").sortWithinPartitions("fp").mapInArrow(_owned, "did long, key long, start long, count long")
     if n_hot:
         hits = hits.unionByName(more)
-    return hits.groupBy("did", "key").agg(F.collect_list(F.struct("start", "count")).alias("spans")), copies
-
+    return hits.groupBy("did", "key").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept (its remaining words, joined by one space), removed (spans of words).
 
-    A word goes when a window of `window` consecutive words that covers it also starts in a document with a
-    smaller doc_id; all windows are judged on the input. Null texts have no words. Documents of fewer words
-    than a window, and the first holder of a window, stay whole. A null doc_id counts as the largest. Rows
-    with the same doc_id do not remove each other's words. Other columns are not read; an empty table gives an
-    empty result.
-    """
-    rows = keyed(docs, id_col, text_col)
-    spans, copies = repeated_windows(rows, window, gram)
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """For keyed documents: (did, key, spans) of windows that a smaller did holds, and (did, key) of those whose word sequence as a whole does."""
+    own, copies = _prepared(docs, window, gram)
+    size = own.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0)).alias("n")).first()["n"]
+    cuts = own.approxQuantile("did", [i / batches for i in range(1, batches)], 0.01) if size and batches > 1 else []
+    index = FingerprintIndex(docs.sparkSession, max(4, round(size / BUCKET_ROWS)))
+    try:
+        found = None
+        bounds = [None, *cuts, None]
+        for low, high in zip(bounds[:-1], bounds[1:]):  # ascending batches
+            part = own
+            part = part.where(F.col("did") > low) if low is not None else part
+            part = part.where(F.col("did") <= high) if high is not None else part
+            new = index.add(part.select(F.explode("fps").alias("fp"), "did", "key"))
+            found = new if found is None else found.unionByName(new)
+        holders = materialise(index.holders(found.distinct()), "windows-found")
+    finally:
+        index.close()
+    return _verified(docs.select("did", "key", "text"), holders, window, gram), copies
+
+
+def _judged(rows: DataFrame, spans: DataFrame, copies: DataFrame, window: int) -> DataFrame:
+    """One row per keyed document: doc_id, n_words, n_removed, kept, removed."""
     marks = spans.withColumn("whole", F.lit(False)).unionByName(copies.select("did", "key", F.array().cast("array<struct<start:long,count:long>>").alias("spans"), F.lit(True).alias("whole")))
-    marks = marks.groupBy("did", "key").agg(F.max("whole").alias("whole"), F.first("spans").alias("spans"))
+    marks = materialise(marks.groupBy("did", "key").agg(F.max("whole").alias("whole"), F.first("spans").alias("spans")), "windows-marks")
 
     def work(batches):
         for b in batches:
@@ -266,6 +325,48 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept (its remaining words, joined by one space), removed (spans of words).
+
+    A word goes when a window of `window` consecutive words that covers it also starts in a document with a
+    smaller doc_id; all windows are judged on the input. Null texts have no words. Documents of fewer words
+    than a window, and the first holder of a window, stay whole. A null doc_id counts as the largest. Rows
+    with the same doc_id do not remove each other's words. Other columns are not read; an empty table gives an
+    empty result.
+    """
+    rows = keyed(docs, id_col, text_col)
+    spans, copies = repeated_windows(rows, window, gram)
+    return _judged(rows, spans, copies, window)
+
+
+def dedup_batch(index: FingerprintIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """`dedup` of a new batch against an index that lasts, to which the batch is added.
+
+    What any earlier batch holds counts as held by a smaller doc_id, so batches in ascending order of doc_ids give
+    together what one run over all of them gives. Earlier batches are not judged again. The batch is in the index
+    once this returns, but for the words of copies inside the batch, which the first of them holds. The other
+    cases are as with `dedup`. The index stays open.
+    """
+    rows = keyed(docs, id_col, text_col)
+    own, copies = _prepared(rows, window, gram)
+    copies = materialise(copies, "windows-copies")
+    mine = materialise(rows.select("did", "key", "text").join(own.select("did", "key"), ["did", "key"], "left_semi").dropDuplicates(["did", "key"]), "windows-batch")
+    before = list(index.texts)
+    old_texts = index.stored() if before else None
+    found = index.add(own.select(F.explode("fps").alias("fp"), "did", "key"), mine)
+    holders = index.holders(found)
+    new = holders.join(own.select("did", "key"), ["did", "key"], "left_semi")
+    texts = mine
+    if old_texts is not None:
+        # documents of history stand for one that is smaller than all; a document of both is judged with the batch
+        past = holders.join(own.select("did", "key"), ["did", "key"], "left_anti")
+        past = past.select("fp", F.lit(EARLIER).cast("long").alias("did"), F.xxhash64("did", "key").alias("key"))
+        new = new.unionByName(past)
+        texts = texts.unionByName(old_texts.select(F.lit(EARLIER).cast("long").alias("did"), F.xxhash64("did", "key").alias("key"), "text"))
+    spans = _verified(texts, new, window, gram).where(F.col("did") != EARLIER)
+    return _judged(rows, spans, copies, window)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
