@@ -61,7 +61,8 @@ def test_topk_ties_chunks_and_masks(spark):
 
 def test_theta_without_positives_is_the_highest_score(spark):
     s = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.7)], "query_id long, doc_id long, score double")
-    assert H.theta_rate(s, s, 2.0).first()["theta"] == 0.7
+    h = H.histogram_of(s)
+    assert H.theta_rate(h, h, 2.0).first()["theta"] == 0.7
 
 
 def test_release_and_latest(spark):

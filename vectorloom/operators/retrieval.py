@@ -1,11 +1,15 @@
 """Scoring and exact top-k: queries against all documents, in blocks.
 
-Documents stay where they are; queries are sent to them in chunks of at most `CHUNK_BYTES`, each batch of
-documents is scored with one matrix product and gives its own k best, and one small shuffle merges these.
+Scores of all pairs are never rows. A block of queries is scored against a block of documents with one matrix
+product, and a kernel gives what is wanted of it: the block's own k best, counts, or a histogram. Queries of at
+most `CHUNK_BYTES` are broadcast and documents stay where they are; beyond, blocks of both are shuffled to each
+other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 
-#: Bytes of query vectors that are sent to the executors at a time.
-CHUNK_BYTES = 64 << 20
+#: Bytes of query vectors that are broadcast at most, and in a block beyond that; documents in a block.
+CHUNK_BYTES, DOC_BLOCK = 64 << 20, 100_000
+#: Queries that are scored at a time.
+STEP = 512
 DIGITS = 6
 
 
@@ -30,58 +36,127 @@ def rank(scored: DataFrame, k: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= k) if k else out
 
 
-def all_scores(queries: DataFrame, docs: DataFrame, mask_self: bool = True) -> DataFrame:
-    """(query_id, doc_id, score) of every pair, for what needs all of them; queries (query_id, v) are the stated, small side."""
-    q, d = queries.select("query_id", F.col("v").alias("qv")), docs.select("doc_id", F.col("v").alias("dv"))
-    pairs = d.join(F.broadcast(q), F.col("query_id") != F.col("doc_id")) if mask_self else d.crossJoin(F.broadcast(q))
-    return pairs.select("query_id", "doc_id", F.round(V.dot(F.col("qv"), F.col("dv")), DIGITS).alias("score"))
-
-
-def topk(queries: DataFrame, docs: DataFrame, k: int, mask_self: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query.
+def blocks(queries: DataFrame, docs: DataFrame, kernel: Callable, schema: str, chunk_bytes: int = CHUNK_BYTES, doc_block: int = DOC_BLOCK) -> DataFrame:
+    """What `kernel` gives for blocks of queries (query_id, v, and more columns) and documents (doc_id, v), in `schema`.
 
-    Scores are dot products rounded to six digits before they are ranked; with mask_self a query's own id is no
-    candidate. Queries beyond one chunk go in several passes over the documents.
+    kernel(table of queries, document ids, document vectors) yields Arrow batches; every query meets every
+    document once. Null vectors are left out.
     """
     spark = docs.sparkSession
+    queries, docs = queries.where("v is not null"), docs.select("doc_id", "v").where("v is not null")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    chunks = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // chunk_bytes))
-    parts = []
-    for c in range(chunks):
-        own = (queries if chunks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c)).select("query_id", "v").toArrow()
-        if not own.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((own["query_id"].to_numpy(), _matrix(own["v"])))
-
-        def best(batches, sent=sent):
-            ids, q = sent.value
+    chunks = -(-(size["n"] * (size["d"] or 1) * 8 * sum("array" in t for _, t in queries.dtypes)) // chunk_bytes)
+    if not chunks:
+        return spark.createDataFrame([], schema)
+    if chunks == 1:
+        sent = spark.sparkContext.broadcast(queries.toArrow().combine_chunks())
+
+        def work(batches):
+            own = sent.value
             for b in batches:
-                if not b.num_rows:
-                    continue
-                doc, d = b.column(0).to_numpy(), _matrix(b.column(1))
-                for i in range(0, len(q), 1024):
-                    s = np.round(q[i : i + 1024] @ d.T, DIGITS)
-                    if mask_self:
-                        s[ids[i : i + 1024, None] == doc[None, :]] = -np.inf
-                    # all that reach the k-th best, so that ties are cut by the final ranking
-                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                    r, x = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r + i]), pa.array(doc[x]), pa.array(s[r, x])], ["query_id", "doc_id", "score"])
-
-        parts.append(docs.select("doc_id", "v").mapInArrow(best, f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double"))
-    if not parts:
-        return rank(all_scores(queries, docs, mask_self), k)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rank(out, k)
+                if b.num_rows:
+                    doc, d = b.column(0).to_numpy(), matrix(b.column(1))
+                    for i in range(0, own.num_rows, STEP):
+                        yield from kernel(own.slice(i, STEP), doc, d)
+
+        return docs.mapInArrow(work, schema)
+    n_docs = max(1, -(-docs.count() // doc_block))
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("*", spot("query_id", chunks).alias("__q")).select("*", every(n_docs).alias("__d"))
+    right = docs.select("*", spot("doc_id", n_docs).alias("__d")).select("*", every(chunks).alias("__q"))
+    names = queries.columns
+
+    def meet(a, b):
+        out = []
+        if a.num_rows and b.num_rows:
+            a, doc, d = a.select(names).combine_chunks(), b["doc_id"].to_numpy(), matrix(b["v"])
+            for i in range(0, a.num_rows, STEP):
+                out += kernel(a.slice(i, STEP), doc, d)
+        return pa.Table.from_batches(out) if out else empty
+
+    empty = spark.createDataFrame([], schema).toArrow()
+    return left.groupBy("__q", "__d").cogroup(right.groupBy("__q", "__d")).applyInArrow(meet, schema)
+
+
+def scores_of(own: pa.Table, doc: np.ndarray, d: np.ndarray, column: str = "v", mask_self: bool = True, masked: float = -np.inf) -> np.ndarray:
+    """Scores of a block, rounded; with mask_self a query's own id has `masked`."""
+    s = np.round(matrix(own[column]) @ d.T, DIGITS)
+    if mask_self:
+        s[own["query_id"].to_numpy()[:, None] == doc[None, :]] = masked
+    return s
+
+
+def topk(queries: DataFrame, docs: DataFrame, k: int, mask_self: bool = True, chunk_bytes: int = CHUNK_BYTES, doc_block: int = DOC_BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query.
+
+    Scores are dot products rounded to six digits before they are ranked; with mask_self a query's own id is no
+    candidate.
+    """
+
+    def best(own, doc, d):
+        s = scores_of(own, doc, d, mask_self=mask_self)
+        # all that reach the k-th best, so that ties are cut by the final ranking
+        edge = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        r, x = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+        yield pa.RecordBatch.from_arrays([own["query_id"].combine_chunks().take(pa.array(r)), pa.array(doc[x]), pa.array(s[r, x])], ["query_id", "doc_id", "score"])
+
+    schema = f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double"
+    return rank(blocks(queries.select("query_id", "v"), docs, best, schema, chunk_bytes, doc_block), k)
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of given pairs alone."""
+    j = pairs.select("query_id", "doc_id").join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(docs.select("doc_id", F.col("v").alias("dv")), "doc_id")
+    return j.select("query_id", "doc_id", F.round(V.dot(F.col("qv"), F.col("dv")), DIGITS).alias("score"))
+
+
+#: Scores are whole millionths between -1 and 1, so a histogram has at most so many rows.
+CODES = 2 * 10**DIGITS + 1
+
+
+def histogram(queries: DataFrame, docs: DataFrame, mask_self: bool = True) -> DataFrame:
+    """(code, n): how many pairs have a score of code millionths; at most CODES rows for unit vectors, whatever the number of pairs."""
+
+    def count(own, doc, d):
+        s = scores_of(own, doc, d, mask_self=mask_self, masked=np.nan)
+        code, n = np.unique(np.rint(s[~np.isnan(s)] * 10**DIGITS).astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    return blocks(queries.select("query_id", "v"), docs, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def ranks_of(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank) of given pairs among all documents (score, then smaller id; a query's own id is no candidate), without ranking the others."""
+    scored = pair_scores(pairs.where("query_id != doc_id"), queries, docs)
+    code = F.round(F.col("score") * 10**DIGITS).cast("long")
+    wanted = scored.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-code).alias("c"), F.col("doc_id").alias("i")))).alias("p"))  # the given ones of a query
+    own = queries.select("query_id", "v").join(wanted, "query_id").select("query_id", "v", F.col("p.c").alias("c"), F.col("p.i").alias("i"))
+
+    def count(own, doc, d):
+        s = -np.rint(scores_of(own, doc, d, masked=-np.inf) * 10**DIGITS)
+        for row, c, i in zip(s, own["c"].to_pylist(), own["i"].to_pylist()):
+            c, i, ordered = np.array(c, float), np.array(i), np.sort(row)
+            above = np.searchsorted(ordered, c, side="left")
+            for j in np.flatnonzero(np.searchsorted(ordered, c, side="right") > above):
+                above[j] += int((doc[row == c[j]] < i[j]).sum())  # equal scores go by id
+            yield above
+
+    def work(own, doc, d):
+        above = list(count(own, doc, d))
+        n = [len(x) for x in above]
+        r = np.repeat(np.arange(len(n)), n)
+        yield pa.RecordBatch.from_arrays([own["query_id"].combine_chunks().take(pa.array(r)), own["i"].combine_chunks().flatten(), pa.array(np.concatenate(above).astype(np.int64))], ["query_id", "doc_id", "above"])
+
+    out = blocks(own, docs, work, f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, above long")
+    return out.groupBy("query_id", "doc_id").agg((F.sum("above") + 1).alias("rank"))
 
 
 def _kind(df: DataFrame, col: str) -> str:
     return dict(df.dtypes)[col]
 
 
-def _matrix(column) -> np.ndarray:
+def matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 

@@ -1,11 +1,14 @@
-"""Thresholds on scores: calibration, confusion and diagnostics. Scores are (query_id, doc_id, score)."""
+"""Thresholds on scores: calibration, confusion and diagnostics, from counts and histograms of blocks of pairs; no pair is a row."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import retrieval as X
+
 DIGITS = 6
 
 
@@ -13,59 +16,91 @@ def _r(c):
     return F.round(c, DIGITS)
 
 
-def theta_rate(student: DataFrame, teacher: DataFrame, tau: float) -> DataFrame:
-    """One row: the student's threshold that lets pass as large a share as the teacher's tau does; its highest score where that is none."""
-    rate = teacher.agg(F.avg((F.col("score") >= tau).cast("double")).alias("rate"))
-    joined = student.crossJoin(F.broadcast(rate))  # one row
-    return joined.groupBy("rate").agg(F.sort_array(F.collect_list("score")).alias("s")).select(
-        _r("rate").alias("rate"),
-        _r(F.when(F.col("rate") <= 0, F.element_at("s", -1)).otherwise(_quantile(F.col("s"), 1 - F.col("rate")))).alias("theta"),
-    )
+def _bins(hist: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A histogram of scores (at most `retrieval.CODES` rows) as arrays: codes in ascending order and how many pairs each has."""
+    t = hist.orderBy("code").toArrow()
+    return t["code"].to_numpy(), t["n"].to_numpy()
 
 
-def _quantile(s, p):
-    """Linear interpolation in a sorted array."""
-    h = (F.size(s) - 1) * p
-    low = F.floor(h).cast("int")
-    a, b = F.element_at(s, low + 1), F.element_at(s, F.least(low + 2, F.size(s)))
-    return a + (b - a) * (h - low)
+def _quantiles(code: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Quantiles with linear interpolation between neighbouring scores."""
+    ends = np.cumsum(n)
+    at = (ends[-1] - 1) * np.asarray(p, float)
+    low = np.floor(at).astype(np.int64)
+    value = lambda k: code[np.searchsorted(ends, k, side="right")] / 10**DIGITS
+    a, b = value(low), value(np.minimum(low + 1, ends[-1] - 1))
+    return a + (b - a) * (at - low)
 
 
-def grid(student: DataFrame, low: float, high: float, n: int) -> DataFrame:
-    """(i, theta): n quantiles of the scores between two shares."""
-    points = [low + (high - low) * i / (n - 1) for i in range(n)]
-    return student.agg(F.percentile("score", F.array(*map(F.lit, points))).alias("q")).select(F.posexplode("q").alias("i", "theta")).select("i", _r("theta").alias("theta"))
-
+def theta_rate(student: DataFrame, teacher: DataFrame, tau: float) -> DataFrame:
+    """One row: the student's threshold that lets pass as large a share as the teacher's tau does; its highest score where that is none. From two histograms."""
+    spark = student.sparkSession
+    (sc, sn), (tc, tn) = _bins(student), _bins(teacher)
+    if not len(sc) or not len(tc):
+        return spark.createDataFrame([], "rate double, theta double")
+    rate = float(tn[tc / 10**DIGITS >= tau].sum() / tn.sum())
+    theta = float(_quantiles(sc, sn, np.array([1 - rate]))[0]) if rate > 0 else float(sc[-1] / 10**DIGITS)
+    return spark.createDataFrame([(round(rate, DIGITS), round(theta, DIGITS))], "rate double, theta double")
+
+
+def best_f1(scores: DataFrame, positives: DataFrame, low: float = 0.5, high: float = 0.99999, n: int = 400) -> DataFrame:
+    """One row (theta, f1): the first of n quantile thresholds with the best micro F1 against positive pairs, from the histograms of all and of positive pairs."""
+    spark = scores.sparkSession
+    (code, count), (pos_code, pos) = _bins(scores), _bins(positives)
+    if not len(code):
+        return spark.createDataFrame([], "theta double, f1 double")
+    theta = np.round(_quantiles(code, count, low + (high - low) * np.arange(n) / (n - 1)), DIGITS)
+    above = lambda c, k: np.concatenate([np.cumsum(k[::-1])[::-1], [0]])[np.searchsorted(c, np.rint(theta * 10**DIGITS).astype(np.int64), side="left")]
+    f1 = np.round(2.0 * above(pos_code, pos) / np.maximum(above(code, count) + pos.sum(), 1), DIGITS)
+    i = int(f1.argmax())
+    return spark.createDataFrame([(float(theta[i]), float(f1[i]))], "theta double, f1 double")
+
+
+def histogram_of(scored: DataFrame) -> DataFrame:
+    """The histogram of given pairs' scores."""
+    return scored.groupBy(F.round(F.col("score") * 10**DIGITS).cast("long").alias("code")).agg(F.count("*").alias("n"))
+
+
+def counts(queries: DataFrame, docs: DataFrame, theta: float, tau: float, guard: float = 0.0) -> DataFrame:
+    """A row for each query (query_id, v: the teacher's vector, w: the student's): n, n_pos, n_neg, n_band, n_pred, tp, fp, fn, band_pred.
+
+    Positive are pairs whose teacher's score is at least tau + guard, negative those below tau - guard; what is
+    between is the band. n_pred are those that the student's theta lets pass.
+    """
+    names = ["n", "n_pos", "n_neg", "n_band", "n_pred", "tp", "fp", "fn", "band_pred"]
 
-def theta_f1(student: DataFrame, positives: DataFrame, low: float = 0.5, high: float = 0.99999, n: int = 400) -> DataFrame:
-    """One row (theta, f1): the first of n quantile thresholds with the best micro F1 against positive pairs.
+    def work(own, doc, d):
+        t, s = X.scores_of(own, doc, d, "v", masked=np.nan), X.scores_of(own, doc, d, "w", masked=np.nan)
+        there, pos, neg, pred = ~np.isnan(t), t >= tau + guard, t < tau - guard, s >= theta
+        band = there & ~pos & ~neg
+        total = [x.sum(axis=1).astype(np.int64) for x in (there, pos, neg, band, pred, pred & pos, pred & neg, ~pred & pos, pred & band)]
+        yield pa.RecordBatch.from_arrays([own["query_id"].combine_chunks(), *map(pa.array, total)], ["query_id", *names])
 
-    Counts above every threshold come from one pass: each score falls between two grid points, and counts are
-    summed from the top.
-    """
-    g = grid(student, low, high, n)
-    marked = student.join(positives.select("query_id", "doc_id", F.lit(1).alias("pos")), ["query_id", "doc_id"], "left")
-    steps = g.agg(F.sort_array(F.collect_list("theta")).alias("grid"))
-    slot = F.aggregate("grid", F.lit(0), lambda s, x: s + (x <= F.col("score")).cast("int"))
-    counts = marked.crossJoin(F.broadcast(steps)).select(slot.alias("slot"), "pos").groupBy("slot").agg(F.count("*").alias("n"), F.count("pos").alias("p"))
-    all_pos = positives.agg(F.count("*").alias("all_pos"))
-    above = g.join(F.broadcast(counts), F.col("slot") >= F.col("i") + 1, "left").groupBy("i", "theta").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pred"), F.coalesce(F.sum("p"), F.lit(0)).alias("tp"))
-    f1 = above.crossJoin(F.broadcast(all_pos)).withColumn("f1", _r(2.0 * F.col("tp") / F.greatest(F.col("pred") + F.col("all_pos"), F.lit(1))))
-    return f1.orderBy(F.desc("f1"), "i").limit(1).select("theta", "f1")
+    parts = X.blocks(queries.select("query_id", "v", "w"), docs, work, f"query_id {dict(queries.dtypes)['query_id']}, " + ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("query_id").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def confusion(student: DataFrame, teacher: DataFrame, theta: float, tau: float, guard: float) -> DataFrame:
-    """A row for each query and one for all (query_id null): pairs within the guard around tau count neither way.
+def confusion(per_query: DataFrame) -> DataFrame:
+    """A row for each query and one for all (query_id null), from `counts`. Undefined values are null.
 
-    Per query, precision divides by all that the student lets pass, the guard band included; over all it does not.
+    A query's precision divides by all that the student lets pass, the band included, and is undefined where
+    that is nothing; its recall is undefined without positives, its fp_rate divides by the negatives. Over all,
+    precision divides by tp + fp, no value is undefined but the rate of the band that passes, and fp_rate is the mean number of wrong pairs a query.
     """
-    j = student.select("query_id", "doc_id", F.col("score").alias("s")).join(teacher.select("query_id", "doc_id", F.col("score").alias("t")), ["query_id", "doc_id"])
-    pred, pos, neg = F.col("s") >= theta, F.col("t") >= tau + guard, F.col("t") < tau - guard
-    count = lambda c: F.count(F.when(c, 1))
-    g = j.groupingSets([["query_id"], []], "query_id").agg(count(pred & pos).alias("tp"), count(pred & neg).alias("fp"), count(~pred & pos).alias("fn"), count(pred).alias("predicted"), count((F.col("s") >= theta) != (F.col("t") >= tau)).alias("crossings"), F.grouping("query_id").alias("overall"))
-    p = F.when(F.col("overall") == 1, F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).otherwise(F.col("tp") / F.greatest(F.col("predicted"), F.lit(1)))
-    r = F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
-    return g.select("query_id", "tp", "fp", "fn", "crossings", _r(p).alias("precision"), _r(r).alias("recall"), _r(2 * p * r / F.greatest(p + r, F.lit(1e-12))).alias("f1"))
+    names = [c for c in per_query.columns if c != "query_id"]
+    ratio = lambda x, y: F.col(x) / F.greatest(F.col(y), F.lit(1))
+    one = per_query.select(
+        "query_id", *names, F.when(F.col("n_pred") > 0, ratio("tp", "n_pred")).alias("precision"), F.when(F.col("n_pos") > 0, ratio("tp", "n_pos")).alias("recall"), F.lit(None).cast("double").alias("f1"),
+        ratio("fp", "n_neg").alias("fp_rate"), F.lit(None).cast("double").alias("band_rate"), (F.col("n_pos") > 0).cast("long").alias("with_pos"),
+    )
+    total = per_query.agg(*[F.sum(n).alias(n) for n in names], F.avg("fp").alias("fp_rate"), F.count(F.when(F.col("n_pos") > 0, 1)).alias("with_pos")).where("n is not null")
+    p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
+    all_ = total.select(
+        F.lit(None).cast(dict(per_query.dtypes)["query_id"]).alias("query_id"), *names, p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-12))).alias("f1"), "fp_rate",
+        F.when(F.col("n_band") > 0, F.col("band_pred") / F.col("n_band")).alias("band_rate"), "with_pos",
+    )
+    out = one.unionByName(all_)
+    return out.select("query_id", *names, *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "fp_rate", "band_rate")], "with_pos")
 
 
 def diagnostic(ranked: DataFrame, k: int) -> DataFrame:
@@ -77,16 +112,14 @@ def diagnostic(ranked: DataFrame, k: int) -> DataFrame:
     )
 
 
-def set_sizes(scores: DataFrame, tau: float) -> DataFrame:
-    """One row: how many documents each query lets pass at tau, and how many queries let none."""
-    n = scores.groupBy("query_id").agg(F.count(F.when(F.col("score") >= tau, 1)).alias("n"))
-    return n.agg(F.count("*").alias("queries"), _r(F.avg("n")).alias("mean"), _r(F.percentile("n", 0.5)).alias("median"), F.max("n").alias("largest"), _r(F.avg((F.col("n") == 0).cast("double"))).alias("empty_rate"))
+def set_sizes(per_query: DataFrame) -> DataFrame:
+    """One row: how many documents each query lets pass (n_pos of `counts` without a guard), and how many queries let none."""
+    n = F.col("n_pos")
+    return per_query.agg(F.count("*").alias("queries"), _r(F.avg(n)).alias("mean"), _r(F.percentile(n, 0.5)).alias("median"), F.max(n).alias("largest"), _r(F.avg((n == 0).cast("double"))).alias("empty_rate"))
 
 
-def prefix_f1(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(query_id, f1, at): the best F1 that any prefix of a query's ranking reaches."""
-    n_rel = qrels.where("grade > 0").groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    j = ranked.join(qrels.where("grade > 0").select("query_id", "doc_id", F.lit(1).alias("rel")), ["query_id", "doc_id"], "left").join(n_rel, "query_id")
-    hits = F.sum(F.coalesce("rel", F.lit(0))).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    f = j.withColumn("f1", F.round(2.0 * hits / (F.col("rank") + F.col("n_rel")), DIGITS))
-    return f.groupBy("query_id").agg(F.max(F.struct("f1", (-F.col("rank")).alias("back"))).alias("b")).select("query_id", F.col("b.f1").alias("f1"), (-F.col("b.back")).cast("long").alias("at"))
+def prefix_f1(ranked: DataFrame) -> DataFrame:
+    """(query_id, f1, at): the best F1 that any prefix of a query's ranking reaches, from the ranks of its relevant documents (query_id, rank); a prefix that does not end with one is worse than the one before."""
+    s = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("r"))  # a query's relevant documents
+    at = F.transform("r", lambda x, i: F.struct(F.round(2.0 * (i + 1) / (x + F.size("r")), DIGITS).alias("f1"), (-x).alias("back")))
+    return s.select("query_id", F.array_max(at).alias("b")).select("query_id", F.col("b.f1").alias("f1"), (-F.col("b.back")).cast("long").alias("at"))

@@ -161,13 +161,14 @@ SELECT q.query_id, count(b.t) AS pairs, round(avg(CASE WHEN b.t IS NOT NULL THEN
 FROM q JOIN t a USING (query_id) LEFT JOIN t b ON a.query_id = b.query_id AND round(a.t - b.t, 6) > 0.005 GROUP BY 1""")
 def order_agreement(spark, sf):
     q, d = vecs(spark, sf)
-    return M.order_agreement(X.topk(q, d, 10), X.all_scores(clients(q), d), 10, 0.005)
+    best = X.topk(q, d, 10)
+    return M.order_agreement(best, X.pair_scores(best, clients(q), d), 10, 0.005)
 
 
 @query("theta_rate", BASE + """SELECT round(rate, 6) AS rate, round(quantile_cont(score, 1 - rate), 6) AS theta FROM sc, (SELECT avg((score >= 0.2)::INT) AS rate FROM s) GROUP BY rate""".replace("quantile_cont(score, 1 - rate)", "(list_sort(list(score))[floor((count(*) - 1) * (1 - rate))::BIGINT + 1] + ((count(*) - 1) * (1 - rate) - floor((count(*) - 1) * (1 - rate))) * (list_sort(list(score))[least(floor((count(*) - 1) * (1 - rate))::BIGINT + 2, count(*))] - list_sort(list(score))[floor((count(*) - 1) * (1 - rate))::BIGINT + 1]))"))
 def theta_rate(spark, sf):
     q, d = vecs(spark, sf)
-    return H.theta_rate(X.all_scores(clients(q), d), X.all_scores(q, d), TAU)
+    return H.theta_rate(X.histogram(clients(q), d), X.histogram(q, d), TAU)
 
 
 @query("theta_f1", BASE + """, g AS (SELECT i, round(quantile_cont(score, list_transform(generate_series(0, 399), lambda k: 0.5::DOUBLE + (0.99999::DOUBLE - 0.5::DOUBLE) * k / 399))[i + 1], 6) AS theta
@@ -178,17 +179,39 @@ f AS (SELECT i, theta, round(2.0::DOUBLE * count(p.doc_id) / greatest(count(sc.d
 SELECT theta, f1 FROM f ORDER BY f1 DESC, i LIMIT 1""")
 def theta_f1(spark, sf):
     q, d = vecs(spark, sf)
-    return H.theta_f1(X.all_scores(clients(q), d), X.topk(q, d, 10))
+    c = clients(q)
+    return H.best_f1(X.histogram(c, d), H.histogram_of(X.pair_scores(X.topk(q, d, 10), c, d)))
+
+
+@query("best_tau_for_topk", BASE + """, g AS (SELECT i, round(quantile_cont(score, list_transform(generate_series(0, 199), lambda k: 0.9::DOUBLE + (0.99999::DOUBLE - 0.9::DOUBLE) * k / 199))[i + 1], 6) AS theta
+  FROM s, generate_series(0, 199) t(i) GROUP BY i),
+p AS (SELECT query_id, doc_id FROM r WHERE rank <= 10),
+f AS (SELECT i, theta, round(2.0::DOUBLE * count(p.doc_id) / greatest(count(s.doc_id) + (SELECT count(*) FROM p), 1), 6) AS f1
+  FROM g LEFT JOIN s ON s.score >= theta LEFT JOIN p USING (query_id, doc_id) GROUP BY 1, 2)
+SELECT theta, f1 FROM f ORDER BY f1 DESC, i LIMIT 1""")
+def best_tau_for_topk(spark, sf):
+    """The one threshold of the trusted scores that comes nearest to each query's ten best."""
+    q, d = vecs(spark, sf)
+    return H.best_f1(X.histogram(q, d), H.histogram_of(X.topk(q, d, 10)), 0.9, 0.99999, 200)
+
+
+def paired(q: DataFrame, student: DataFrame) -> DataFrame:
+    """(query_id, v, w): both vectors of a query."""
+    return q.select("query_id", "v").join(student.select("query_id", F.col("v").alias("w")), "query_id")
 
 
-@query("threshold_confusion", BASE + """, x AS (SELECT query_id, sc.score >= 0.2 AS pred, s.score >= 0.2::DOUBLE + 0.02::DOUBLE AS pos, s.score < 0.2::DOUBLE - 0.02::DOUBLE AS neg, (sc.score >= 0.2) <> (s.score >= 0.2) AS cross_ FROM s JOIN sc USING (query_id, doc_id)),
-y AS (SELECT query_id, grouping(query_id) AS g, count(*) FILTER (pred AND pos) AS tp, count(*) FILTER (pred AND neg) AS fp, count(*) FILTER (NOT pred AND pos) AS fn, count(*) FILTER (pred) AS n, count(*) FILTER (cross_) AS crossings
-  FROM x GROUP BY GROUPING SETS ((query_id), ())),
-z AS (SELECT *, CASE WHEN g = 1 THEN tp / greatest(tp + fp, 1) ELSE tp / greatest(n, 1) END AS p, tp / greatest(tp + fn, 1) AS rr FROM y)
-SELECT coalesce(query_id, -1) AS query_id, tp, fp, fn, crossings, round(p, 6) AS precision, round(rr, 6) AS recall, round(2 * p * rr / greatest(p + rr, 1e-12), 6) AS f1 FROM z""")
+@query("threshold_confusion", BASE + """, x AS (SELECT s.query_id, s.score AS t, sc.score >= 0.2 AS pred, s.score >= 0.2::DOUBLE + 0.02::DOUBLE AS pos, s.score < 0.2::DOUBLE - 0.02::DOUBLE AS neg FROM s JOIN sc USING (query_id, doc_id)),
+y AS (SELECT query_id, count(*) AS n, count(*) FILTER (pos) AS n_pos, count(*) FILTER (neg) AS n_neg, count(*) FILTER (NOT pos AND NOT neg) AS n_band, count(*) FILTER (pred) AS n_pred,
+  count(*) FILTER (pred AND pos) AS tp, count(*) FILTER (pred AND neg) AS fp, count(*) FILTER (NOT pred AND pos) AS fn, count(*) FILTER (pred AND NOT pos AND NOT neg) AS band_pred FROM x GROUP BY 1),
+z AS (SELECT sum(n)::BIGINT AS n, sum(n_pos)::BIGINT AS n_pos, sum(n_neg)::BIGINT AS n_neg, sum(n_band)::BIGINT AS n_band, sum(n_pred)::BIGINT AS n_pred, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn,
+  sum(band_pred)::BIGINT AS band_pred, avg(fp) AS fp_rate, count(*) FILTER (n_pos > 0) AS with_pos FROM y),
+w AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS rr FROM z)
+SELECT query_id, n, n_pos, n_neg, n_band, n_pred, tp, fp, fn, band_pred, CASE WHEN n_pred > 0 THEN round(tp / n_pred, 6) END AS precision, CASE WHEN n_pos > 0 THEN round(tp / n_pos, 6) END AS recall, NULL::DOUBLE AS f1,
+  round(fp / greatest(n_neg, 1), 6) AS fp_rate, NULL::DOUBLE AS band_rate, (n_pos > 0)::BIGINT AS with_pos FROM y
+UNION ALL SELECT -1, n, n_pos, n_neg, n_band, n_pred, tp, fp, fn, band_pred, round(p, 6), round(rr, 6), round(2 * p * rr / greatest(p + rr, 1e-12), 6), round(fp_rate, 6), CASE WHEN n_band > 0 THEN round(band_pred / n_band, 6) END, with_pos FROM w""")
 def threshold_confusion(spark, sf):
     q, d = vecs(spark, sf)
-    return H.confusion(X.all_scores(clients(q), d), X.all_scores(q, d), THETA, TAU, GUARD).withColumn("query_id", F.coalesce("query_id", F.lit(-1).cast("long")))
+    return H.confusion(H.counts(paired(q, clients(q)), d, THETA, TAU, GUARD)).withColumn("query_id", F.coalesce("query_id", F.lit(-1).cast("long")))
 
 
 @query("threshold_diagnostic", BASE + """, k AS (SELECT query_id, max(score) FILTER (rank = 10) AS kth, max(score) FILTER (rank = 1) AS top FROM r GROUP BY 1)
@@ -202,7 +225,7 @@ def threshold_diagnostic(spark, sf):
 SELECT count(*) AS queries, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, max(n) AS largest, round(avg((n = 0)::INT), 6) AS empty_rate FROM n""")
 def threshold_set_sizes(spark, sf):
     q, d = vecs(spark, sf)
-    return H.set_sizes(X.all_scores(q, d), TAU)
+    return H.set_sizes(H.counts(paired(q, q), d, TAU, TAU))
 
 
 @query("oracle_prefix_f1", BASE + """, h AS (SELECT r.query_id, rank, round(2.0::DOUBLE * sum((j.doc_id IS NOT NULL)::INT) OVER (PARTITION BY r.query_id ORDER BY rank) / (rank + n_rel), 6) AS f1
@@ -210,7 +233,7 @@ def threshold_set_sizes(spark, sf):
 SELECT query_id, f1, min(rank) AS at FROM h WHERE (query_id, f1) IN (SELECT query_id, max(f1) FROM h GROUP BY 1) GROUP BY 1, 2""")
 def oracle_prefix_f1(spark, sf):
     q, d = vecs(spark, sf)
-    return H.prefix_f1(X.rank(X.all_scores(q, d)), judged(q, d))
+    return H.prefix_f1(X.ranks_of(judged(q, d), q, d))
 
 
 @query("parity_count", BASE + """SELECT count(*) AS n, round(avg(abs(x)), 6) AS mean_abs, round(max(abs(x)), 6) AS max_abs, count(*) FILTER (abs(x) > 1e-3) AS n_diff, abs(avg(x)) <= 2e-3 AS passes
@@ -539,8 +562,8 @@ def clean_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.clean_lines(F.col("text"), 3), "|").alias("lines"))
 
 
-@query("common_prefix", f"""WITH t AS (SELECT conv_id, turn, string_split({NORM.format(x='text')}, ' ')[1] AS first FROM conversations WHERE turn <= 1), n AS (SELECT count(DISTINCT conv_id) AS streams FROM t),
-p AS (SELECT turn, count(DISTINCT role) AS kinds, count(*) AS have FROM conversations WHERE turn <= 1 GROUP BY 1)
+@query("common_prefix", """WITH n AS (SELECT count(DISTINCT conv_id) AS streams FROM conversations),
+p AS (SELECT turn, count(DISTINCT role) AS kinds, count(*) AS have FROM conversations GROUP BY 1)
 SELECT coalesce(min(CASE WHEN kinds > 1 OR have < streams THEN turn END), max(turn) + 1, 0)::BIGINT AS common FROM p, n""")
 def common_prefix(spark, sf):
     return P.common_prefix(table(spark, sf, "conversations"), "conv_id", "turn", "role")
