@@ -58,15 +58,32 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     until_exit(spark, path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vectorloom_path = path
     return out
 
 
+#: Folders that `materialise` has written and that are still there.
+_written: list[str] = []
+
+
+def settled(spark: SparkSession, build, tag: str) -> DataFrame:
+    """What `build()` returns, written; whatever else it has written on the way goes, as nothing reads it any more."""
+    before = len(_written)
+    out = materialise(build(), tag)
+    for path in _written[before:-1]:
+        drop_path(spark, path)
+    del _written[before:-1]
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove what `materialise` wrote, once all that reads it has been written itself."""
     for df in frames:
         drop_path(df.sparkSession, df._vectorloom_path)
+        if df._vectorloom_path in _written:
+            _written.remove(df._vectorloom_path)
 
 
 def unused(name: str, columns: list[str]) -> str:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .anchors import gram_hashes
@@ -30,8 +31,8 @@ PERCENT, SHINGLE = 80, 5
 RULED_OUT = 0.55
 #: Nor are those of which a smaller share of registers is equal, which the likelihood would rule out as well: it is not worked out for them.
 LEAST_EQUAL = 0.4
-#: Members of a cluster that one task resolves, and their shingles; pivots of a round for larger ones.
-LOCAL, LOCAL_SET, PIVOTS = 2_000, 4_000_000, 64
+#: Members of a cluster that one task resolves, and their shingles; for larger ones pivots of each in the first round, and sets and shingles of all pivots of a round at most.
+LOCAL, LOCAL_SET, PIVOTS, MOST_PIVOTS, PIVOT_SET = 2_000, 4_000_000, 64, 20_000, 2_000_000
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -208,7 +209,8 @@ def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFra
 
     A member that had its turn was compared with all others but those of its own component, so a cluster is
     resolved once what has not had its turn is of one component. Members of the components with the fewest such
-    members come first; only the pivots of a round, at most `pivots` sets for each cluster, are broadcast.
+    members come first; each round has four times as many pivots as the one before, so that few rounds are needed.
+    Only a round's pivots, at most MOST_PIVOTS sets of PIVOT_SET shingles in all, are broadcast.
     """
     spark = members.sparkSession
 
@@ -222,18 +224,22 @@ def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFra
     sets = materialise(members.dropDuplicates(["sig"]).mapInArrow(to_sets, "cluster binary, sig binary, set binary, regs binary"), "near-sets")
     # state: head = the component as known so far; done = had its turn
     state = materialise(sets.select("cluster", "sig", F.col("sig").alias("head"), F.lit(False).alias("done")), "near-state")
-    from pyspark.sql import Window as W
-
+    width = pivots
     while True:
         todo = state.where("not done")
         free = todo.groupBy("cluster", "head").agg(F.count("*").alias("free"))
         open_ = free.groupBy("cluster").agg(F.count("*").alias("heads")).where("heads > 1").select("cluster")
         todo = todo.join(open_, "cluster", "left_semi")
         rank = F.row_number().over(W.partitionBy("cluster").orderBy("free", "sig"))
-        chosen = todo.join(free, ["cluster", "head"]).withColumn("rank", rank).where(F.col("rank") <= pivots)
-        picks = chosen.select("sig", "head").join(sets, "sig").select("cluster", "sig", "set", "regs", "head").collect()  # at most `pivots` for each large cluster
-        if not picks:
+        chosen = todo.join(free, ["cluster", "head"]).withColumn("rank", rank).where(F.col("rank") <= width).orderBy("rank", "sig").limit(MOST_PIVOTS)
+        slim = chosen.join(sets.select("sig", (F.length("set") / 8).alias("n")), "sig").orderBy("rank", "sig").select("sig", "head", "n").collect()  # at most MOST_PIVOTS
+        if not slim:
             break
+        n = int(np.searchsorted(np.cumsum([r["n"] for r in slim]), PIVOT_SET, side="right"))
+        slim = slim[: max(1, n)]
+        picked = spark.createDataFrame([(r["sig"], r["head"], True) for r in slim], "sig binary, h binary, picked boolean")
+        picks = sets.join(F.broadcast(picked), "sig").select("cluster", "sig", "set", "regs", F.col("h").alias("head")).collect()  # about PIVOT_SET shingles
+        width *= 4
         by: dict[bytes, list] = {}
         for r in picks:
             by.setdefault(bytes(r["cluster"]), []).append((bytes(r["head"]), np.frombuffer(r["set"], np.uint64), np.frombuffer(r["regs"], np.uint16)))
@@ -258,8 +264,7 @@ def _rounds(members: DataFrame, size: int, percent: int, pivots: int) -> DataFra
 
         rows = sets.select("sig", "set", "regs").join(todo, "sig").select("cluster", "head", "set", "regs")
         cc = components(rows.mapInArrow(compare, "a binary, b binary"))
-        picked = spark.createDataFrame([(r["sig"], True) for r in picks], "sig binary, picked boolean")
-        now = state.join(cc, state["head"] == cc["node"], "left").join(F.broadcast(picked), "sig", "left")
+        now = state.join(cc, state["head"] == cc["node"], "left").join(F.broadcast(picked.drop("h")), "sig", "left")
         before, state = state, materialise(now.select("cluster", "sig", F.coalesce("label", "head").alias("head"), (F.col("done") | F.coalesce("picked", F.lit(False))).alias("done")), "near-state")
         drop(before)
         shared.unpersist()
