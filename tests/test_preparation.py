@@ -83,12 +83,29 @@ def test_other_sources(spark, tmp_path):
     assert [r["text"].strip() for r in D.read_paragraphs(spark, str(tmp_path / "p.txt")).collect()] == ["one\ntwo", "three"]
 
 
-def test_block_packing_round_trip():
-    rng = np.random.default_rng(3)
-    for bits in (2, 3):
-        x = rng.normal(0, 0.05, 256)
-        p = Q.pack_super(x, bits)
-        raw = Q.to_bytes(p, bits)
-        assert len(raw) * 8 / 256 == Q.bits_per_weight(bits)
-        assert np.abs(Q.unpack_super(Q.from_bytes(raw, bits)) - Q.unpack_super(p)).max() < 1e-6
-        assert np.abs(Q.unpack_super(p) - x).mean() < 0.05 / bits
+def test_block_layouts():
+    """Sizes and places of the two layouts, their round trip, and that the clip search is no worse than the plain range."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20, 256)) * 0.05
+    x[0], x[1], x[2] = 0, 0.3, -rng.random(256)
+    for bits, size in ((2, 84), (3, 110)):
+        p = Q.quantise(x, bits)
+        raw = Q.to_bytes(p)
+        assert raw.shape == (20, size) and Q.bits_per_weight(bits) == size * 8 / 256
+        back = Q.from_bytes(raw, bits)
+        assert back.keys() == p.keys() and all(np.array_equal(p[k], back[k]) for k in p)
+        assert np.abs(Q.restore(back)[3:] - x[3:]).mean() < 0.05 / bits and not Q.restore(back)[0].any()
+        # weights of columns move the errors to where they count less
+        w = np.ones((20, 256))
+        w[:, ::2] = 100
+        e = (Q.restore(Q.quantise(x, bits, w)) - x) ** 2
+        assert e[3:, ::2].sum() <= ((Q.restore(p) - x) ** 2)[3:, ::2].sum()
+    # one code 1 at place 32 of the first half is bits 2 and 3 of byte 0 of the codes; a scale of 5 is a low nibble
+    one = {"bits": 2, "codes": np.zeros((1, 256), int), "scales": np.full((1, 16), 5), "minima": np.full((1, 16), 2), "d": np.array([0.5]), "dmin": np.array([0.25])}
+    one["codes"][0, 32] = 1
+    raw = Q.to_bytes(one)[0]
+    assert raw[0] == 5 | 2 << 4 and raw[16] == 1 << 2 and raw[17:80].sum() == 0 and raw[80:82].tobytes() == np.float16(0.5).tobytes()
+    three = {"bits": 3, "codes": np.full((1, 256), -4), "scales": np.arange(-32, -16)[None, :], "d": np.array([1.0])}
+    three["codes"][0, 33] = 3
+    raw = Q.to_bytes(three)[0]
+    assert raw[1] == 2 and raw[32 + 1] == 3 << 2 and raw[:32].sum() == 2 and raw[96] == 0 | 8 << 4 and raw[97] == 1 | 9 << 4 and raw[104:108].sum() == 0

@@ -66,14 +66,30 @@ def instruction(task: Column, fallback: Column) -> Column:
     return F.coalesce(F.concat(F.lit(lead), task, F.lit(tail)), fallback, F.raise_error(F.lit("no prompt for this data set")))
 
 
+#: Fixed values of the paragraph filter: signs that a paragraph must not begin with, signs that it must end with, marks that it must not hold, and leads of disambiguation pages with the characters in which they are looked for.
+BAD_START = ("*", "-", "#", ":", "|", "{", "!", "=", "•")
+GOOD_END = (".", "!", "?", '"', "“", "”", "»", ")")
+MARKS = ("|", "{{", "}}", "[[", "\t")
+LEADS = (("může znamenat", 80), ("může být", 40))
+_WHITE = r"[\s\p{Z}\x1c-\x1f\x85]"
+
+
+def strip(s: Column) -> Column:
+    """Without white space, Unicode's included, at both ends."""
+    return F.regexp_replace(s, f"^{_WHITE}+|{_WHITE}+$", "")
+
+
 def is_paragraph(s: Column, low: int, high: int) -> Column:
-    """A prose paragraph: opens plainly, ends a sentence, holds no markup, low to high words, few digits, is no disambiguation."""
-    words = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-    digits = F.length(s) - F.length(F.regexp_replace(s, "[0-9]", ""))
-    return (
-        ~s.rlike(r"^[=*#|{!:;\[<]") & s.rlike(r"[.!?]$") & ~s.rlike(r"\{\{|\}\}|\[\[|\]\]|\|\|") & words.between(low, high)
-        & (digits * 10 <= F.length(s)) & ~F.lower(s).contains("may refer to")
-    )
+    """A prose paragraph: opens plainly, ends a sentence, holds no markup, low to high words, at most a tenth of digits, is no disambiguation. Null and blank ones are none."""
+    t = strip(F.coalesce(s, F.lit("")))
+    words = F.size(F.filter(F.split(t, f"{_WHITE}+"), lambda w: w != ""))
+    digits = F.char_length(F.regexp_replace(t, r"\P{Nd}", ""))
+    ok = (t != "") & ~F.substring(t, 1, 1).isin(*BAD_START) & F.right(t, F.lit(1)).isin(*GOOD_END) & words.between(low, high) & (digits * 10 <= F.char_length(t))
+    for mark in MARKS:
+        ok &= ~F.contains(t, F.lit(mark))
+    for lead, within in LEADS:
+        ok &= ~F.contains(F.substring(t, 1, within), F.lit(lead))
+    return ok
 
 
 def sentences(s: Column, low: int = 5, high: int = 30) -> Column:
@@ -82,9 +98,9 @@ def sentences(s: Column, low: int = 5, high: int = 30) -> Column:
 
 
 def clean_lines(s: Column, most: int, low: int = 3, high: int = 200) -> Column:
-    """Lines of a generated list without bullets and numbers, of low to high characters, the first `most`."""
-    lines = F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-*0-9.) ]+", "")))
-    return F.slice(F.filter(lines, lambda x: F.length(x).between(low, high)), 1, most)
+    """Lines of a generated list without the bullets, numbers and brackets at both their ends, of low to high characters, the first `most`."""
+    lines = F.transform(F.split(strip(s), "\n"), lambda x: F.regexp_replace(x, r"^[ \-•*0-9.)\t]+|[ \-•*0-9.)\t]+$", ""))
+    return F.slice(F.filter(lines, lambda x: F.char_length(x).between(low, high)), 1, most)
 
 
 def join_prompts(prompts: Column, sep: str) -> Column:
@@ -92,16 +108,21 @@ def join_prompts(prompts: Column, sep: str) -> Column:
     return F.array_join(F.transform(prompts, lambda x: F.replace(x, F.lit(sep), F.lit(" "))), sep)
 
 
-def parse_file_name(name: Column) -> Column:
-    """(model, grid, calib) of names like model-grid-calib.gguf; nulls where it does not match."""
-    p = r"^(.+)-(q\d_k|iq\d_\w+|f16)(?:-(\w+))?\.gguf$"
-    get = lambda i: F.when(F.regexp_extract(F.lower(name), p, i) != "", F.regexp_extract(F.lower(name), p, i))
-    return F.struct(get(1).alias("model"), get(2).alias("grid"), get(3).alias("calib"))
+#: Fixed value: the end of the names of files whose calibration is compared.
+NAME_END = "-ps20000-t300k-ao-tabQ2_K"
+
+
+def parse_file_name(name: Column, end: str = NAME_END) -> Column:
+    """(model, grid, calib) of names like model-gptq-Q2_K-calib<end>.gguf; all null where a name is not of that kind."""
+    p = r"^(.+?)-gptq-(Q[23]_K)-(.+?)" + end.replace(".", r"\.") + r"\.gguf$"
+    return F.when(name.rlike(p), F.struct(*[F.regexp_extract(name, p, i + 1).alias(c) for i, c in enumerate(("model", "grid", "calib"))]))
 
 
-def arm(calib: Column) -> Column:
-    """The arm of an experiment that a calibration text stands for."""
-    return F.when(calib.isNull(), "none").when(calib.startswith("en"), "generic").when(calib.contains("synth"), "synthetic").when(calib.contains("doc"), "documents").otherwise("other")
+def arm(calib: Column, dataset: Column) -> Column:
+    """The arm of an experiment that a calibration text stands for; null for any other text."""
+    own = lambda kind: F.concat(dataset, F.lit(f"_{kind}"))
+    out = F.when(calib == "generic_wikitext", "generic_en").when(calib == "generic_cs", "generic_cs")
+    return out.when(calib == own("corpus_only"), "corpus").when((calib == own("synth_only")) | (calib == own("synth_noleak")), "synth")
 
 
 def log_number(line: Column, name: str) -> Column:

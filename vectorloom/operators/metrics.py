@@ -73,3 +73,31 @@ def parity(a: DataFrame, b: DataFrame, value: str, tolerance: float = 1e-3, limi
         F.count("*").alias("n"), _r(F.avg(F.abs("d"))).alias("mean_abs"), _r(F.max(F.abs("d"))).alias("max_abs"),
         F.count(F.when(F.abs("d") > tolerance, 1)).alias("n_diff"), (F.abs(F.avg("d")) <= limit).alias("passes"),
     )
+
+
+def evaluate_run(ranked: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (10, 20, 100)) -> DataFrame:
+    """(query_id, metric, value) for ndcg@k and recall@k at every cut, map@100 and mrr@10, of queries that are both ranked and judged.
+
+    One join of the ranking with the judgements serves all. A query without a relevant document has 0 everywhere.
+    """
+    asked = ranked.select("query_id").distinct().join(qrels.select("query_id").distinct(), "query_id")
+    good = qrels.where("grade > 0")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id"))
+    gain = lambda rank: F.col("grade") / F.log2(F.col(rank) + 1.0)
+    within = lambda rank, k, x: F.sum(F.when(F.col(rank) <= k, x))
+    best = good.withColumn("i", place).groupBy("query_id").agg(F.count("*").alias("n_rel"), *[within("i", k, gain("i")).alias(f"ideal{k}") for k in cuts])
+    hit = ranked.join(good, ["query_id", "doc_id"]).withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    got = hit.groupBy("query_id").agg(
+        *[within("rank", k, gain("rank")).alias(f"dcg{k}") for k in cuts], *[F.count(F.when(F.col("rank") <= k, 1)).alias(f"found{k}") for k in cuts],
+        within("rank", 100, F.col("nth") / F.col("rank")).alias("precisions"), F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"),
+    )
+    j = asked.join(best, "query_id", "left").join(got, "query_id", "left")
+    part = lambda x, of: _r(F.coalesce(F.col(x) / F.col(of), F.lit(0.0)))
+    values = [(f"ndcg@{k}", part(f"dcg{k}", f"ideal{k}")) for k in cuts] + [(f"recall@{k}", part(f"found{k}", "n_rel")) for k in cuts]
+    values += [("map@100", part("precisions", "n_rel")), ("mrr@10", _r(F.coalesce(1.0 / F.col("first"), F.lit(0.0))))]
+    return j.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in values])).alias("m")).select("query_id", "m.metric", "m.value")
+
+
+def means(run: DataFrame) -> DataFrame:
+    """(metric, n, mean) of `evaluate_run`."""
+    return run.groupBy("metric").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"))

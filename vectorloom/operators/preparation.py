@@ -37,8 +37,19 @@ def remap_qrels(qrels: DataFrame, remap: DataFrame) -> DataFrame:
     return qrels.join(m, F.col("doc_id") == F.col("old"), "left").groupBy("query_id", F.coalesce("canonical", "doc_id").alias("doc_id")).agg(F.max("grade").alias("grade"))
 
 
-def shingle_sets(corpus: DataFrame, text: Column, size: int = 5) -> DataFrame:
-    """(doc_id, n, items): hashes of the distinct word shingles; texts without words are left out."""
+#: Beyond so many documents, sketches are made of fewer permutations and of shorter beginnings of texts.
+MANY_DOCS, PERMUTATIONS, CHARS = 50_000, (64, 32), (2_000, 800)
+
+
+def minhash_params(n_docs: int) -> tuple[int, int]:
+    """(permutations, characters) of sketches for a corpus of so many documents. `near_pairs` needs neither, as it misses no pair; `shingle_sets` takes the characters for comparison with sketches so made."""
+    many = n_docs > MANY_DOCS
+    return PERMUTATIONS[many], CHARS[many]
+
+
+def shingle_sets(corpus: DataFrame, text: Column, size: int = 5, max_chars: int | None = None) -> DataFrame:
+    """(doc_id, n, items): hashes of the distinct word shingles (of the first max_chars characters of the normalised text, where given); texts without words are left out."""
+    text = text if max_chars is None else F.substring(T.normalise(text), 1, max_chars)
     s = corpus.select("doc_id", T.tokens(text).alias("w")).select("doc_id", T.shingles(F.col("w"), size).alias("items"))
     return s.where(F.size("items") > 0).select("doc_id", F.size("items").alias("n"), "items")
 
@@ -226,3 +237,57 @@ def common_prefix(streams: DataFrame, key: str, pos: str, token: str) -> DataFra
     at = streams.groupBy(pos).agg(F.countDistinct(token).alias("kinds"), F.count("*").alias("have"))
     first_bad = at.crossJoin(F.broadcast(n)).agg(F.min(F.when((F.col("kinds") > 1) | (F.col("have") < F.col("streams")), F.col(pos))).alias("bad"), F.max(pos).alias("last"))
     return first_bad.select(F.coalesce(F.col("bad"), F.col("last") + 1, F.lit(0)).cast("long").alias("common"))
+
+
+def reservoir(docs: DataFrame, keep_ids: DataFrame, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """A uniform sample of what is not in keep_ids, as many as still go into `most`, and all of keep_ids; and one row (raw_total, kept, negatives_seen).
+
+    The sample is what a one-pass reservoir gives: every subset is as likely. The rows with the smallest draws are
+    found by a top-n sort, which holds n rows in each task and moves no others.
+    """
+    marked = docs.join(keep_ids.select("doc_id", F.lit(True).alias("kept")).distinct(), "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    stats = marked.agg(F.count("*").alias("raw_total"), F.count(F.when(F.col("kept"), 1)).alias("kept"), F.count(F.when(~F.col("kept"), 1)).alias("negatives_seen"))
+    room = max(0, most - keep_ids.select("doc_id").distinct().count())
+    return marked.where("kept").unionByName(first_by_draw(marked.where("not kept"), room, seed, "doc_id")), stats
+
+
+def restrict(queries: DataFrame, qrels: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and judgements of the queries that are in some split."""
+    ids = splits.select("query_id").distinct()
+    return queries.join(ids, "query_id", "left_semi"), qrels.join(ids, "query_id", "left_semi")
+
+
+def build(corpus: DataFrame, queries: DataFrame, qrels_by_split: dict[str, DataFrame], max_docs: int | None, seed: int, near: float = 0.9) -> dict[str, DataFrame]:
+    """From raw tables to a data set: corpus, queries, qrels, splits, near_groups, flagged (test queries that leak) and meta (one row).
+
+    The order is fixed: subsample, exact dedup, near-duplicates, queries that equal documents, splits, restriction to
+    them, judgements of documents that are not there, queries left without judgements, leakage, profile. Corpus has
+    (doc_id, text), queries (query_id, text), judgements (query_id, doc_id, grade) by their split.
+    """
+    from .storage import cut
+
+    flat = flatten_qrels(qrels_by_split)
+    if max_docs is not None:
+        corpus = subsample(corpus, flat, max_docs, seed).drop("judged")
+    remap = cut(exact_groups(corpus, F.col("text")))
+    n_raw = corpus.count()
+    corpus = corpus.join(remap.where("doc_id = canonical").select("doc_id"), "doc_id", "left_semi")
+    flat = remap_qrels(flat, remap)
+    near_groups = groups(near_pairs(corpus, F.col("text"), near))
+    same = queries_in_corpus(queries, corpus, F.col("text"))
+    pools = {k: df.select("query_id").distinct() for k, df in qrels_by_split.items() if df.limit(1).count()}
+    splits, how = ensure_splits(pools, seed)
+    splits = cut(splits)
+    if overlapping_splits(splits).limit(1).count():
+        raise ValueError("a query is in more than one split")
+    queries, flat = restrict(queries, flat, splits)
+    flat, lost = dangling(flat, corpus)
+    orphaned = orphans(queries, flat)
+    queries, splits = queries.join(orphaned, "query_id", "left_anti"), splits.join(orphaned, "query_id", "left_anti")
+    flagged = leaking_tests(flat, splits, near_groups)
+    one = profile(corpus, F.col("text"), queries, flat)
+    for name, df in (("dangling", lost), ("orphaned", orphaned), ("query_dups", same), ("flagged", flagged), ("near_groups", near_groups.select("group_id").distinct())):
+        one = one.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
+    per_split = splits.agg(*[F.count(F.when(F.col("split") == k, 1)).alias(f"n_{k}") for k in ("train", "dev", "test")])
+    meta = one.crossJoin(per_split).withColumn("split_source", F.lit(how)).withColumn("exact_removed", F.lit(n_raw).cast("long") - F.col("n_docs"))
+    return {"corpus": corpus, "queries": queries, "qrels": flat, "splits": splits, "near_groups": near_groups, "flagged": flagged, "meta": meta}

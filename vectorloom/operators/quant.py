@@ -1,6 +1,7 @@
-"""Block quantisation of weights: 256 values in a super-block of 16 sub-blocks, with quantised scales and minima.
+"""Block quantisation of weights: 256 values in a super-block of 16 sub-blocks, with quantised scales and minima, in the byte layouts Q2_K and Q3_K.
 
-Blocks are independent, so a batch of rows is one numpy kernel. Bits are packed as codes of `bits` bits, low bits first.
+Blocks are independent, so a batch of them is one numpy kernel. With 2 bits a weight is step * code - minimum, and a
+super-block 84 bytes; with 3 bits it is step * code with a signed step, and a super-block 110 bytes.
 """
 
 from __future__ import annotations
@@ -10,66 +11,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SUPER, SUB = 256, 16
-
-
-def fit(x: np.ndarray, bits: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, steps and minima of sub-blocks (rows of 16 values): x is close to step * code - minimum, by alternating rounding and least squares."""
-    top = (1 << bits) - 1
-    low = np.minimum(x.min(axis=1), 0)
-    step = np.maximum(x.max(axis=1) - low, 1e-12) / top
-    best, kept = None, None
-    for _ in range(rounds + 1):
-        q = np.clip(np.rint((x - low[:, None]) / step[:, None]), 0, top)
-        err = ((step[:, None] * q + low[:, None] - x) ** 2).sum(axis=1)
-        if best is None:
-            best, kept = err, (q, step, -low)
-        else:
-            better = err < best
-            best = np.where(better, err, best)
-            kept = (np.where(better[:, None], q, kept[0]), np.where(better, step, kept[1]), np.where(better, -low, kept[2]))
-        n, sq, sx, sqq, sqx = x.shape[1], q.sum(axis=1), x.sum(axis=1), (q * q).sum(axis=1), (q * x).sum(axis=1)
-        det = n * sqq - sq * sq
-        ok = det > 1e-12
-        step = np.where(ok, (n * sqx - sq * sx) / np.where(ok, det, 1), step)
-        step = np.maximum(step, 1e-12)
-        low = np.minimum(np.where(ok, (sx - step * sq) / n, low), 0)
-    return kept
-
-
-def pack_super(x: np.ndarray, bits: int) -> dict:
-    """One super-block: codes, 4-bit scales and minima of its sub-blocks, and their two common factors (half precision)."""
-    q, step, low = fit(x.reshape(SUPER // SUB, SUB), bits)
-    d = np.float64(np.float16(step.max() / 15))
-    m = np.float64(np.float16(max(low.max(), 0) / 15))
-    sc = np.clip(np.rint(step / d), 0, 15) if d > 0 else np.zeros(len(step))
-    mn = np.clip(np.rint(low / m), 0, 15) if m > 0 else np.zeros(len(low))
-    s, o = (sc * d)[:, None], (mn * m)[:, None]
-    b = x.reshape(SUPER // SUB, SUB)
-    q = np.where(s > 0, np.clip(np.rint((b + o) / np.where(s > 0, s, 1)), 0, (1 << bits) - 1), 0)
-    return {"codes": q.astype(np.uint8).ravel(), "scales": sc.astype(np.uint8), "minima": mn.astype(np.uint8), "d": d, "dmin": m}
-
-
-def unpack_super(p: dict) -> np.ndarray:
-    return (p["codes"].reshape(SUPER // SUB, SUB) * (p["scales"] * p["d"])[:, None] - (p["minima"] * p["dmin"])[:, None]).ravel()
-
-
-def to_bytes(p: dict, bits: int) -> bytes:
-    """Codes bit by bit (low first), then scale and minimum nibbles, then the factors."""
-    spread = np.unpackbits(p["codes"][:, None], axis=1, bitorder="little")[:, :bits].ravel()
-    return np.packbits(spread, bitorder="little").tobytes() + (p["scales"] | p["minima"] << 4).astype(np.uint8).tobytes() + np.array([p["d"], p["dmin"]], "<f2").tobytes()
-
-
-def from_bytes(raw: bytes, bits: int) -> dict:
-    n = SUPER * bits // 8
-    spread = np.unpackbits(np.frombuffer(raw[:n], np.uint8), bitorder="little").reshape(SUPER, bits)
-    codes = (spread << np.arange(bits, dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    nibbles = np.frombuffer(raw[n : n + 16], np.uint8)
-    d = np.frombuffer(raw[n + 16 :], "<f2").astype(np.float64)
-    return {"codes": codes, "scales": nibbles & 15, "minima": nibbles >> 4, "d": d[0], "dmin": d[1]}
+#: Shares of the range that are tried as the first step; sub-blocks that are not spread evenly need a tighter one.
+CLIPS = (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 1.05)
+LEAST = 1e-8
+
+
+class _Best:
+    """The fit with the least error of each sub-block, of those shown so far; the first of equals stays."""
+
+    def __init__(self):
+        self.err, self.kept = None, ()
+
+    def show(self, err: np.ndarray, *fit: np.ndarray) -> None:
+        if self.err is None:
+            self.err, self.kept = err, fit
+            return
+        better = err < self.err
+        self.err = np.where(better, err, self.err)
+        self.kept = tuple(np.where(better, new, old) for new, old in zip(fit, self.kept))
+
+
+def _half(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float16).astype(np.float64)
+
+
+def fit2(x: np.ndarray, weight: np.ndarray | float = 1.0, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Steps and minima of sub-blocks (last axis) for codes 0 to 3, by rounding and least squares in turn from each clip; the least weighted error wins."""
+    low, high, n, best = np.minimum(x.min(axis=-1), 0), np.maximum(x.max(axis=-1), 0), x.shape[-1], _Best()
+    code = lambda step, off: np.clip(np.rint((x + off[..., None]) / step[..., None]), 0, 3)
+    total = x.sum(axis=-1)
+    for clip in CLIPS:
+        step, off = np.maximum((high - low) / 3 * clip, LEAST), -low * clip
+        for _ in range(rounds):
+            q = code(step, off)
+            sq, sqq, sqx = q.sum(axis=-1), (q * q).sum(axis=-1), (q * x).sum(axis=-1)
+            det = n * sqq - sq * sq
+            ok = det != 0
+            slope = (n * sqx - sq * total) / np.where(ok, det, 1)
+            step, off = np.where(ok & (slope > 0), slope, step), np.where(ok, np.maximum((slope * sq - total) / n, 0), off)
+        e = x - (step[..., None] * code(step, off) - off[..., None])
+        best.show((weight * e * e).sum(axis=-1), step, off)
+    return best.kept
+
+
+def fit3(x: np.ndarray, weight: np.ndarray | float = 1.0, rounds: int = 2) -> np.ndarray:
+    """Signed steps of sub-blocks for codes -4 to 3: the weight of the largest size takes the code -4, or 3, at first."""
+    peak, best = np.take_along_axis(x, np.abs(x).argmax(axis=-1)[..., None], -1)[..., 0], _Best()
+    code = lambda step: np.clip(np.rint(x / step[..., None]), -4, 3)
+    for base in (-peak / 4, peak / 3):
+        for clip in CLIPS:
+            step = np.where(np.abs(base * clip) < LEAST, LEAST, base * clip)
+            for _ in range(rounds):
+                q = code(step)
+                sqq = (q * q).sum(axis=-1)
+                new = (q * x).sum(axis=-1) / np.where(sqq == 0, 1, sqq)
+                step = np.where((sqq > 0) & (np.abs(new) > LEAST), new, step)
+            e = x - step[..., None] * code(step)
+            best.show((weight * e * e).sum(axis=-1), step)
+    return best.kept[0]
+
+
+def quantise(x: np.ndarray, bits: int, column_weight: np.ndarray | None = None) -> dict:
+    """Super-blocks (rows of 256 values) as codes, scales (and minima) of their sub-blocks, and common factors in half precision. column_weight: how much an error in each place counts when the clip is chosen."""
+    g = x.reshape(-1, SUPER // SUB, SUB)
+    weight = 1.0 if column_weight is None else np.maximum(column_weight, 1e-12).reshape(-1, SUPER // SUB, SUB)
+    if bits == 2:
+        step, off = fit2(g, weight)
+        d, m = _half(step.max(axis=1) / 15), _half(off.max(axis=1) / 15)
+        scales, minima = (np.clip(np.rint(v / np.where(f > 0, f, 1)[:, None]), 0, 15) for v, f in ((step, d), (off, m)))
+        out = {"bits": 2, "d": d, "dmin": m, "scales": scales.astype(np.int64), "minima": minima.astype(np.int64)}
+        s, o = scales * d[:, None], minima * m[:, None]
+        q = np.clip(np.rint((g + o[..., None]) / np.where(s > 0, s, 1)[..., None]), 0, 3)
+    elif bits == 3:
+        step = fit3(g, weight)
+        top = np.take_along_axis(step, np.abs(step).argmax(axis=1)[:, None], 1)[:, 0]
+        d = _half(-top / 32)  # the largest scale becomes -32
+        scales = np.clip(np.rint(step / np.where(d != 0, d, 1)[:, None]), -32, 31)
+        out = {"bits": 3, "d": d, "scales": scales.astype(np.int64)}
+        s = scales * d[:, None]
+        q = np.clip(np.rint(g / np.where(s != 0, s, 1)[..., None]), -4, 3)
+    else:
+        raise ValueError("there are layouts for 2 and 3 bits")
+    return out | {"codes": np.where((s != 0)[..., None], q, 0).astype(np.int64).reshape(-1, SUPER)}
+
+
+def restore(p: dict) -> np.ndarray:
+    """The weights that a reader of the bytes gets."""
+    q = p["codes"].reshape(-1, SUPER // SUB, SUB) * (p["scales"] * p["d"][:, None])[..., None]
+    return (q - (p["minima"] * p["dmin"][:, None])[..., None] if p["bits"] == 2 else q).reshape(-1, SUPER)
+
+
+def _two_bits(codes: np.ndarray) -> np.ndarray:
+    """64 bytes: of each half of a super-block, byte i holds the codes i, i + 32, i + 64 and i + 96, low bits first."""
+    parts = codes.reshape(-1, 2, 4, 32) << np.array([0, 2, 4, 6])[:, None]
+    return parts.sum(axis=2).astype(np.uint8).reshape(-1, 64)
+
+
+def _from_two_bits(raw: np.ndarray) -> np.ndarray:
+    return ((raw.reshape(-1, 2, 1, 32).astype(np.int64) >> np.array([0, 2, 4, 6])[:, None]) & 3).reshape(-1, SUPER)
+
+
+def to_bytes(p: dict) -> np.ndarray:
+    """Rows of 84 bytes (2 bits: scales and minima as nibbles, codes, d, dmin) or 110 (3 bits: high bits, low bits, 6-bit scales, d)."""
+    factor = lambda x: x.astype("<f2")[:, None].view(np.uint8)
+    if p["bits"] == 2:
+        return np.concatenate([(p["scales"] | p["minima"] << 4).astype(np.uint8), _two_bits(p["codes"]), factor(p["d"]), factor(p["dmin"])], axis=1)
+    # a code's high bit says that 4 is not taken off; byte i holds those of i, i + 32, ...
+    high = ((p["codes"] >= 0).reshape(-1, 8, 32) << np.arange(8)[:, None]).sum(axis=1).astype(np.uint8)
+    v = p["scales"] + 32
+    low4 = (v[:, :8] & 15) | (v[:, 8:] & 15) << 4
+    high2 = ((v >> 4).reshape(-1, 4, 4) << np.array([0, 2, 4, 6])[:, None]).sum(axis=1)
+    return np.concatenate([high, _two_bits(p["codes"] & 3), low4.astype(np.uint8), high2.astype(np.uint8), factor(p["d"])], axis=1)
+
+
+def from_bytes(raw: np.ndarray, bits: int) -> dict:
+    raw = np.ascontiguousarray(raw)
+    factor = lambda a: np.ascontiguousarray(raw[:, a : a + 2]).view("<f2")[:, 0].astype(np.float64)
+    if bits == 2:
+        return {"bits": 2, "scales": (raw[:, :16] & 15).astype(np.int64), "minima": (raw[:, :16] >> 4).astype(np.int64), "codes": _from_two_bits(raw[:, 16:80]), "d": factor(80), "dmin": factor(82)}
+    high = ((raw[:, None, :32] >> np.arange(8, dtype=np.uint8)[:, None]) & 1).reshape(-1, SUPER).astype(np.int64)
+    low4 = np.concatenate([raw[:, 96:104] & 15, raw[:, 96:104] >> 4], axis=1).astype(np.int64)
+    high2 = ((raw[:, None, 104:108] >> np.array([0, 2, 4, 6], np.uint8)[:, None]) & 3).reshape(-1, 16).astype(np.int64)
+    return {"bits": 3, "codes": _from_two_bits(raw[:, 32:96]) + 4 * high - 4, "scales": (low4 | high2 << 4) - 32, "d": factor(108)}
 
 
 def bits_per_weight(bits: int) -> float:
-    return 8 * (SUPER * bits // 8 + 16 + 4) / SUPER
+    return {2: 84, 3: 110}[bits] * 8 / SUPER
 
 
 def quantise_blocks(blocks: DataFrame, bits: int) -> DataFrame:
@@ -77,13 +144,14 @@ def quantise_blocks(blocks: DataFrame, bits: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            packed, mse, err = [], [], []
-            for row in b.column(1):
-                x = np.array(row.as_py(), float)
-                raw = to_bytes(pack_super(np.pad(x, (0, SUPER - len(x))), bits), bits)
-                e = unpack_super(from_bytes(raw, bits))[: len(x)] - x
-                packed.append(raw), mse.append(float((e * e).mean())), err.append(float(np.abs(e).max()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(mse, pa.float64()), pa.array(err, pa.float64())], ["block", "packed", "mse", "max_err"])
+            if not b.num_rows:
+                continue
+            rows = [np.array(r.as_py(), float) for r in b.column(1)]
+            x = np.stack([np.pad(r, (0, SUPER - len(r))) for r in rows])
+            raw = to_bytes(quantise(x, bits))
+            e = restore(from_bytes(raw, bits)) - x
+            own = [e[i, : len(r)] for i, r in enumerate(rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([float((r * r).mean()) for r in own], pa.float64()), pa.array([float(np.abs(r).max()) for r in own], pa.float64())], ["block", "packed", "mse", "max_err"])
 
     return blocks.select("block", "w").mapInArrow(work, "block long, packed binary, mse double, max_err double")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
@@ -83,3 +83,58 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     """(line): table rows of a report; nulls are marked."""
     cell = [F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |")).alias("line"))
+
+
+def pick(df: DataFrame, equal: dict[str, tuple], near: dict[str, float], tolerance: float = 1e-6) -> DataFrame:
+    """Rows whose fields have the given values; a missing field counts as its default. `equal`: field to (value, default); `near`: number that may differ by less than the tolerance, and must be there."""
+    for c, (value, default) in equal.items():
+        df = df.where(F.coalesce(F.col(c), F.lit(default)) == F.lit(value))
+    for c, value in near.items():
+        df = df.where(F.abs(F.col(c) - F.lit(value)) < tolerance)
+    return df
+
+
+def tail_mean(df: DataFrame, by: list[str], order: list[Column], value: str, n: int) -> DataFrame:
+    """(by, mean) of the last n values of each group, undefined ones (null or NaN) left out after the cut; fewer are all."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*[o.desc() for o in order]))  # rank <= n is cut before the shuffle
+    last = df.withColumn("__place", place).where(F.col("__place") <= n)
+    return last.groupBy(*by).agg(F.round(F.avg(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))), DIGITS).alias("mean"))
+
+
+def pivot_measures(df: DataFrame, row: str, column: str, values: list[str], measures: dict[str, Column], missing: str = "–") -> DataFrame:
+    """Rows by columns with several measures in each cell, as columns value_measure; missing cells are marked."""
+    wide = df.groupBy(row).pivot(column, values).agg(*[m.alias(n) for n, m in measures.items()])
+    names = [f"{v}_{n}" for v in values for n in measures]
+    if len(measures) == 1:  # Spark then leaves the measure's name out
+        wide = wide.select(row, *[F.col(v).alias(n) for v, n in zip(values, names)])
+    return wide.select(row, *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(missing)).alias(n) for n in names])
+
+
+def predictions(df: DataFrame, rules: list[tuple[str, Column, str, float]]) -> DataFrame:
+    """(name, observed, bound, holds) for predictions made beforehand, from one row of results: rules are (name, observed, one of >= < within, bound); holds is null where nothing was observed."""
+    test = {">=": lambda x, b: x >= b, "<": lambda x, b: x < b, "within": lambda x, b: F.abs(x) <= b}
+    rows = [F.struct(F.lit(n).alias("name"), x.cast("double").alias("observed"), F.lit(float(b)).alias("bound"), test[op](x, F.lit(float(b))).alias("holds")) for n, x, op, b in rules]
+    return df.select(F.explode(F.array(*rows)).alias("r")).select("r.name", F.round("r.observed", DIGITS).alias("observed"), "r.bound", "r.holds")
+
+
+def arms_compared(df: DataFrame, by: list[str], arm: str, value: str, a: str, b: str) -> DataFrame:
+    """For each group: the range of the value in two arms, the ratio of the larger mean to the smaller, and whether a is slower; only groups that have both arms."""
+    side = lambda x: F.when(F.col(arm) == x, F.col(value))
+    g = df.groupBy(*by).agg(*[f(side(x)).alias(f"{x}_{n}") for x in (a, b) for n, f in (("least", F.min), ("most", F.max), ("mean", F.avg))])
+    x, y = F.col(f"{a}_mean"), F.col(f"{b}_mean")
+    g = g.where(x.isNotNull() & y.isNotNull()).withColumn("slower", x > y).withColumn("ratio", F.round(F.greatest(x, y) / F.nullif(F.least(x, y), F.lit(0.0)), DIGITS))
+    return g.select(*by, *[F.round(f"{z}_{n}", DIGITS).alias(f"{z}_{n}") for z in (a, b) for n in ("least", "most")], "ratio", "slower")
+
+
+def best_known(keys: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str, fallback: dict) -> DataFrame:
+    """(key, value, origin): for each key the value of the first source that has one, else a constant; sources have one row for each key."""
+    out, found = keys.select(key), []
+    for i, (name, df) in enumerate(sources):
+        out = out.join(df.select(key, F.col(value).alias(f"__{i}")), key, "left")
+        found.append((name, F.col(f"__{i}")))
+    if fallback:
+        found.append(("constant", F.try_element_at(F.create_map(*[F.lit(x) for kv in fallback.items() for x in kv]), F.col(key))))
+    origin = F.lit(None).cast("string")
+    for name, c in reversed(found):
+        origin = F.when(c.isNotNull(), F.lit(name)).otherwise(origin)
+    return out.select(key, F.coalesce(*[c for _, c in found]).alias(value), origin.alias("origin"))

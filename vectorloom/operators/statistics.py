@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIGITS = 6
@@ -18,16 +21,42 @@ def differences(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return a.select("query_id", F.col(value).alias("x")).join(b.select("query_id", F.col(value).alias("y")), "query_id").where("x is not null and y is not null").select("query_id", (F.col("x") - F.col("y")).alias("d"))
 
 
+#: Values (one for each query) that are broadcast for the draws, at most.
+FEW_VALUES = 10_000_000
+
+
 def replicate_means(sample: DataFrame, n: int, seed: int, value: str = "d") -> DataFrame:
-    """(rep, m): means of n resamples. Draws are made in parallel and joined to their values; nothing is collected."""
+    """(rep, m): means of n resamples of the values in the order of query_id. The values, one number for each query, are broadcast; each task draws and averages some of the resamples."""
     spark = sample.sparkSession
-    placed = sample.withColumn("pos", F.row_number().over(W.orderBy("query_id")) - 1).select("pos", F.col(value).alias("v"))  # one value for each query
-    size = placed.agg(F.count("*").alias("size"))
-    reps = spark.range(n).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size)).where("size > 0")
-    draws = reps.select("rep", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("i"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string")))
-    draws = draws.select("rep", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("size")).alias("pos"))
-    return draws.join(placed, "pos").groupBy("rep").agg(F.avg("v").alias("m"))
+    if (size := sample.count()) > FEW_VALUES:
+        raise ValueError(f"{size} values are more than the {FEW_VALUES} that resamples are drawn from")
+    sent = spark.sparkContext.broadcast(sample.orderBy("query_id").select(F.col(value).cast("double").alias("v")).toArrow()["v"].to_numpy())
+
+    def work(batches):
+        v = sent.value
+        for b in batches:
+            means = []
+            for rep in b.column(0).to_pylist() if len(v) else ():
+                lead = md5(f"{seed}:{rep}:".encode())
+                means.append(float(v[np.fromiter((_drawn(lead, i, len(v)) for i in range(len(v))), np.int64, len(v))].mean()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, len(means)), pa.array(means, pa.float64())], ["rep", "m"])
+
+    return spark.range(n).select(F.col("id").alias("rep")).mapInArrow(work, "rep long, m double")
+
+
+def _drawn(lead, i: int, size: int) -> int:
+    h = lead.copy()
+    h.update(str(i).encode())
+    return int.from_bytes(h.digest()[:4], "big") % size
+
+
+def readouts(plain: DataFrame, variants: dict[str, DataFrame], value: str, n: int, seed: int) -> DataFrame:
+    """(variant, n, mean, lo, hi, star): each variant against the plain reading of the same queries; a star where the interval leaves out 0."""
+    out = None
+    for name, df in variants.items():
+        part = interval(differences(df, plain, value), n, seed).withColumn("variant", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("variant", "n", "mean", "lo", "hi", F.when((F.col("lo") > 0) | (F.col("hi") < 0), "*").otherwise("").alias("star"))
 
 
 def interval(sample: DataFrame, n: int, seed: int, alpha: float = 0.05, value: str = "d") -> DataFrame:

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a folder of our own, but only if all runs on one machine."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vectorloom-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir, or in a folder of our own where that is unset (as in tests)."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vectorloom-"))
+    folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()

@@ -324,15 +324,19 @@ def half_round_trip(spark, sf):
     return Q.half_round_trip(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", F.round("max_err", 9).alias("max_err"))
 
 
-@query("kquant_rtn")
-def kquant_rtn(spark, sf):
-    """Vectors, four ids at a time, as super-blocks of 256 weights at 2 bits; a block may be shorter, and ids that repeat may need several."""
+def super_blocks(spark, sf):
+    """(block, w): vectors, four ids at a time, as blocks of up to 256 weights; ids that repeat may need several."""
     x = V.as_double(F.col("embedding"))
     e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("block"), "vec_id", x.alias("x")).where(F.size("x") > 0)
     # vectors without an id have blocks of their own
     b = e.groupBy("block", F.when(F.col("vec_id").isNull(), F.xxhash64("x")).alias("own")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("s")).select("block", F.flatten(F.transform("s", lambda t: t["x"])).alias("w"))
-    b = b.select("block", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 256).cast("int")), lambda i: F.slice("w", i * 256 + 1, 256))).alias("w"))
-    return Q.quantise_blocks(b, 2).select("block", F.length("packed").cast("long").alias("bytes"), F.round("mse", 9).alias("mse"), F.round("max_err", 6).alias("max_err"))
+    return b.select("block", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 256).cast("int")), lambda i: F.slice("w", i * 256 + 1, 256))).alias("w"))
+
+
+@query("kquant_rtn")
+def kquant_rtn(spark, sf):
+    """Super-blocks at 2 bits."""
+    return Q.quantise_blocks(super_blocks(spark, sf), 2).select("block", F.length("packed").cast("long").alias("bytes"), F.round("mse", 9).alias("mse"), F.round("max_err", 6).alias("max_err"))
 
 
 @query("ridge_map")
@@ -544,9 +548,14 @@ def window_chunks(spark, sf):
     return P.windows(t, ["doc_id"], "pos", 512)
 
 
-@query("paragraph_filter", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n FROM l WHERE NOT regexp_matches(line, '^[=*#|{!:;\[<]') AND regexp_matches(line, '[.!?]$') AND NOT regexp_matches(line, '\{\{|\}\}|\[\[|\]\]|\|\|')
-AND len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) BETWEEN 20 AND 120 AND (length(line) - length(regexp_replace(line, '[0-9]', '', 'g'))) * 10 <= length(line) AND NOT contains(lower(line), 'may refer to') GROUP BY 1""")
+STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}\x1c-\x1f\x85]+|[\s\p{{Z}}\x1c-\x1f\x85]+$', '', 'g')"
+
+
+@query("paragraph_filter", rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT doc_id, {STRIP.format(x='line')} AS s FROM l)
+SELECT doc_id, count(*) AS n FROM p WHERE s <> '' AND NOT (s[1] IN ('*', '-', '#', ':', '|', '{{', '!', '=', '•')) AND s[-1] IN ('.', '!', '?', '"', '“', '”', '»', ')')
+AND position('|' IN s) = 0 AND position('{{{{' IN s) = 0 AND position('}}}}' IN s) = 0 AND position('[[' IN s) = 0 AND position(chr(9) IN s) = 0
+AND len(list_filter(regexp_split_to_array(s, '[\s\p{{Z}}]+'), lambda w: w <> '')) BETWEEN 20 AND 120 AND (length(s) - length(regexp_replace(s, '\p{{Nd}}', '', 'g'))) <= 0.10 * length(s)
+AND position('může znamenat' IN s[1:80]) = 0 AND position('může být' IN s[1:40]) = 0 GROUP BY 1""")
 def paragraph_filter(spark, sf):
     l = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return l.where(T.is_paragraph(F.col("line"), 20, 120)).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -557,7 +566,7 @@ def sentence_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
 
 
-@query("clean_lines", r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^[-*0-9.) ]+', ''))), lambda x: length(x) BETWEEN 3 AND 200)[1:3], '|') AS lines FROM documents""")
+@query("clean_lines", rf"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split({STRIP.format(x='text')}, chr(10)), lambda x: trim(x, ' -•*0123456789.)' || chr(9))), lambda x: length(x) BETWEEN 3 AND 200)[1:3], '|') AS lines FROM documents""")
 def clean_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.clean_lines(F.col("text"), 3), "|").alias("lines"))
 
@@ -578,14 +587,20 @@ def prompt_lookup(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.instruction(task, F.lit("query: ")).alias("prompt"))
 
 
-@query("name_parse", r"""WITH n AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'm' || page_id || '-q2_k-synth.gguf' WHEN 1 THEN 'm' || page_id || '-q3_k.gguf' ELSE url END AS name FROM pages)
-SELECT page_id, nullif(regexp_extract(lower(name), '^(.+)-(q\d_k|iq\d_\w+|f16)(?:-(\w+))?\.gguf$', 1), '') AS model, nullif(regexp_extract(lower(name), '^(.+)-(q\d_k|iq\d_\w+|f16)(?:-(\w+))?\.gguf$', 2), '') AS grid,
-CASE WHEN page_id % 3 = 0 THEN 'synthetic' ELSE 'none' END AS arm FROM n""")
+@query("name_parse", r"""WITH n AS (SELECT doc_id, source, 'm' || doc_id || '-gptq-' || CASE WHEN doc_id % 2 = 0 THEN 'Q2_K' ELSE 'Q' || doc_id % 5 || '_K' END || '-'
+  || CASE doc_id % 5 WHEN 0 THEN 'generic_wikitext' WHEN 1 THEN 'generic_cs' WHEN 2 THEN source || '_corpus_only' WHEN 3 THEN source || '_synth_noleak' ELSE lang || '_synth_only' END
+  || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '-ps20000-t300k-ao-tabQ2_K' END || '.gguf' AS name FROM documents),
+m AS (SELECT doc_id, source, name, regexp_matches(name, '^(.+?)-gptq-(Q[23]_K)-(.+?)-ps20000-t300k-ao-tabQ2_K\.gguf$') AS ok, regexp_extract(name, '^(.+?)-gptq-(Q[23]_K)-(.+?)-ps20000-t300k-ao-tabQ2_K\.gguf$', ['model', 'grid', 'calib']) AS x FROM n)
+SELECT doc_id, CASE WHEN ok THEN x.model END AS model, CASE WHEN ok THEN x.grid END AS grid, CASE WHEN NOT ok THEN NULL WHEN x.calib = 'generic_wikitext' THEN 'generic_en' WHEN x.calib = 'generic_cs' THEN 'generic_cs'
+  WHEN x.calib = source || '_corpus_only' THEN 'corpus' WHEN x.calib IN (source || '_synth_only', source || '_synth_noleak') THEN 'synth' END AS arm FROM m""")
 def name_parse(spark, sf):
-    id_ = F.col("page_id").cast("string")
-    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("m"), id_, F.lit("-q2_k-synth.gguf"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("m"), id_, F.lit("-q3_k.gguf"))).otherwise(F.col("url"))
-    n = table(spark, sf, "pages").select("page_id", T.parse_file_name(name).alias("n"))
-    return n.select("page_id", "n.model", "n.grid", T.arm(F.col("n.calib")).alias("arm"))
+    """File names made of each document's id, source and language, some of them of another kind; the source is the data set."""
+    i, end = F.col("doc_id"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(T.NAME_END)
+    grid = F.when(i % 2 == 0, "Q2_K").otherwise(F.concat(F.lit("Q"), (i % 5).cast("string"), F.lit("_K")))
+    calib = F.when(i % 5 == 0, "generic_wikitext").when(i % 5 == 1, "generic_cs").when(i % 5 == 2, F.concat("source", F.lit("_corpus_only"))).when(i % 5 == 3, F.concat("source", F.lit("_synth_noleak"))).otherwise(F.concat("lang", F.lit("_synth_only")))
+    name = F.concat(F.lit("m"), i.cast("string"), F.lit("-gptq-"), grid, F.lit("-"), calib, end, F.lit(".gguf"))
+    n = table(spark, sf, "documents").select("doc_id", "source", T.parse_file_name(name).alias("n"))
+    return n.select("doc_id", "n.model", "n.grid", T.arm(F.col("n.calib"), F.col("source")).alias("arm"))
 
 
 @query("log_numbers", """SELECT event_id, round(value, 6) AS ms FROM events""")

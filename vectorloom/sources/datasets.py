@@ -21,6 +21,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """corpus, queries, qrels, splits and meta; nulls in titles and texts become empty."""
     if not exists(spark, f"{path}/corpus.jsonl.gz"):
@@ -36,7 +41,9 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def save(path: str, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, splits: DataFrame, meta: DataFrame) -> None:
-    """Write a data set; each file appears whole or not at all."""
+    """Write a data set, over what is there. Spark publishes each of the five files whole; the data set is whole once meta, which is written last, is there again."""
+    if exists(meta.sparkSession, f"{path}/meta.json"):
+        remove(meta.sparkSession, f"{path}/meta.json")
     corpus.select(F.col("doc_id").alias("_id"), "title", "text").write.mode("overwrite").json(f"{path}/corpus.jsonl.gz", compression="gzip")
     queries.select(F.col("query_id").alias("_id"), "text").write.mode("overwrite").json(f"{path}/queries.jsonl.gz", compression="gzip")
     qrels.select("query_id", "doc_id", F.col("grade").cast("int")).write.mode("overwrite").csv(f"{path}/qrels.tsv", sep="\t", header=True, quote="")
@@ -145,3 +152,45 @@ def manifest(spark: SparkSession, path: str, chunk: int) -> DataFrame:
     n = F.ceil(F.col("length") / chunk).cast("int")
     sizes = F.when(F.col("length") > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.least(F.lit(chunk).cast("long"), F.col("length") - (i - 1) * chunk))).otherwise(F.array().cast("array<bigint>"))
     return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), sizes.alias("chunks"))
+
+
+def save_embeddings(path: str, corpus: DataFrame, queries: DataFrame, about: dict[str, str]) -> None:
+    """A cache of vectors: corpus and queries as (id, embedding), and one row of provenance (about, counts, dimension), written last."""
+    spark = corpus.sparkSession
+    for name, df in (("corpus", corpus), ("queries", queries)):
+        df.select("id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(f"{path}/{name}")
+    size = {}
+    for name in ("corpus", "queries"):
+        r = spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+        if r["low"] != r["high"]:
+            raise ValueError(f"{name}: vectors of {r['low']} to {r['high']} numbers")
+        size[name] = r
+    if size["corpus"]["n"] and size["queries"]["n"] and size["corpus"]["low"] != size["queries"]["low"]:
+        raise ValueError("corpus and queries differ in dimension")
+    row = {"n_corpus": size["corpus"]["n"], "n_queries": size["queries"]["n"], "dim": size["corpus"]["low"], "about": about}
+    spark.createDataFrame([row], "n_corpus long, n_queries long, dim int, about map<string,string>").coalesce(1).write.mode("overwrite").json(f"{path}/meta.json")
+
+
+def load_embeddings(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """corpus, queries and meta of a cache; an error if its counts are not those of its provenance, as after a write that did not end."""
+    if not exists(spark, f"{path}/meta.json"):
+        raise FileNotFoundError(f"no embeddings at {path}, or not written to the end")
+    meta = spark.read.schema("n_corpus long, n_queries long, dim int, about map<string,string>").json(f"{path}/meta.json")
+    out = {name: spark.read.parquet(f"{path}/{name}") for name in ("corpus", "queries")}
+    m = meta.first()
+    if any(out[name].count() != m[f"n_{name}"] for name in out):
+        raise ValueError(f"{path}: counts differ from the provenance")
+    return out | {"meta": meta}
+
+
+def save_per_query(results: DataFrame, path: str) -> None:
+    """Values of each query (dataset, system, query_id, metric, value), a folder for each data set and system; those in `results` are replaced, others stay."""
+    results.select("query_id", "metric", "value", "dataset", "system").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "system").parquet(path)
+
+
+def load_per_query(spark: SparkSession, path: str, dataset: str | None = None, system: str | None = None) -> DataFrame:
+    """What `save_per_query` wrote; only the folders asked for are read."""
+    df = spark.read.schema("query_id string, metric string, value double, dataset string, system string").parquet(path)
+    for c, v in (("dataset", dataset), ("system", system)):
+        df = df if v is None else df.where(F.col(c) == v)
+    return df
