@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vector import let
+
 #: Query instructions by teacher and data set kind; {task} is the data set's own sentence.
 INSTRUCTION = "Instruct: {task}\nQuery: "
 
@@ -26,8 +28,7 @@ def content_hash(s: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     """Words of the normalised text; none for an empty one."""
-    n = normalise(s)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    return let(normalise(s), lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " ")))
 
 
 def token_count(s: Column) -> Column:
@@ -37,12 +38,14 @@ def token_count(s: Column) -> Column:
 def shingles(words: Column, size: int = 5) -> Column:
     """Hashes of the distinct word shingles of an array of words; fewer words are one shingle, no words have none.
 
-    Shifted copies of the array are zipped, so each shingle costs its own words only. Give a column that is
-    computed beforehand: it is used `size` times.
+    Words are hashed once, and shifted copies of the hashes are zipped.
     """
-    n = F.greatest(F.size(words) - (size - 1), F.lit(1))
-    zipped = F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(size)])
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(z))))
+
+    def zipped(h: Column) -> Column:
+        n = F.greatest(F.size(h) - (size - 1), F.lit(1))
+        return F.transform(F.arrays_zip(*[F.slice(h, i + 1, n).alias(f"w{i}") for i in range(size)]), lambda z: F.xxhash64(z))
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(zipped(h))))
 
 
 def truncate(s: Column, chars: int) -> Column:

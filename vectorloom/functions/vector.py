@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 FLOOR = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once. Spark repeats an expression wherever it stands, also inside a lambda for each element; a lambda's variable it does not."""
+    return F.transform(F.array(value), body)[0]
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -22,8 +27,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit length; norms are floored, so a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(FLOOR))
-    return F.transform(v, lambda x: x / n)
+    return let(v, lambda u: let(F.greatest(norm(u), F.lit(FLOOR)), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def scale(v: Column, levels: int = 127) -> Column:
@@ -33,17 +37,18 @@ def scale(v: Column, levels: int = 127) -> Column:
 
 def codes(v: Column, levels: int = 127) -> Column:
     """Whole numbers in +-levels, halves to even."""
-    s = F.greatest(scale(v, levels), F.lit(FLOOR))
-    return F.transform(v, lambda x: F.greatest(F.least(F.rint(x / s), F.lit(float(levels))), F.lit(-float(levels))).cast("int"))
+    top = float(levels)
+    rounded = lambda x, s: F.greatest(F.least(F.rint(x / s), F.lit(top)), F.lit(-top)).cast("int")
+    return let(v, lambda u: let(F.greatest(scale(u, levels), F.lit(FLOOR)), lambda s: F.transform(u, lambda x: rounded(x, s))))
 
 
 def restore(c: Column, s: Column) -> Column:
-    return F.transform(c, lambda x: x * s)
+    return let(s, lambda t: F.transform(c, lambda x: x * t))
 
 
 def quantised(v: Column, levels: int = 127) -> Column:
     """A vector after quantising and restoring."""
-    return restore(codes(v, levels), scale(v, levels))
+    return let(v, lambda u: restore(codes(u, levels), scale(u, levels)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

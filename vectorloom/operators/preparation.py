@@ -50,8 +50,9 @@ def minhash_params(n_docs: int) -> tuple[int, int]:
 def shingle_sets(corpus: DataFrame, text: Column, size: int = 5, max_chars: int | None = None) -> DataFrame:
     """(doc_id, n, items): hashes of the distinct word shingles (of the first max_chars characters of the normalised text, where given); texts without words are left out."""
     text = text if max_chars is None else F.substring(T.normalise(text), 1, max_chars)
-    s = corpus.select("doc_id", T.tokens(text).alias("w")).select("doc_id", T.shingles(F.col("w"), size).alias("items"))
-    return s.where(F.size("items") > 0).select("doc_id", F.size("items").alias("n"), "items")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator's output is not worked out again wherever it is used
+    s = corpus.select("doc_id", once(T.tokens(text)).alias("w")).where(F.size("w") > 0).select("doc_id", once(T.shingles(F.col("w"), size)).alias("items"))
+    return s.select("doc_id", F.size("items").alias("n"), "items")
 
 
 def near_pairs(corpus: DataFrame, text: Column, threshold: float = 0.9, size: int = 5) -> DataFrame:
@@ -60,8 +61,12 @@ def near_pairs(corpus: DataFrame, text: Column, threshold: float = 0.9, size: in
     Sets that reach the threshold share one of their (1 - t) n + 1 rarest items; only those are joined on, then
     the full sets are compared. Documents with equal sets are compared once and tied to the first of them.
     """
-    sets = shingle_sets(corpus, text, size).withColumn("sig", F.md5(F.array_join(F.transform(F.array_sort("items"), lambda x: x.cast("string")), ",")))
-    one = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("items").alias("items"))
+    from .storage import cut
+
+    # sorted, so that equal sets have equal signatures; worked out once, as what follows reads it several times
+    sets = shingle_sets(corpus, text, size).select("doc_id", "n", F.array_sort("items").alias("items"))
+    sets = cut(sets.withColumn("sig", F.md5(F.array_join(F.col("items").cast("array<string>"), ","))))
+    one = cut(sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("items").alias("items")))
     item = one.select("rep", "n", F.explode("items").alias("item"))
     often = item.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")  # an item of one set cannot be shared
     ranked = item.join(often, "item", "left").withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "item")))
