@@ -141,3 +141,68 @@ def test_reports_of_what_is_missing(spark):
     assert [tuple(r) for r in R.pivot_measures(df, "g", "arm", ["x", "y"], {"n": F.count(F.lit(1))}).orderBy("g").collect()] == [("a", "1", "1"), ("b", "2", "–")]
     known = R.best_known(df.select("g").distinct().unionByName(spark.createDataFrame([("c",)], "g string")), "g", [("one", spark.createDataFrame([("a", 9.0)], "g string, v double"))], "v", {"b": 2.0})
     assert {tuple(r) for r in known.collect()} == {("a", 9.0, "one"), ("b", 2.0, "constant"), ("c", None, None)}
+
+
+def test_log_and_name_parsing(spark):
+    log = ["a", " ggml_webgpu: adapter_info x ", "offloaded 3/28 layers to GPU", "model buffer size 1", "model buffer size 2", "ggml_webgpu: Failed y"]
+    df = spark.createDataFrame([(log, "webgpu"), (log[:1], "webgpu"), (log[:1], "cpu"), (["ggml_webgpu: adapter_info", "offloaded 0/28 layers to GPU"], "webgpu")], "l array<string>, r string")
+    got = [r["g"] for r in df.select(T.gpu_evidence(F.col("l"), F.col("r")).alias("g")).collect()]
+    assert [(g["layers"], g["active"], g["fallback"]) for g in got] == [("3/28", True, False), (None, False, True), (None, False, False), ("0/28", False, True)]
+    assert got[0]["adapter"] == "ggml_webgpu: adapter_info x" and len(got[0]["buffers"]) == 2 and len(got[0]["errors"]) == 1
+    one = lambda c: spark.range(1).select(c.alias("c")).first()["c"]
+    tag = "Q2_K-nfcorpus_synth_only-ps20000-t300k-ao-tabQ2_K"
+    assert one(T.describe_calibration(F.lit(tag))) == "nfcorpus_synth_only: synthetic queries (doc2query, Qwen3-1.7B) in the E5 query format, per-sample, act-order, token budget 300k"
+    assert one(T.describe_calibration(F.lit("other"))) == "other"
+    assert tuple(one(T.calibration_tokens(F.lit("n_seq=12 per_sample")))) == (12, 6144) and one(T.calibration_tokens(F.lit("nothing"))) is None
+
+
+def test_documents_must_have_vectors(spark):
+    d = spark.createDataFrame([(i,) for i in range(8)], "doc_id long")
+    v = spark.createDataFrame([(i, [1.0]) for i in (1, 9)], "doc_id long, embedding array<double>")
+    with pytest.raises(ValueError, match=r"\[0, 2, 3, 4, 5\]"):
+        P.align(d, v)
+    both, extra = P.align(d.where("doc_id = 1"), v)
+    assert both.count() == 1 and [r["doc_id"] for r in extra.collect()] == [9]
+    s = spark.createDataFrame([(2, "a", "test"), (0, "c", "test"), (1, "b", "test"), (0, "d", "dev")], "pos int, query_id string, split string")
+    assert [r["query_id"] for r in P.members(s, "test", spark.createDataFrame([("a",), ("c",)], "query_id string")).collect()] == ["c", "a"]
+
+
+def test_choosing_a_client(spark):
+    known = spark.createDataFrame([(1, "b"), (0, "a")], "pos int, id string")
+    assert [R.choose(known, "id", *x) for x in ((None, None), (None, "b"), ("b", "a"), (None, "gone"))] == ["a", "b", "b", "a"]
+    with pytest.raises(KeyError):
+        R.choose(known, "id", "gone", None)
+    sets = P.calibration_sets(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "y")], "query_id long, text string"), 3)
+    assert {k: v.count() for k, v in sets.items()} == {"corpus_only": 1, "synth_only": 1, "corpus_synth": 2}
+
+
+def test_index_and_vector_files(spark, tmp_path):
+    x = np.arange(12, dtype=np.float32).reshape(4, 3)
+    (tmp_path / "a.f32").write_bytes(x.tobytes())
+    np.save(tmp_path / "b.npy", x)
+    assert [r["embedding"] for r in D.read_vectors(spark, str(tmp_path / "a.f32"), rows=4).orderBy("pos").collect()] == x.tolist()
+    assert D.read_vectors(spark, str(tmp_path / "b.npy")).count() == 4
+    for how in ({"dim": 5}, {"rows": 5}, {"dim": 3, "rows": 3}, {}):
+        with pytest.raises(Exception, match="vectors"):
+            D.read_vectors(spark, str(tmp_path / "a.f32"), **how).collect()
+    spark.createDataFrame([(0, [1, -2], 0.5), (1, [3, 4], 2.0)], "pos long, codes array<int>, scale double").write.parquet(str(tmp_path / "index"))
+    assert [r["embedding"] for r in D.load_index(spark, str(tmp_path / "index"), 2, 2).orderBy("pos").collect()] == [[0.5, -1.0], [6.0, 8.0]]
+    with pytest.raises(ValueError, match="mismatch"):
+        D.load_index(spark, str(tmp_path / "index"), 2, 3)
+    docs = spark.createDataFrame([(i, f"d{i}") for i in range(7)], "pos long, id string")
+    D.write_doc_shards(docs, str(tmp_path / "shards"), "pos", 3)
+    got = spark.read.json(str(tmp_path / "shards")).orderBy("shard").collect()
+    assert [(r["first_index"], [x["id"] for x in r["docs"]]) for r in got] == [(0, ["d0", "d1", "d2"]), (3, ["d3", "d4", "d5"]), (6, ["d6"])]
+    D.write_shards(docs, str(tmp_path / "ranges"), "pos", 10, 30)
+    assert sum(r["rows"] for r in D.shard_counts(spark, str(tmp_path / "ranges")).collect()) == 7
+    assert set(D.by_split({"validation": docs, "dev": docs, "test": docs})) == {"dev", "test"} and D.by_split({"validation": docs, "dev": docs})["dev"].count() == 14
+
+
+def test_the_grid_of_penalties_finds_the_map(spark):
+    rng = np.random.default_rng(5)
+    w, x = rng.normal(size=(4, 4)), rng.normal(size=(200, 4))
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, x @ w))], "i int, x array<double>, y array<double>")
+    from vectorloom.operators import quant as Q
+
+    best, tried = Q.ridge_grid(df.where("i < 160"), df.where("i >= 160"), "x", "y")
+    assert np.abs(best - w).max() < 0.05 and tried[0][2] > 0.999 and tried[0][2] > tried[-1][2] and tried[-1][0] == "rotation"

@@ -131,3 +131,59 @@ def arm(calib: Column, dataset: Column) -> Column:
 def log_number(line: Column, name: str) -> Column:
     """The number that follows `name =` in a log line, or null."""
     return F.regexp_extract(line, name + r"\s*=\s*([0-9.]+)", 1).try_cast("double")
+
+
+#: Arms of the importance-matrix comparison by file type and calibration text.
+IMATRIX_ARMS = {("IQ2_M", "generic_wikitext"): "A", ("IQ2_M", "scifact_corpus_only"): "B", ("Q2_K", "scifact_corpus_only"): "C", ("Q2_K", "generic_wikitext"): "D", ("Q2_K", "noimatrix"): "E", ("IQ2_XS", "scifact_corpus_only"): "F"}
+IMATRIX_NAME = r"^harrier-0\.6b-imx-([A-Z0-9_]+?)(pure)?-(.+)-tabQ2_K\.gguf$"
+
+
+def describe_file(name: Column, budget: str) -> Column:
+    """(tool, ftype, pure, calib, budget, arm) of a file of the importance-matrix comparison; every field is "?" (pure: false) where a name is of no known kind.
+
+    The arm is a letter by type and calibration, with a prime for pure files; other pure files are "pure", other files "".
+    """
+    part = lambda i: F.regexp_extract(name, IMATRIX_NAME, i)
+    known, pure, calib = name.rlike(IMATRIX_NAME), part(2) != "", part(3)
+    letter = F.lit("")
+    for (ftype, text), a in IMATRIX_ARMS.items():
+        letter = F.when((part(1) == ftype) & (calib == text), a).otherwise(letter)
+    arm_ = F.when(pure, F.when(letter != "", F.concat(letter, F.lit("'"))).otherwise("pure")).otherwise(letter)
+    q = F.lit("?")
+    fields = {"tool": F.lit("llama-quantize"), "ftype": part(1), "calib": calib, "budget": F.when(calib == "noimatrix", "—").otherwise(budget), "arm": arm_}
+    return F.struct(*[F.when(known, v).otherwise(q).alias(k) for k, v in fields.items()], (known & pure).alias("pure"))
+
+
+#: What calibration texts are.
+CALIBRATION = {"corpus_only": "corpus documents (512-token windows)", "synth_only": "synthetic queries (doc2query, Qwen3-1.7B) in the {prompt}", "corpus_synth": "corpus documents + synthetic queries"}
+CALIBRATION_TAG = r"^Q\d_K-([\w-]+?_(corpus_only|synth_only|corpus_synth))-ps(\d+)-t(\d+)k-ao-tab"
+
+
+def describe_calibration(tag: Column, prompt: str = "E5 query format") -> Column:
+    """A calibration in words, from a file's tag; the tag itself where it is of another kind."""
+    part = lambda i: F.regexp_extract(tag, CALIBRATION_TAG, i)
+    what = F.lit(None).cast("string")
+    for kind, words in CALIBRATION.items():
+        what = F.when(part(2) == kind, words.format(prompt=prompt)).otherwise(what)
+    return F.when(tag.rlike(CALIBRATION_TAG), F.concat(part(1), F.lit(": "), what, F.lit(", per-sample, act-order, token budget "), part(4), F.lit("k"))).otherwise(tag)
+
+
+def calibration_tokens(log: Column, window: int = 512) -> Column:
+    """(sequences, tokens) of an export log: its line of sequences and tokens, else its number of windows times their length; null where it has neither."""
+    first, second = r"\[calib\] \S+: (\d+) sequences = (\d+) tokens", r"n_seq=(\d+) per_sample"
+    number = lambda p, i: F.regexp_extract(log, p, i).try_cast("long")
+    both = lambda a, b: F.struct(a.alias("sequences"), b.alias("tokens"))
+    return F.when(log.rlike(first), both(number(first, 1), number(first, 2))).when(log.rlike(second), both(number(second, 1), number(second, 1) * window))
+
+
+def gpu_evidence(lines: Column, requested: Column) -> Column:
+    """(adapter, offloaded, layers, buffers, errors, active, fallback) from the lines of a run's log: the first line of a kind, or all of them; active where an adapter was there and layers went to it."""
+    pick = lambda p: F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: F.trim(x))  # noqa: E731  trim alone would take the place as a second argument
+    first = lambda p: F.try_element_at(pick(p), F.lit(1))
+    adapter, offloaded = first("ggml_webgpu: adapter_info"), first(r"offloaded \d+/\d+ layers to GPU")
+    at = lambda i: F.regexp_extract(offloaded, r"offloaded (\d+)/(\d+) layers", i)
+    active = F.coalesce(adapter.isNotNull() & (at(1).try_cast("int") > 0), F.lit(False))
+    return F.struct(
+        adapter.alias("adapter"), offloaded.alias("offloaded"), F.when(offloaded.isNotNull(), F.concat(at(1), F.lit("/"), at(2))).alias("layers"), pick("model buffer size").alias("buffers"),
+        pick("ggml_webgpu: (Failed|Device|Error)").alias("errors"), active.alias("active"), ((requested == "webgpu") & ~active).alias("fallback"),
+    )

@@ -286,6 +286,7 @@ def build(corpus: DataFrame, queries: DataFrame, qrels_by_split: dict[str, DataF
     if overlapping_splits(splits).limit(1).count():
         raise ValueError("a query is in more than one split")
     queries, flat = restrict(queries, flat, splits)
+    n_total = splits.count()  # before queries without judgements go
     flat, lost = dangling(flat, corpus)
     orphaned = orphans(queries, flat)
     queries, splits = queries.join(orphaned, "query_id", "left_anti"), splits.join(orphaned, "query_id", "left_anti")
@@ -294,5 +295,38 @@ def build(corpus: DataFrame, queries: DataFrame, qrels_by_split: dict[str, DataF
     for name, df in (("dangling", lost), ("orphaned", orphaned), ("query_dups", same), ("flagged", flagged), ("near_groups", near_groups.select("group_id").distinct())):
         one = one.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
     per_split = splits.agg(*[F.count(F.when(F.col("split") == k, 1)).alias(f"n_{k}") for k in ("train", "dev", "test")])
-    meta = one.crossJoin(per_split).withColumn("split_source", F.lit(how)).withColumn("exact_removed", F.lit(n_raw).cast("long") - F.col("n_docs"))
+    meta = one.crossJoin(per_split).withColumn("split_source", F.lit(how)).withColumn("n_queries_total", F.lit(n_total).cast("long")).withColumn("exact_removed", F.lit(n_raw).cast("long") - F.col("n_docs"))
     return {"corpus": corpus, "queries": queries, "qrels": flat, "splits": splits, "near_groups": near_groups, "flagged": flagged, "meta": meta}
+
+
+def align(docs: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with their vectors (doc_id, embedding), and the vectors of no document. Documents without one are an error that names the first five."""
+    missing = [r["doc_id"] for r in docs.join(vectors.select("doc_id"), "doc_id", "left_anti").select("doc_id").orderBy("doc_id").limit(5).collect()]
+    if missing:
+        raise ValueError(f"documents without a vector (first: {missing})")
+    return docs.join(vectors, "doc_id"), vectors.join(docs.select("doc_id"), "doc_id", "left_anti")
+
+
+def only(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows whose id is asked for, and the ids asked for that are not there."""
+    return df.join(ids.select(key), key, "left_semi"), ids.select(key).distinct().join(df.select(key), key, "left_anti")
+
+
+def members(splits: DataFrame, split: str, vectors: DataFrame) -> DataFrame:
+    """(pos, query_id) of a split's queries that have a vector, in the split's order, which stays as it is."""
+    return splits.where(F.col("split") == split).join(vectors.select("query_id"), "query_id", "left_semi").select("pos", "query_id").orderBy("pos")
+
+
+def paragraphs(docs: DataFrame, low: int, high: int, n: int, seed: int) -> DataFrame:
+    """(doc_id, pos, line): one drawn paragraph of each document that has one, the first n documents by another draw."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(T.is_paragraph(F.col("line"), low, high))
+    drawn = lines.withColumn("draw", draw(seed, "doc_id", "pos")).groupBy("doc_id").agg(F.min_by(F.struct("pos", "line"), "draw").alias("p"))
+    return first_by_draw(drawn.select("doc_id", "p.pos", "p.line"), n, seed, "doc_id")
+
+
+def calibration_sets(docs: DataFrame, queries: DataFrame, seed: int) -> dict[str, DataFrame]:
+    """(kind, id, text) of documents, of queries, and of both together in a drawn order."""
+    d = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    q = queries.select(F.lit("query").alias("kind"), F.col("query_id").cast("string").alias("id"), "text")
+    both = d.unionByName(q)
+    return {"corpus_only": d, "synth_only": q, "corpus_synth": both.orderBy(draw(seed, "kind", "id"), "kind", "id")}

@@ -196,6 +196,37 @@ def ridge(pairs: DataFrame, left: str, right: str, strength: float = 1e-3) -> np
     return np.linalg.solve(a + strength * np.trace(a) / len(a) * np.eye(len(a)), b)
 
 
+#: Penalties that are tried, as shares of the mean diagonal.
+PENALTIES = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
+
+
+def ridge_grid(train: DataFrame, held: DataFrame, left: str, right: str, penalties: tuple[float, ...] = PENALTIES) -> tuple[np.ndarray, list[tuple[str, float | None, float]]]:
+    """The linear map with the best mean cosine on held-out pairs, and (kind, penalty, cosine) of all tried, with the plain rotation as a control. Only matrices of the vectors' dimension come to the driver; the held-out pairs are scored where they are."""
+    a, b = gram(train, left, right)
+    eye, mean = np.eye(len(a)), np.trace(a) / len(a)
+    u, _, v = np.linalg.svd(b, full_matrices=False)
+    maps = [("ridge", p, np.linalg.solve(a + p * mean * eye, b)) for p in penalties] + [("rotation", None, u @ v)]
+
+    def work(batches):
+        total, n = np.zeros(len(maps)), 0
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (0, 1))
+                n += len(x)
+                for i, (_, _, w) in enumerate(maps):
+                    z = x @ w
+                    total[i] += ((z * y).sum(axis=1) / np.maximum(np.linalg.norm(z, axis=1) * np.linalg.norm(y, axis=1), 1e-8)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["total", "n"])
+
+    rows = held.select(left, right).mapInArrow(work, "total array<double>, n long").collect()  # one row for each task
+    n = sum(r["n"] for r in rows)
+    if not n:
+        raise ValueError("no held-out pairs")
+    cos = sum(np.array(r["total"]) for r in rows) / n
+    best = int(cos[: len(penalties)].argmax())
+    return maps[best][2], [(kind, p, float(c)) for (kind, p, _), c in zip(maps, cos)]
+
+
 def procrustes(pairs: DataFrame, left: str, right: str) -> np.ndarray:
     """The orthogonal map closest to taking left to right."""
     u, _, v = np.linalg.svd(gram(pairs, left, right)[1])

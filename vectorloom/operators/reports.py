@@ -138,3 +138,54 @@ def best_known(keys: DataFrame, key: str, sources: list[tuple[str, DataFrame]],
     for name, c in reversed(found):
         origin = F.when(c.isNotNull(), F.lit(name)).otherwise(origin)
     return out.select(key, F.coalesce(*[c for _, c in found]).alias(value), origin.alias("origin"))
+
+
+def with_kind(kinds: dict[str, DataFrame]) -> DataFrame:
+    """Results measured in different ways as one table, each with its kind."""
+    out = None
+    for name, df in kinds.items():
+        part = df.withColumn("kind", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def decide_by_arms(df: DataFrame, key: list[str], arm: str, value: str, tested: str, references: list[str], spread: Column, least: float = 0.01) -> DataFrame:
+    """(key, reference, delta, decision): the tested arm against the first reference arm that a key has; spread is the half-width of the difference's interval. Without the tested arm or any reference nothing can be decided."""
+    at = lambda x: F.max(F.when(F.col(arm) == x, F.col(value)))
+    g = df.groupBy(*key).agg(at(tested).alias("__t"), *[at(r).alias(f"__{i}") for i, r in enumerate(references)], F.max(spread).alias("__s"))
+    known = [F.col(f"__{i}") for i in range(len(references))]
+    name = F.lit(None).cast("string")
+    for r, c in reversed(list(zip(references, known))):
+        name = F.when(c.isNotNull(), F.lit(r)).otherwise(name)
+    delta = F.col("__t") - F.coalesce(*known, F.lit(None).cast("double"))
+    return g.select(*key, name.alias("reference"), F.round(delta, DIGITS).alias("delta"), decide(delta, delta - F.col("__s"), least).alias("decision"))
+
+
+def verification(results: DataFrame, reference: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """One row about a run (query_id, value, ms) against a reference (query_id, value): n, mean, the reference's mean over the same queries, how many differ, latency. Undefined values are left out of means and comparisons."""
+    j = results.join(reference.select("query_id", F.col("value").alias("ref")), "query_id", "left")
+    ok = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    ms = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95)))
+    return j.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(ok("value")), DIGITS).alias("mean"), F.round(F.avg(ok("ref")), DIGITS).alias("reference_mean"), F.count(F.when(F.abs(ok("value") - ok("ref")) > tolerance, 1)).alias("n_diff"),
+        F.round(ms[0], DIGITS).alias("p50"), F.round(ms[1], DIGITS).alias("p95"), F.round(F.avg("ms"), DIGITS).alias("mean_ms"),
+    )
+
+
+def choose(known: DataFrame, key: str, asked: str | None, default: str | None) -> str:
+    """The name that a client is to use: the one asked for (an error if there is none of that name), else the default if it is known, else the first by `pos`."""
+    names = [r[key] for r in known.orderBy("pos").select(key).collect()]  # a short list of clients
+    if asked is not None:
+        if asked not in names:
+            raise KeyError(f"{asked} is not one of {names}")
+        return asked
+    if not names:
+        raise KeyError("there is nothing to choose from")
+    return default if default in names else names[0]
+
+
+def assign_types(layers: DataFrame, base: str, high: str | None, names: list[str], last: int) -> DataFrame:
+    """Layers (layer, name) with the type each is stored in: `high` for the given names and for all of the last layers, else `base`."""
+    n = layers.agg((F.max("layer") + 1).alias("n"))
+    pick = F.col("name").isin(names) | (F.lit(last) > 0) & (F.col("layer") >= F.col("n") - last)
+    return layers.crossJoin(F.broadcast(n)).withColumn("type", F.when(pick & F.lit(high is not None), F.lit(high)).otherwise(F.lit(base))).drop("n")  # one row

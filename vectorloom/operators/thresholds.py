@@ -115,7 +115,8 @@ def diagnostic(ranked: DataFrame, k: int) -> DataFrame:
 def set_sizes(per_query: DataFrame) -> DataFrame:
     """One row: how many documents each query lets pass (n_pos of `counts` without a guard), and how many queries let none."""
     n = F.col("n_pos")
-    return per_query.agg(F.count("*").alias("queries"), _r(F.avg(n)).alias("mean"), _r(F.percentile(n, 0.5)).alias("median"), F.max(n).alias("largest"), _r(F.avg((n == 0).cast("double"))).alias("empty_rate"))
+    p = F.percentile(n, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return per_query.agg(F.count("*").alias("queries"), _r(F.avg(n)).alias("mean"), _r(p[0]).alias("p10"), _r(p[1]).alias("median"), _r(p[2]).alias("p90"), F.max(n).alias("largest"), _r(F.avg((n == 0).cast("double"))).alias("empty_rate"))
 
 
 def prefix_f1(ranked: DataFrame) -> DataFrame:

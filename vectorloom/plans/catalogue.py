@@ -222,7 +222,7 @@ def threshold_diagnostic(spark, sf):
 
 
 @query("threshold_set_sizes", BASE + """, n AS (SELECT query_id, count(*) FILTER (score >= 0.2) AS n FROM s GROUP BY 1)
-SELECT count(*) AS queries, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, max(n) AS largest, round(avg((n = 0)::INT), 6) AS empty_rate FROM n""")
+SELECT count(*) AS queries, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, max(n) AS largest, round(avg((n = 0)::INT), 6) AS empty_rate FROM n""")
 def threshold_set_sizes(spark, sf):
     q, d = vecs(spark, sf)
     return H.set_sizes(H.counts(paired(q, q), d, TAU, TAU))

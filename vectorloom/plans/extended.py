@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import vector as V
 from ..operators import metrics as M
 from ..operators import preparation as P
 from ..operators import quant as Q
@@ -157,7 +159,7 @@ rel AS (SELECT query_id, split, group_id FROM there JOIN sp2 USING (query_id) JO
 SELECT (SELECT count(*) FROM corpus) AS n_docs, (SELECT quantile_cont({WORDS}, 0.5) FROM corpus) AS median_doc_words, (SELECT count(*) FROM all_q ANTI JOIN orph USING (query_id)) AS n_queries,
 (SELECT round(avg(n), 6) FROM per) AS relevant_per_query, (SELECT bool_or(g > 1) FROM per) AS graded, (SELECT count(*) FROM gm ANTI JOIN corpus USING (doc_id)) AS dangling, (SELECT count(*) FROM orph) AS orphaned,
 (SELECT count(*) FROM documents) - (SELECT count(*) FROM corpus) AS exact_removed, (SELECT count(DISTINCT group_id) FROM grp) AS near_groups, (SELECT count(DISTINCT query_id) FROM rel WHERE split = 'test' AND group_id IN (SELECT group_id FROM rel WHERE split = 'train')) AS flagged,
-(SELECT count(*) FROM sp2 WHERE split = 'train') AS n_train, (SELECT count(*) FROM sp2 WHERE split = 'dev') AS n_dev, (SELECT count(*) FROM sp2 WHERE split = 'test') AS n_test, 'synthetic_from_test' AS split_source"""
+(SELECT count(*) FROM sp2 WHERE split = 'train') AS n_train, (SELECT count(*) FROM sp2 WHERE split = 'dev') AS n_dev, (SELECT count(*) FROM sp2 WHERE split = 'test') AS n_test, (SELECT count(*) FROM sp) AS n_queries_total, 'synthetic_from_test' AS split_source"""
 
 
 @query("build_dataset", BUILT)
@@ -169,7 +171,7 @@ def build_dataset(spark, sf):
     j = j.unionByName(spark.createDataFrame([("nobody", -1, 1)], "query_id string, doc_id long, grade long"))
     q = j.select("query_id", F.col("query_id").alias("text")).distinct()
     meta = P.build(d.select("doc_id", "text"), q, {"test": j}, None, C.SEED)["meta"]
-    return meta.select("n_docs", "median_doc_words", "n_queries", "relevant_per_query", "graded", "dangling", "orphaned", "exact_removed", "near_groups", "flagged", "n_train", "n_dev", "n_test", "split_source")
+    return meta.select("n_docs", "median_doc_words", "n_queries", "relevant_per_query", "graded", "dangling", "orphaned", "exact_removed", "near_groups", "flagged", "n_train", "n_dev", "n_test", "n_queries_total", "split_source")
 
 
 @query("embedding_cache", "SELECT vec_id::VARCHAR AS id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings UNION ALL SELECT 'q' || vec_id, len(embedding), round(list_sum(embedding::DOUBLE[]), 6) FROM embeddings WHERE vec_id % 10 = 0")
@@ -196,3 +198,107 @@ def kquant3(spark, sf):
     """The vectors, four ids at a time, as super-blocks of 256 weights at 3 bits."""
     return Q.quantise_blocks(C.super_blocks(spark, sf), 3).select("block", F.length("packed").cast("long").alias("bytes"), F.round("mse", 9).alias("mse"), F.round("max_err", 6).alias("max_err"))
 
+
+
+IMX = "'harrier-0.6b-imx-' || CASE doc_id % 4 WHEN 0 THEN 'IQ2_M' WHEN 1 THEN 'Q2_K' WHEN 2 THEN 'IQ2_XS' ELSE 'Q3_K' END || CASE WHEN doc_id % 3 = 0 THEN 'pure' ELSE '' END || '-' || CASE doc_id % 5 WHEN 0 THEN 'generic_wikitext' WHEN 1 THEN 'noimatrix' WHEN 2 THEN lang || '_corpus_only' ELSE 'scifact_corpus_only' END || CASE WHEN doc_id % 11 = 0 THEN '.gguf' ELSE '-tabQ2_K.gguf' END"
+
+
+@query("describe_files", rf"""WITH n AS (SELECT doc_id, {IMX} AS name FROM documents), x AS (SELECT *, regexp_extract(name, '^harrier-0\.6b-imx-([A-Z0-9_]+?)(pure)?-(.+)-tabQ2_K\.gguf$', ['t', 'p', 'c']) AS m FROM n),
+y AS (SELECT doc_id, m.t AS t, m.p <> '' AS pure, m.c AS c, m.t <> '' AS ok, CASE m.t || '/' || m.c WHEN 'IQ2_M/generic_wikitext' THEN 'A' WHEN 'IQ2_M/scifact_corpus_only' THEN 'B' WHEN 'Q2_K/scifact_corpus_only' THEN 'C'
+  WHEN 'Q2_K/generic_wikitext' THEN 'D' WHEN 'Q2_K/noimatrix' THEN 'E' WHEN 'IQ2_XS/scifact_corpus_only' THEN 'F' ELSE '' END AS l FROM x)
+SELECT doc_id, CASE WHEN ok THEN t ELSE '?' END AS ftype, CASE WHEN ok THEN c ELSE '?' END AS calib, CASE WHEN NOT ok THEN '?' WHEN c = 'noimatrix' THEN '—' ELSE '300k' END AS budget, ok AND pure AS pure,
+CASE WHEN NOT ok THEN '?' WHEN pure AND l <> '' THEN l || chr(39) WHEN pure THEN 'pure' ELSE l END AS arm FROM y""")
+def describe_files(spark, sf):
+    """Files named by each document's number and language, some of another kind."""
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("IQ2_M", "Q2_K", "IQ2_XS", "Q3_K"))), (i % 4 + 1).cast("int"))
+    calib = F.when(i % 5 == 0, "generic_wikitext").when(i % 5 == 1, "noimatrix").when(i % 5 == 2, F.concat("lang", F.lit("_corpus_only"))).otherwise("scifact_corpus_only")
+    name = F.concat(F.lit("harrier-0.6b-imx-"), kind, F.when(i % 3 == 0, "pure").otherwise(""), F.lit("-"), calib, F.when(i % 11 == 0, ".gguf").otherwise("-tabQ2_K.gguf"))
+    return table(spark, sf, "documents").select("doc_id", T.describe_file(name, "300k").alias("d")).select("doc_id", "d.ftype", "d.calib", "d.budget", "d.pure", "d.arm")
+
+
+@query("calibration_logs", """WITH l AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN 'x [calib] a.txt: ' || length(text) || ' sequences = ' || 7 * length(text) || ' tokens y' ELSE 'n_seq=' || length(text) || ' per_sample' END, chr(10) ORDER BY turn) AS log FROM conversations WHERE (conv_id + turn) % 3 <> 0 GROUP BY 1)
+SELECT conv_id, coalesce(try_cast(regexp_extract(log, '\[calib\] \S+: (\d+) sequences = (\d+) tokens', 1) AS BIGINT), try_cast(regexp_extract(log, 'n_seq=(\d+) per_sample', 1) AS BIGINT)) AS sequences,
+coalesce(try_cast(regexp_extract(log, '\[calib\] \S+: (\d+) sequences = (\d+) tokens', 2) AS BIGINT), 512 * try_cast(regexp_extract(log, 'n_seq=(\d+) per_sample', 1) AS BIGINT)) AS tokens FROM l""")
+def calibration_logs(spark, sf):
+    """Logs of a line for each turn of a conversation, some turns left out: what they say of sequences and tokens."""
+    n = F.char_length("text").cast("string")
+    line = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x [calib] a.txt: "), n, F.lit(" sequences = "), (7 * F.char_length("text")).cast("string"), F.lit(" tokens y"))).otherwise(F.concat(F.lit("n_seq="), n, F.lit(" per_sample")))
+    c = table(spark, sf, "conversations").where((F.col("conv_id") + F.col("turn")) % 3 != 0).select("conv_id", "turn", line.alias("line"))
+    logs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("log"))
+    return logs.select("conv_id", T.calibration_tokens(F.col("log")).alias("c")).select("conv_id", "c.sequences", "c.tokens")
+
+
+@query("known_ids", "WITH asked AS (SELECT vec_id * 3 AS doc_id FROM embeddings) SELECT doc_id, true AS known FROM documents SEMI JOIN asked USING (doc_id) UNION ALL SELECT doc_id, false FROM (SELECT DISTINCT doc_id FROM asked) ANTI JOIN documents USING (doc_id)")
+def known_ids(spark, sf):
+    have, lost = P.only(table(spark, sf, "documents"), table(spark, sf, "embeddings").select((F.col("vec_id") * 3).alias("doc_id")))
+    return have.select("doc_id", F.lit(True).alias("known")).unionByName(lost.select("doc_id", F.lit(False).alias("known")))
+
+
+@query("split_members", f"SELECT doc_id AS pos, doc_id AS query_id FROM (SELECT doc_id, {C.SPLIT} AS split FROM documents) WHERE split = 'test' AND doc_id IN (SELECT vec_id FROM embeddings)")
+def split_members(spark, sf):
+    s = C.splits(table(spark, sf, "documents")).withColumn("pos", F.col("query_id"))
+    return P.members(s, "test", table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id")))
+
+
+@query("drawn_paragraphs", rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), p AS (SELECT doc_id, pos, {C.STRIP.format(x='line')} AS s FROM l),
+ok AS (SELECT doc_id, pos FROM p WHERE s <> '' AND NOT (s[1] IN ('*', '-', '#', ':', '|', '{{', '!', '=', '•')) AND s[-1] IN ('.', '!', '?', '"', '“', '”', '»', ')') AND position('|' IN s) = 0 AND position('{{{{' IN s) = 0 AND position('}}}}' IN s) = 0
+  AND position('[[' IN s) = 0 AND position(chr(9) IN s) = 0 AND len(list_filter(regexp_split_to_array(s, '[\s\p{{Z}}]+'), lambda w: w <> '')) BETWEEN 10 AND 200 AND (length(s) - length(regexp_replace(s, '\p{{Nd}}', '', 'g'))) <= 0.10 * length(s)
+  AND position('může znamenat' IN s[1:80]) = 0 AND position('může být' IN s[1:40]) = 0),
+one AS (SELECT doc_id, min_by(pos, md5('7:' || doc_id || ':' || pos)) AS pos FROM ok GROUP BY 1)
+SELECT doc_id, pos::INT AS pos FROM one ORDER BY md5('7:' || doc_id), doc_id LIMIT 200""")
+def drawn_paragraphs(spark, sf):
+    return P.paragraphs(table(spark, sf, "documents"), 10, 200, 200, C.SEED).select("doc_id", "pos")
+
+
+@query("by_kind", "SELECT source AS name, 'file' AS kind, avg(n_chars) AS value, NULL::BIGINT AS n FROM documents WHERE lang = 'en' GROUP BY 1 UNION ALL SELECT lang, 'grid', avg(n_chars), count(*) FROM documents GROUP BY 1")
+def by_kind(spark, sf):
+    """Numbers measured in two ways, one of them with a count, as one table with where each is from."""
+    d = table(spark, sf, "documents")
+    one = d.where("lang = 'en'").groupBy(F.col("source").alias("name")).agg(F.avg("n_chars").alias("value"))
+    return R.with_kind({"file": one, "grid": d.groupBy(F.col("lang").alias("name")).agg(F.avg("n_chars").alias("value"), F.count("*").alias("n"))})
+
+
+@query("decide_by_arms", """WITH a AS (SELECT source, lang, avg(n_chars) / 1000 AS v FROM documents WHERE NOT (lang = 'de' AND source IN ('src1', 'src2', 'src3')) AND NOT (lang = 'fr' AND source IN ('src2', 'src4')) GROUP BY 1, 2),
+g AS (SELECT source, max(v) FILTER (lang = 'en') AS t, max(v) FILTER (lang = 'de') AS d, max(v) FILTER (lang = 'fr') AS f FROM a GROUP BY 1)
+SELECT source, CASE WHEN d IS NOT NULL THEN 'de' WHEN f IS NOT NULL THEN 'fr' END AS reference, round(t - coalesce(d, f), 6) AS delta, CASE WHEN t - coalesce(d, f) IS NULL THEN 'cannot decide' WHEN t - coalesce(d, f) >= 0.01 AND t - coalesce(d, f) - 0.1 > 0 THEN 'yes' ELSE 'no' END AS decision FROM g""")
+def decide_by_arms(spark, sf):
+    """English against German, else against French; some arms are missing."""
+    d = table(spark, sf, "documents").where("NOT (lang = 'de' AND source IN ('src1', 'src2', 'src3')) AND NOT (lang = 'fr' AND source IN ('src2', 'src4'))")
+    a = d.groupBy("source", "lang").agg((F.avg("n_chars") / 1000).alias("v"))
+    return R.decide_by_arms(a, ["source"], "lang", "v", "en", ["de", "fr"], F.lit(0.1))
+
+
+@query("verification", BASE + """, t AS (SELECT query_id, evc.ndcg AS v, ev.ndcg AS r, (query_id % 97)::DOUBLE AS ms FROM evc JOIN ev USING (query_id))
+SELECT count(*) AS n, round(avg(v), 6) AS mean, round(avg(r), 6) AS reference_mean, count(*) FILTER (abs(v - r) > 1e-3) AS n_diff, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(avg(ms), 6) AS mean_ms FROM t""")
+def verification(spark, sf):
+    """The client's run against the trusted one, with latencies made of the ids."""
+    fp, client = C.both(spark, sf)
+    run = client.select("query_id", F.col("ndcg").alias("value"), (F.col("query_id") % 97).cast("double").alias("ms"))
+    return R.verification(run, fp.select("query_id", F.col("ndcg").alias("value")))
+
+
+@query("assigned_types", "SELECT (ps_partkey % 12)::BIGINT AS layer, 'name' || (ps_suppkey % 5) AS name, CASE WHEN ps_suppkey % 5 = 2 OR ps_partkey % 12 >= 10 THEN 'Q3_K' ELSE 'Q2_K' END AS type FROM (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem) GROUP BY ALL")
+def assigned_types(spark, sf):
+    l = table(spark, sf, "lineitem").select((F.col("l_partkey") % 12).alias("layer"), F.concat(F.lit("name"), (F.col("l_suppkey") % 5).cast("string")).alias("name")).distinct()
+    return R.assign_types(l, "Q2_K", "Q3_K", ["name2"], 2)
+
+
+@query("both_sides", BASE + """, dc0 AS (SELECT doc_id, e, list_max(list_transform(e, lambda x: abs(x))) / 7 AS s FROM (SELECT vec_id AS doc_id, e FROM v)),
+dc AS (SELECT doc_id, list_transform(list_transform(e, lambda x: greatest(least(round_even(x / greatest(s, 1e-12), 0), 7), -7) * s), lambda x: x) AS y FROM dc0),
+du AS (SELECT doc_id, list_transform(y, lambda x: x / greatest(sqrt(list_dot_product(y, y)), 1e-12)) AS w FROM dc),
+z AS (SELECT query_id, doc_id, round(list_dot_product(c.v, du.w), 6) AS score FROM c JOIN du ON query_id <> doc_id)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z) WHERE rank <= 10""")
+def both_sides(spark, sf):
+    """Documents compressed like the queries: the symmetric kind of retrieval."""
+    q, d = C.vecs(spark, sf)
+    return X.topk(C.clients(q), d.select("doc_id", V.l2_normalise(V.quantised(F.col("e"), C.LEVELS)).alias("v")), 10)
+
+
+@query("ridge_grid")
+def ridge_grid(spark, sf):
+    """Penalties and the rotation, scored on held-out queries."""
+    q, _ = C.vecs(spark, sf)
+    both = q.select("query_id", "v").join(C.clients(q, 1).select("query_id", F.col("v").alias("w")), "query_id")
+    tried = Q.ridge_grid(both.where("query_id % 50 != 0"), both.where("query_id % 50 = 0"), "w", "v")[1]
+    return spark.createDataFrame([(k, p, round(c, 6)) for k, p, c in tried], "kind string, penalty double, cosine double")

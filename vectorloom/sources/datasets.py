@@ -64,6 +64,19 @@ def graded(score):
     return F.greatest(F.bround(score).cast("int"), F.lit(0))
 
 
+#: Fixed value: names of splits that other sources use.
+SPLIT_NAMES = {"validation": "dev"}
+
+
+def by_split(qrels: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Judgements by their splits' own names, those of sources mapped; two that map to one are put together."""
+    out: dict[str, DataFrame] = {}
+    for name, df in qrels.items():
+        own = SPLIT_NAMES.get(name, name)
+        out[own] = out[own].unionByName(df) if own in out else df
+    return out
+
+
 def read_beir_qrels(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("q string, d string, s double").csv(path, sep="\t", header=True, quote="")
     return raw.select(F.col("q").alias("query_id"), F.col("d").alias("doc_id"), graded(F.col("s")).alias("grade"))
@@ -83,7 +96,8 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 def read_shards(spark: SparkSession, pattern: str) -> DataFrame:
     """JSON line shards with their number, from the file name's digits."""
     raw = spark.read.schema("docid string, title string, text string").json(pattern)
-    return raw.select(F.col("docid").alias("doc_id"), "title", "text", F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*$", 1).cast("int").alias("shard"))
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return raw.select(F.col("docid").alias("doc_id"), none("title"), none("text"), F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*$", 1).cast("int").alias("shard"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -109,8 +123,13 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.filter(F.split("value", r"\n\s*\n"), lambda x: F.trim(x) != "")).alias("pos", "text"))
 
 
-def read_vectors(spark: SparkSession, path: str, dim: int, dtype: str = "<f4") -> DataFrame:
-    """(file, pos, embedding) of raw little-endian or .npy files of vectors; an error if a file is no whole number of vectors."""
+def read_vectors(spark: SparkSession, path: str, dim: int | None = None, dtype: str = "<f4", rows: int | None = None) -> DataFrame:
+    """(file, pos, embedding) of raw little-endian or .npy files of vectors.
+
+    The dimension is given, or a .npy file's own, or follows from `rows`, the number of vectors in a file. A file
+    that is no whole number of vectors, or has another number of them than `rows`, is an error. A file is read whole
+    by one task, so larger collections come in several files (Spark's limit for one is 2 GB).
+    """
 
     def work(batches):
         for b in batches:
@@ -121,12 +140,13 @@ def read_vectors(spark: SparkSession, path: str, dim: int, dtype: str = "<f4") -
                     x = np.load(io.BytesIO(raw), allow_pickle=False)
                 else:
                     x = np.frombuffer(raw, dtype)
-                if x.size % dim:
-                    raise ValueError(f"{name}: {x.size} numbers are no whole vectors of {dim}")
-                x = x.reshape(-1, dim).astype(np.float32)
+                own = dim or (x.shape[1] if x.ndim == 2 else x.size // rows if rows else None)
+                if not own or x.size % own or (rows is not None and x.size // own != rows):
+                    raise ValueError(f"{name}: {x.size} numbers are no {rows or 'whole'} vectors of {own or 'an unknown length'}")
+                x = x.reshape(-1, own).astype(np.float32)
                 for i in range(0, len(x), 1000):
                     part = x[i : i + 1000]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, dim), pa.int32()), pa.array(part.ravel()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, own), pa.int32()), pa.array(part.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), lists], ["file", "pos", "embedding"])
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -194,3 +214,28 @@ def load_per_query(spark: SparkSession, path: str, dataset: str | None = None, s
     for c, v in (("dataset", dataset), ("system", system)):
         df = df if v is None else df.where(F.col(c) == v)
     return df
+
+
+def write_doc_shards(docs: DataFrame, path: str, order: str, size: int = 5_000) -> None:
+    """JSON files of `size` documents each, in order, as rows (shard, first_index, docs). `order` is a gapless number from 0."""
+    shard = F.floor(F.col(order) / size).cast("long")
+    rest = [c for c in docs.columns if c != order]
+    rows = docs.groupBy(shard.alias("shard")).agg(F.min(order).alias("first_index"), F.sort_array(F.collect_list(F.struct(order, *rest))).alias("docs"))  # `size` of them
+    rows.select("shard", F.col("shard").alias("part"), "first_index", "docs").write.mode("overwrite").partitionBy("part").json(path)
+
+
+def shard_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, bytes) of what `write_shards` wrote, in order."""
+    meta = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size")
+    return meta.groupBy(F.col("file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes")).orderBy("file")
+
+
+def load_index(spark: SparkSession, path: str, rows: int, dim: int) -> DataFrame:
+    """(pos, embedding) of an index in Parquet shards: codes with a scale for each row are multiplied out, other vectors taken as they are. Another number of rows or numbers than said is an error."""
+    df = spark.read.parquet(path)
+    x = F.transform("codes", lambda c: (c * F.col("scale")).cast("float")) if "codes" in df.columns else F.col("embedding").cast("array<float>")
+    out = df.select("pos", x.alias("embedding"))
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("numbers")).first()
+    if got["n"] != rows or got["numbers"] != rows * dim:
+        raise ValueError(f"index size mismatch: {got['numbers']} numbers in {got['n']} rows, not {rows} x {dim}")
+    return out
