@@ -183,7 +183,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         lists = one.where(F.size("hot") > 0).select("whole", "text", "hot").mapInArrow(_stretches(window, gram, True), "fp long, whole binary, start long, hashes array<struct<h:long,g:long>>")
         single = lists.select("fp", "whole", "start", F.posexplode("hashes").alias("i", "x")).select("fp", "x.h", "x.g", "whole", (F.col("start") + F.col("i")).alias("start"))
         single = materialise(single, "strings-hot")
-        twice = single.groupBy("fp", "h", "g").agg(F.count("*").alias("n")).where("n > 1").select("fp", "h", "g")
+        # written, so that the join with it can split what very many texts share
+        twice = materialise(single.groupBy("fp", "h", "g").agg(F.count("*").alias("n")).where("n > 1").select("fp", "h", "g"), "strings-twice")
         hits = hits.unionByName(single.join(twice, ["fp", "h", "g"]).select("whole", "start", F.lit(1).cast("long").alias("count")))
     spans = hits.groupBy("whole").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("whole", F.array().cast("array<struct<start:long,count:long>>").alias("spans"), F.lit(True).alias("copy")))
