@@ -135,7 +135,7 @@ def log_number(line: Column, name: str) -> Column:
 
 #: Arms of the importance-matrix comparison by file type and calibration text.
 IMATRIX_ARMS = {("IQ2_M", "generic_wikitext"): "A", ("IQ2_M", "scifact_corpus_only"): "B", ("Q2_K", "scifact_corpus_only"): "C", ("Q2_K", "generic_wikitext"): "D", ("Q2_K", "noimatrix"): "E", ("IQ2_XS", "scifact_corpus_only"): "F"}
-IMATRIX_NAME = r"^harrier-0\.6b-imx-([A-Z0-9_]+?)(pure)?-(.+)-tabQ2_K\.gguf$"
+IMATRIX_NAME = r"^[\w.-]+?-imx-([A-Z0-9_]+?)(pure)?-(.+)-tabQ2_K\.gguf$"
 
 
 def describe_file(name: Column, budget: str) -> Column:

@@ -200,10 +200,10 @@ def kquant3(spark, sf):
 
 
 
-IMX = "'harrier-0.6b-imx-' || CASE doc_id % 4 WHEN 0 THEN 'IQ2_M' WHEN 1 THEN 'Q2_K' WHEN 2 THEN 'IQ2_XS' ELSE 'Q3_K' END || CASE WHEN doc_id % 3 = 0 THEN 'pure' ELSE '' END || '-' || CASE doc_id % 5 WHEN 0 THEN 'generic_wikitext' WHEN 1 THEN 'noimatrix' WHEN 2 THEN lang || '_corpus_only' ELSE 'scifact_corpus_only' END || CASE WHEN doc_id % 11 = 0 THEN '.gguf' ELSE '-tabQ2_K.gguf' END"
+IMX = "'model-0.6b-imx-' || CASE doc_id % 4 WHEN 0 THEN 'IQ2_M' WHEN 1 THEN 'Q2_K' WHEN 2 THEN 'IQ2_XS' ELSE 'Q3_K' END || CASE WHEN doc_id % 3 = 0 THEN 'pure' ELSE '' END || '-' || CASE doc_id % 5 WHEN 0 THEN 'generic_wikitext' WHEN 1 THEN 'noimatrix' WHEN 2 THEN lang || '_corpus_only' ELSE 'scifact_corpus_only' END || CASE WHEN doc_id % 11 = 0 THEN '.gguf' ELSE '-tabQ2_K.gguf' END"
 
 
-@query("describe_files", rf"""WITH n AS (SELECT doc_id, {IMX} AS name FROM documents), x AS (SELECT *, regexp_extract(name, '^harrier-0\.6b-imx-([A-Z0-9_]+?)(pure)?-(.+)-tabQ2_K\.gguf$', ['t', 'p', 'c']) AS m FROM n),
+@query("describe_files", rf"""WITH n AS (SELECT doc_id, {IMX} AS name FROM documents), x AS (SELECT *, regexp_extract(name, '^[\w.-]+?-imx-([A-Z0-9_]+?)(pure)?-(.+)-tabQ2_K\.gguf$', ['t', 'p', 'c']) AS m FROM n),
 y AS (SELECT doc_id, m.t AS t, m.p <> '' AS pure, m.c AS c, m.t <> '' AS ok, CASE m.t || '/' || m.c WHEN 'IQ2_M/generic_wikitext' THEN 'A' WHEN 'IQ2_M/scifact_corpus_only' THEN 'B' WHEN 'Q2_K/scifact_corpus_only' THEN 'C'
   WHEN 'Q2_K/generic_wikitext' THEN 'D' WHEN 'Q2_K/noimatrix' THEN 'E' WHEN 'IQ2_XS/scifact_corpus_only' THEN 'F' ELSE '' END AS l FROM x)
 SELECT doc_id, CASE WHEN ok THEN t ELSE '?' END AS ftype, CASE WHEN ok THEN c ELSE '?' END AS calib, CASE WHEN NOT ok THEN '?' WHEN c = 'noimatrix' THEN '—' ELSE '300k' END AS budget, ok AND pure AS pure,
@@ -213,7 +213,7 @@ def describe_files(spark, sf):
     i = F.col("doc_id")
     kind = F.element_at(F.array(*map(F.lit, ("IQ2_M", "Q2_K", "IQ2_XS", "Q3_K"))), (i % 4 + 1).cast("int"))
     calib = F.when(i % 5 == 0, "generic_wikitext").when(i % 5 == 1, "noimatrix").when(i % 5 == 2, F.concat("lang", F.lit("_corpus_only"))).otherwise("scifact_corpus_only")
-    name = F.concat(F.lit("harrier-0.6b-imx-"), kind, F.when(i % 3 == 0, "pure").otherwise(""), F.lit("-"), calib, F.when(i % 11 == 0, ".gguf").otherwise("-tabQ2_K.gguf"))
+    name = F.concat(F.lit("model-0.6b-imx-"), kind, F.when(i % 3 == 0, "pure").otherwise(""), F.lit("-"), calib, F.when(i % 11 == 0, ".gguf").otherwise("-tabQ2_K.gguf"))
     return table(spark, sf, "documents").select("doc_id", T.describe_file(name, "300k").alias("d")).select("doc_id", "d.ftype", "d.calib", "d.budget", "d.pure", "d.arm")
 
 
