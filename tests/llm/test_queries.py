@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from vectorloom.llm import learned_ann, quality, toxicity
+from vectorloom.llm import entries, learned_ann, quality, toxicity
 
 from .test_operators import plain_classes, words
 
@@ -258,3 +258,16 @@ def test_first_split_of_the_trees_is_the_best_of_all():
     part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
     gains = {(j, i): part(x[:, j] < c) + part(x[:, j] >= c) for j, cuts in enumerate(t.cuts) for i, c in enumerate(cuts)}
     assert t.trees[0][0] == max(gains, key=gains.get) and ((t.sums(x) > 0) == (y > 0)).mean() > 0.9
+
+
+@pytest.mark.parametrize("name", sorted(entries.SQL))
+def test_sql_gives_the_same_rows(spark, tmp_path, sf, name):
+    """Without the longest texts, which SQL takes long for."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.read.parquet(f"{sf}/documents.parquet").where("text is null or length(text) < 20000").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet/*.parquet')")
+    want = c.execute(entries.SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(repr(tuple(r[n] for n in names)) for r in result(spark, sf, name)) == sorted(map(repr, want.fetchall()))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {"op1_substring_dedup": substring_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op5_near_dedup": near_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}

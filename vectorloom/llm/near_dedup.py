@@ -319,3 +319,22 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(documents(spark, sf_dir), shingle=4)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: Sets are lists of shingles; equal ones are compared once, pairs that share a shingle are counted, and links are followed to the end.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d
+), one AS (SELECT min(r) AS r, len(s) AS n, s FROM (SELECT r, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+item AS (SELECT r, n, unnest(s) AS x FROM one), often AS (SELECT x FROM item GROUP BY x HAVING count(*) > 1),
+pair AS (SELECT a.r AS a, b.r AS b FROM item a JOIN often USING (x) JOIN item b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+same AS (SELECT sets.r, one.r AS rep FROM sets JOIN one ON list_sort(sets.s) = one.s WHERE len(sets.s) > 0),
+edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair UNION SELECT r, r FROM one),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+label AS (SELECT a AS rep, min(b) AS label FROM reach GROUP BY a),
+named AS (SELECT same.r, label FROM same JOIN label USING (rep)),
+first AS (SELECT label, min(doc_id) AS component_id FROM named JOIN sets USING (r) GROUP BY label)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM sets LEFT JOIN named USING (r) LEFT JOIN first USING (label)
+"""

@@ -229,3 +229,20 @@ def _among(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Strings are compared by their digests; a run of removed bytes ends where the next string starts more than 200 bytes on.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+spots AS (SELECT r, b, unnest(generate_series(1, octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200),
+win AS (SELECT r, s, md5(b[s:s + 199]) AS w FROM spots),
+hit AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY w) AS n FROM win) WHERE n > 1),
+mark AS (SELECT r, s, s > lag(s, 1, -1000) OVER (PARTITION BY r ORDER BY s) + 200 AS opens FROM hit),
+runs AS (SELECT r, s, sum(opens::INT) OVER (PARTITION BY r ORDER BY s) AS k FROM mark),
+span AS (SELECT r, min(s) AS a, max(s) + 199 AS z FROM runs GROUP BY r, k),
+gap AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z, 0 AS tail FROM span UNION ALL SELECT r, max(z) + 1, 1000000000, 1 FROM span GROUP BY r),
+rest AS (SELECT r, coalesce(string_agg(hex(b[gap.a:gap.z]), '' ORDER BY gap.a), '') AS h FROM gap JOIN d USING (r) GROUP BY r),
+total AS (SELECT r, sum(z - a + 1)::BIGINT AS gone, count(*) AS n FROM span GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM d LEFT JOIN rest USING (r) LEFT JOIN total USING (r)
+"""
