@@ -217,7 +217,7 @@ def describe_files(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.describe_file(name, "300k").alias("d")).select("doc_id", "d.ftype", "d.calib", "d.budget", "d.pure", "d.arm")
 
 
-@query("calibration_logs", """WITH l AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN 'x [calib] a.txt: ' || length(text) || ' sequences = ' || 7 * length(text) || ' tokens y' ELSE 'n_seq=' || length(text) || ' per_sample' END, chr(10) ORDER BY turn) AS log FROM conversations WHERE (conv_id + turn) % 3 <> 0 GROUP BY 1)
+@query("calibration_logs", r"""WITH l AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN 'x [calib] a.txt: ' || length(text) || ' sequences = ' || 7 * length(text) || ' tokens y' ELSE 'n_seq=' || length(text) || ' per_sample' END, chr(10) ORDER BY turn) AS log FROM conversations WHERE (conv_id + turn) % 3 <> 0 GROUP BY 1)
 SELECT conv_id, coalesce(try_cast(regexp_extract(log, '\[calib\] \S+: (\d+) sequences = (\d+) tokens', 1) AS BIGINT), try_cast(regexp_extract(log, 'n_seq=(\d+) per_sample', 1) AS BIGINT)) AS sequences,
 coalesce(try_cast(regexp_extract(log, '\[calib\] \S+: (\d+) sequences = (\d+) tokens', 2) AS BIGINT), 512 * try_cast(regexp_extract(log, 'n_seq=(\d+) per_sample', 1) AS BIGINT)) AS tokens FROM l""")
 def calibration_logs(spark, sf):
