@@ -403,6 +403,26 @@ def test_every_window_has_the_queues_shares():
         assert np.abs(np.diff(full, axis=0) - share).max() < 3 and np.abs(full - share * np.arange(len(full))[:, None]).max() < 3
 
 
+def test_cutting_plans_only_the_chunks_of_its_documents(monkeypatch):
+    """Documents from far ends of long queues, in no order: every token has its place, and few chunks are planned."""
+    lengths, planned = (3_000_000, 1_000_000, 7), []
+    monkeypatch.setattr(packing, "chunk_plan", lambda c, *a, plan=packing.chunk_plan.__wrapped__: planned.append(c) or plan(c, *a))
+    plan, window, stride = [(lengths, 400)], 256, 1000
+    queue, at, size = np.array([0, 1, 0, 2, 1, 0]), np.array([2_999_000, 10, 5_000, 0, 999_990, 0]), np.array([1000, 300, 9000, 7, 10, 1])
+    doc, start, length, sequence, offset = packing.cut(queue, at, size, plan, window, stride)
+    assert len(planned) == len(set(planned)) < 20
+    for d in range(6):
+        own = doc == d
+        assert start[own][0] == 0 and (start[own][1:] == (start + length)[own][:-1]).all() and (start + length)[own][-1] == size[d]
+    assert ((offset >= 0) & (offset + length <= window)).all()
+    # as one document each, whole queues fill all windows without a gap
+    doc, start, length, sequence, offset = packing.cut(np.arange(3), np.zeros(3, int), np.array(lengths), plan, window, stride)
+    order = np.lexsort((offset, sequence))
+    same = sequence[order][1:] == sequence[order][:-1]
+    assert (offset[order][1:] == np.where(same, (offset + length)[order][:-1], 0)).all() and length.sum() == sum(lengths)
+    assert packing.chunks_of(np.array([0, 6, 7, 8]), 9, 4).tolist() == [0, 3, 3, 3] and packing.chunks_of(np.array([0, 1]), 2, 5).tolist() == [2, 4]
+
+
 def test_packing_to_targets(spark):
     """Windows hold the targets' shares until a source is dry, and nothing is lost."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")

@@ -98,10 +98,15 @@ def unused(name: str, columns: list[str]) -> str:
 BATCH_ROWS = 1000
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents. The session's limit of rows in a batch that goes to Python is lowered, and stays so, as plans are made later."""
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows in a batch that goes to Python; it stays so, as plans are made later."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents, in small batches from now on."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

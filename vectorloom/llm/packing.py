@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import BATCH_ROWS, documents, materialise
 from .tokens import encoder, in_chunks
 
 #: Tokens in a full sequence; windows in a chunk, about; bytes of text in a part of neighbouring documents, at least, about.
@@ -90,50 +90,56 @@ def chunk_plan(c: int, n_chunks: int, lengths: tuple[int, ...], window: int) ->
     return before, np.cumsum(takes, axis=1) - takes
 
 
-def edges(queue: int, low: int, high: int, plan: list, window: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the tokens low..high of a queue are cut, over all phases (lengths, n_chunks): place of each piece's first token, its sequence, its offset there."""
-    places, sequences, offsets = [], [], []
-    base = chunks = 0
-    for lengths, n_chunks in plan:
-        t = lengths[queue]
-        lo, hi = max(low, base) - base, min(high, base + t) - base
-        c = lo * n_chunks // t if lo < hi else n_chunks
-        while c < n_chunks and t * c // n_chunks < hi:
-            first = t * c // n_chunks
-            before, at = chunk_plan(c, n_chunks, lengths, window)
-            has = np.flatnonzero(np.diff(before[:, queue]))
-            places.append(base + first + before[has, queue])
-            sequences.append((chunks + c) * stride + has)
-            offsets.append(at[has, queue])
-            c += 1
-        base += t
-        chunks += n_chunks
-        if base >= high:
-            break
-    return (np.concatenate(places), np.concatenate(sequences), np.concatenate(offsets)) if places else (np.zeros(0, np.int64),) * 3
+def chunks_of(at: np.ndarray, t: int, n_chunks: int) -> np.ndarray:
+    """The chunk in which each token of a queue of t lies: the last c that begins, at t * c // n_chunks, at it or before."""
+    kind = np.int64 if t * n_chunks < 1 << 62 else object  # whole numbers of any size
+    return (((at.astype(kind) + 1) * n_chunks - 1) // t).astype(np.int64)
 
 
 def cut(queue: np.ndarray, at: np.ndarray, size: np.ndarray, plan: list, window: int, stride: int) -> tuple[np.ndarray, ...]:
-    """Pieces of documents that take `size` tokens of their queues from `at`: (document, start in it, length, sequence, offset), in order."""
-    first, many = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    places, sequences, offsets, have = [], [], [], 0
-    for q in np.unique(queue):
-        own = np.flatnonzero((queue == q) & (size > 0))
-        if not len(own):
-            continue
-        p, s, o = edges(int(q), int(at[own].min()), int((at[own] + size[own]).max()), plan, window, stride)
-        first[own] = have + np.searchsorted(p, at[own], side="right") - 1
-        many[own] = have + np.searchsorted(p, at[own] + size[own], side="left") - first[own]
-        # after each queue's last piece there is none
-        places.append(np.append(p, np.iinfo(np.int64).max)), sequences.append(np.append(s, -1)), offsets.append(np.append(o, 0))
-        have += len(p) + 1
+    """Pieces of documents that take `size` tokens of their queues from `at`, over all phases (lengths, n_chunks): (document, start in it, length, sequence, offset), in order.
+
+    Only the chunks that the documents lie in are planned, each of them once.
+    """
+    queues = [int(q) for q in np.unique(queue[size > 0])]
+    places: dict[int, list] = {q: [] for q in queues}  # of each queue (first token, end, sequence, offset of the first)
+    before_phase, chunks = [0] * (max(queues, default=-1) + 1), 0
+    for lengths, n_chunks in plan:
+        wanted: dict[int, list[int]] = {}
+        for q in queues:
+            t, base = lengths[q], before_phase[q]
+            own = (queue == q) & (size > 0) & (at < base + t) & (at + size > base)
+            if t and own.any():
+                a, z = np.maximum(at[own] - base, 0), np.minimum(at[own] + size[own] - base, t)
+                first, last = chunks_of(a, t, n_chunks), chunks_of(z - 1, t, n_chunks)
+                thin = last - first >= z - a  # a short queue: not every chunk has a token of it
+                found = [first[~thin & (first + k <= last)] + k for k in range(int((last - first)[~thin].max(initial=-1)) + 1)]
+                if thin.any():
+                    found.append(chunks_of(np.concatenate([np.arange(i, j) for i, j in zip(a[thin].tolist(), z[thin].tolist())]), t, n_chunks))
+                for c in np.unique(np.concatenate(found)).tolist():
+                    wanted.setdefault(c, []).append(q)
+        for c in sorted(wanted):
+            before, offsets = chunk_plan(c, n_chunks, lengths, window)
+            for q in wanted[c]:
+                has = np.flatnonzero(np.diff(before[:, q]))
+                begin = before_phase[q] + lengths[q] * c // n_chunks
+                places[q].append((begin + before[has, q], begin + before[has + 1, q], (chunks + c) * stride + has, offsets[has, q]))
+        before_phase = [b + lengths[q] for q, b in enumerate(before_phase)]
+        chunks += n_chunks
+    first, many, have, tables = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), 0, []
+    for q in queues:
+        own, table = (queue == q) & (size > 0), [np.concatenate(x) for x in zip(*places[q])]
+        first[own] = have + np.searchsorted(table[0], at[own], side="right") - 1
+        many[own] = have + np.searchsorted(table[0], at[own] + size[own], side="left") - first[own]
+        tables.append(table)
+        have += len(table[0])
     if not have:
         return (np.zeros(0, np.int64),) * 5
-    p, s, o = np.concatenate(places), np.concatenate(sequences), np.concatenate(offsets)
+    begin, end, sequence, offset = (np.concatenate(x) for x in zip(*tables))
     doc = np.repeat(np.arange(len(at)), many)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
-    start = np.maximum(p[k], at[doc])
-    return doc, start - at[doc], np.minimum(p[k + 1], at[doc] + size[doc]) - start, s[k], o[k] + start - p[k]
+    start = np.maximum(begin[k], at[doc])
+    return doc, start - at[doc], np.minimum(end[k], at[doc] + size[doc]) - start, sequence[k], offset[k] + start - begin[k]
 
 
 def part_bytes(total: int) -> int:
@@ -196,9 +202,7 @@ def pack(
     width = encoder(vocabulary).dtype.itemsize
 
     def give(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(lo, BATCH_ROWS) for whole in batches for lo in range(0, whole.num_rows, BATCH_ROWS)):
             size, at = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
             names = b.column(1).dictionary_encode()
             of = np.array([number[s] for s in names.dictionary.to_pylist()] + [number.get(None, 0)])
