@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from vectorloom.llm.common import documents, settled
+from vectorloom.llm.common import documents, settled, small_batches
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 
@@ -22,6 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and blank texts are scored like any others, repeated rows each by itself, long texts whole. Without labels
     of both classes, all have one score.
     """
+    small_batches(spark)
     return toxicity.keep(docs, toxicity.learned(spark, docs, sf_dir))
 
 
@@ -38,6 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and blank texts have no shingles and stay. Rows that agree in id and text count as one.
     """
+    small_batches(spark)
     return near_dedup.keep(docs)
 
 
@@ -52,6 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as pieces of full windows, with their ids. Null and empty texts are the end id alone; null doc_ids come last in their queue."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), END_ID)
 
 
