@@ -40,7 +40,8 @@ def test_query_equals_its_sql(spark, duck, name):
     want = duck.execute(catalogue.SQL[name])
     order = [[d[0] for d in want.description].index(c) for c in cols]
     rows = sorted([tuple(plain(r[i]) for i in order) for r in want.fetchall()], key=repr)
-    assert sorted([tuple(plain(r[c]) for c in cols) for r in got.collect()], key=repr) == rows
+    have = sorted([tuple(plain(r[c]) for c in cols) for r in got.collect()], key=repr)
+    assert len(have) == len(rows) and not [p for p in zip(have, rows) if p[0] != p[1]][:3]  # a few, as long lists take long to compare
 
 
 def test_common_prefix_reads_all_turns(spark, tmp_path):

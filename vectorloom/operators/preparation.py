@@ -192,6 +192,8 @@ def carve(ids: DataFrame, shares: list[tuple[str, float]], seed: int) -> DataFra
     return ids.select("query_id").withColumn("place", place).select("query_id", split.alias("split"))
 
 
+# Fixed values of the next function: the tags that say how splits were made, the shares of a missing dev or test split,
+# and the shares where one pool has to give all three: 0.4/0.1/0.5 of a test or dev pool, 0.7/0.1/0.2 of a train pool.
 def ensure_splits(pools: dict[str, DataFrame], seed: int, dev_share: float = 0.1, test_share: float = 0.3) -> tuple[DataFrame, str]:
     """Train, dev and test from what pools there are, and how they were made; an error without any."""
     have = {k for k in ("train", "dev", "test") if k in pools}

@@ -462,9 +462,14 @@ def near_dup_groups(spark, sf):
     return P.groups(tied(spark, sf))
 
 
-@query("query_equals_doc", f"SELECT item_id AS query_id FROM benchmark WHERE sha256({NORM.format(x='text')}) IN (SELECT sha256({NORM.format(x='text')}) FROM documents)")
+@query("query_equals_doc", f"""WITH q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, '  ' || translate(text, 'aeiou', 'AEIOU') FROM documents WHERE lang <> 'de')
+SELECT query_id FROM q WHERE sha256({NORM.format(x='text')}) IN (SELECT sha256({NORM.format(x='text')}) FROM documents WHERE source <> 'src0')""")
 def query_equals_doc(spark, sf):
-    return P.queries_in_corpus(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, sf, "documents"), F.col("text"))
+    """Queries of the benchmark, and documents of all languages but one with other vowels, against the documents of all sources but one."""
+    d = table(spark, sf, "documents")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    q = q.unionByName(d.where("lang != 'de'").select((-1 - F.col("doc_id")).alias("query_id"), F.concat(F.lit("  "), F.translate("text", "aeiou", "AEIOU")).alias("text")))
+    return P.queries_in_corpus(q, d.where("source != 'src0'"), F.col("text"))
 
 
 SPLIT = "CASE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END"

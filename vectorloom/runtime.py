@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,4 +21,5 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(top.rglob("*.py")):
                 z.write(p, p.relative_to(top.parent))
     sc.addPyFile(f.name)
+    atexit.register(Path(f.name).unlink, missing_ok=True)  # executors have copies of their own
     sc._vectorloom_shipped = True
