@@ -21,6 +21,7 @@ from ..operators import reports as R
 from ..operators import retrieval as X
 from ..operators import statistics as S
 from ..operators import thresholds as H
+from ..operators.storage import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,7 +102,7 @@ def client_eval(spark, sf):
     q, d = vecs(spark, sf)
     c = clients(q)
     qrels = judged(q, d)
-    fp, cl = X.topk(q, d, 100), X.topk(c, d, 100)
+    fp, cl = cut(X.topk(q, d, 100)), cut(X.topk(c, d, 100))  # each is read twice
     a = M.evaluate(fp, qrels, q).select("query_id", F.col("ndcg").alias("ndcg_fp"), F.col("recall").alias("recall_fp"))
     b = M.evaluate(cl, qrels, q).select("query_id", F.col("ndcg").alias("ndcg_client"))
     cos = q.select("query_id", "v").join(c.select("query_id", F.col("v").alias("w")), "query_id").select("query_id", F.round(V.dot(F.col("v"), F.col("w")), 6).alias("cos"))
