@@ -8,7 +8,7 @@ other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,11 @@ from ..functions import vector as V
 
 #: Bytes of query vectors that are broadcast at most, and in a block beyond that; documents in a block.
 CHUNK_BYTES, DOC_BLOCK = 64 << 20, 100_000
-#: Queries that are scored at a time.
-STEP = 512
+#: Documents that a kernel gets at a time: at most so many, and at most so many bytes of their vectors. What a kernel
+#: gives grows with the number of such runs, not with that of Arrow's batches.
+RUN, RUN_BYTES = 65_535, 32 << 20
+#: Queries that are scored at a time, and the documents of a run that they are scored against at a time.
+STEP, TILE = 512, 4_096
 DIGITS = 6
 
 
@@ -36,30 +39,32 @@ def rank(scored: DataFrame, k: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= k) if k else out
 
 
-def blocks(queries: DataFrame, docs: DataFrame, kernel: Callable, schema: str, chunk_bytes: int = CHUNK_BYTES, doc_block: int = DOC_BLOCK) -> DataFrame:
-    """What `kernel` gives for blocks of queries (query_id, v, and more columns) and documents (doc_id, v), in `schema`.
+def blocks(queries: DataFrame, docs: DataFrame, kernel: Callable, schema: str, chunk_bytes: int = CHUNK_BYTES, doc_block: int = DOC_BLOCK, more: tuple[str, ...] = (), row_bytes: int = 0) -> DataFrame:
+    """What `kernel` gives for blocks of queries (query_id, v, and more columns) and documents (doc_id, v, and `more`), in `schema`.
 
-    kernel(table of queries, document ids, document vectors) yields Arrow batches; every query meets every
-    document once. Null vectors are left out.
+    kernel(table of queries, document ids, document vectors, more columns) yields Arrow batches; every query meets
+    every document once. A kernel that is a class has an object for each task, which may gather until its rest() is
+    called. row_bytes is what a query holds besides its vectors. Null vectors are left out.
     """
     spark = docs.sparkSession
-    queries, docs = queries.where("v is not null"), docs.select("doc_id", "v").where("v is not null")
+    queries, docs = queries.where("v is not null"), docs.select("doc_id", "v", *more).where("v is not null")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    chunks = -(-(size["n"] * (size["d"] or 1) * 8 * sum("array" in t for _, t in queries.dtypes)) // chunk_bytes)
+    chunks = -(-(size["n"] * ((size["d"] or 1) * 8 * sum("array" in t for _, t in queries.dtypes) + row_bytes)) // chunk_bytes)
     if not chunks:
         return spark.createDataFrame([], schema)
-    if chunks == 1:
-        sent = spark.sparkContext.broadcast(queries.toArrow().combine_chunks())
 
-        def work(batches):
-            own = sent.value
-            for b in batches:
-                if b.num_rows:
-                    doc, d = b.column(0).to_numpy(), matrix(b.column(1))
-                    for i in range(0, own.num_rows, STEP):
-                        yield from kernel(own.slice(i, STEP), doc, d)
+    def scored(own, parts):
+        k = kernel() if isinstance(kernel, type) else kernel
+        for b in runs(parts):
+            d = matrix(b["v"])
+            for i in range(0, own.num_rows, STEP):
+                yield from k(own.slice(i, STEP), b["doc_id"].to_numpy(), d, *[b[c] for c in more])
+        if isinstance(kernel, type):
+            yield from k.rest()
 
-        return docs.mapInArrow(work, schema)
+    if chunks == 1:
+        sent = spark.sparkContext.broadcast(queries.toArrow().combine_chunks())
+        return docs.mapInArrow(lambda batches: scored(sent.value, batches), schema)
     n_docs = max(1, -(-docs.count() // doc_block))
     spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -68,17 +73,30 @@ def blocks(queries: DataFrame, docs: DataFrame, kernel: Callable, schema: str, c
     names = queries.columns
 
     def meet(a, b):
-        out = []
-        if a.num_rows and b.num_rows:
-            a, doc, d = a.select(names).combine_chunks(), b["doc_id"].to_numpy(), matrix(b["v"])
-            for i in range(0, a.num_rows, STEP):
-                out += kernel(a.slice(i, STEP), doc, d)
+        out = list(scored(a.select(names).combine_chunks(), b.to_batches())) if a.num_rows and b.num_rows else []
         return pa.Table.from_batches(out) if out else empty
 
     empty = spark.createDataFrame([], schema).toArrow()
     return left.groupBy("__q", "__d").cogroup(right.groupBy("__q", "__d")).applyInArrow(meet, schema)
 
 
+def runs(batches) -> Iterator[pa.Table]:
+    """Batches of documents, put together to tables of at most RUN rows and about RUN_BYTES."""
+    held, n = [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            most = max(1, min(RUN, RUN_BYTES // (8 * max(1, len(b["v"][at])))))
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+            part = b.slice(at, most - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def scores_of(own: pa.Table, doc: np.ndarray, d: np.ndarray, column: str = "v", mask_self: bool = True, masked: float = -np.inf) -> np.ndarray:
     """Scores of a block, rounded; with mask_self a query's own id has `masked`."""
     s = np.round(matrix(own[column]) @ d.T, DIGITS)
@@ -95,16 +113,51 @@ def topk(queries: DataFrame, docs: DataFrame, k: int, mask_self: bool = True, ch
     """
 
     def best(own, doc, d):
-        s = scores_of(own, doc, d, mask_self=mask_self)
-        # all that reach the k-th best, so that ties are cut by the final ranking
-        edge = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        r, x = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
-        yield pa.RecordBatch.from_arrays([own["query_id"].combine_chunks().take(pa.array(r)), pa.array(doc[x]), pa.array(s[r, x])], ["query_id", "doc_id", "score"])
+        q, ids, place = matrix(own["v"]), own["query_id"].to_numpy(), np.argsort(np.argsort(doc, kind="stable"))
+        # single precision tells who may be among the best, as far as it errs at most; those are scored in double precision
+        q32, d32 = q.astype(np.float32), d.astype(np.float32)
+        room = 10.0**-DIGITS + (q.shape[1] + 8) * 2.0**-23 * _longest(q) * _longest(d)
+        edge, held = np.full(len(q), -np.inf), []
+        for at in range(0, len(d), TILE):
+            s = q32 @ d32[at : at + TILE].T
+            if at == 0 and s.shape[1] > k + 1:
+                # k of the first tile reach this, even without the query itself
+                edge = np.partition(np.fmax(s, -np.inf), -k - 1, axis=1)[:, -k - 1].astype(float) - room
+            hit = np.flatnonzero(s >= (edge - room).astype(np.float32)[:, None])
+            r, x = hit // s.shape[1], hit % s.shape[1] + at
+            if mask_self:
+                other = ids[r] != doc[x]
+                r, x = r[other], x[other]
+            s = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", q[r[i : i + STEP * 16]], d[x[i : i + STEP * 16]]) for i in range(0, len(r), STEP * 16))])
+            held.append((r, x, np.round(s, DIGITS)))
+            if at + TILE >= len(d) or sum(len(h[0]) for h in held) > 4 * k * len(q):
+                held = [_first(*map(np.concatenate, zip(*held)), place, k, edge)]
+        r, x, s = held[0]
+        yield pa.RecordBatch.from_arrays([own["query_id"].combine_chunks().take(pa.array(r)), pa.array(doc[x]), pa.array(s)], ["query_id", "doc_id", "score"])
 
     schema = f"query_id {_kind(queries, 'query_id')}, doc_id {_kind(docs, 'doc_id')}, score double"
     return rank(blocks(queries.select("query_id", "v"), docs, best, schema, chunk_bytes, doc_block), k)
 
 
+def _longest(m: np.ndarray) -> float:
+    n = np.sqrt(np.einsum("ij,ij->i", m, m))
+    return float(n[np.isfinite(n)].max(initial=0.0))
+
+
+def _first(r: np.ndarray, x: np.ndarray, s: np.ndarray, place: np.ndarray, k: int, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score, then smaller place) of each query r; `edge` is raised to the k-th best where there are k."""
+    if len(s) and np.abs(s).max() < 30_000 and max(len(edge), 1) <= 1 << 10 and len(place) <= 1 << 17:  # all of them in one number
+        o = np.argsort(r << 53 | (3 * 10**10 - np.rint(s * 10**DIGITS).astype(np.int64)) << 17 | place[x])
+    else:
+        o = np.lexsort((place[x], -s, r))
+    r, x, s = r[o], x[o], s[o]
+    start = np.searchsorted(r, np.arange(len(edge) + 1))
+    full = np.flatnonzero(np.diff(start) >= k)
+    edge[full] = np.maximum(edge[full], s[start[full] + k - 1])
+    keep = np.arange(len(r)) - start[r] < k
+    return r[keep], x[keep], s[keep]
+
+
 def pair_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of given pairs alone."""
     j = pairs.select("query_id", "doc_id").join(queries.select("query_id", F.col("v").alias("qv")), "query_id").join(docs.select("doc_id", F.col("v").alias("dv")), "doc_id")
@@ -118,12 +171,31 @@ CODES = 2 * 10**DIGITS + 1
 def histogram(queries: DataFrame, docs: DataFrame, mask_self: bool = True) -> DataFrame:
     """(code, n): how many pairs have a score of code millionths; at most CODES rows for unit vectors, whatever the number of pairs."""
 
-    def count(own, doc, d):
-        s = scores_of(own, doc, d, mask_self=mask_self, masked=np.nan)
-        code, n = np.unique(np.rint(s[~np.isnan(s)] * 10**DIGITS).astype(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+    class Count:
+        """Adds up what a task sees; a task gives a row for each code once, not for each block."""
+
+        def __init__(self):
+            self.n = np.zeros(CODES, np.int64)
+
+        def __call__(self, own, doc, d):
+            top = CODES // 2
+            for at in range(0, len(d), TILE):
+                s = scores_of(own, doc[at : at + TILE], d[at : at + TILE], mask_self=mask_self, masked=np.nan)
+                code = np.rint(s[~np.isnan(s)] * 10**DIGITS).astype(np.int64)
+                if len(far := code[np.abs(code) > top]):  # no unit vectors
+                    yield self.batch(*np.unique(far, return_counts=True))
+                    code = code[np.abs(code) <= top]
+                self.n += np.bincount(code + top, minlength=CODES)
+
+        def rest(self):
+            code = np.flatnonzero(self.n)
+            yield self.batch(code - CODES // 2, self.n[code])
+
+        @staticmethod
+        def batch(code, n):
+            return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
 
-    return blocks(queries.select("query_id", "v"), docs, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return blocks(queries.select("query_id", "v"), docs, Count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def ranks_of(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
