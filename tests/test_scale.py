@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom.operators import metrics as M
 from vectorloom.operators import retrieval as X
 from vectorloom.operators import thresholds as H
+from vectorloom.plans import catalogue as C
 
 
 def labelled(spark, n=400, step=5, dim=6, copies=1):
@@ -38,3 +40,18 @@ def test_best_prefix_sends_no_lists_of_relevant_documents(spark, monkeypatch):
     monkeypatch.setattr(X, "blocks", lambda own, *a, **k: sent.append([t for _, t in own.dtypes]) or blocks(own, *a, **k))
     H.best_prefix(q, d).collect()
     assert len(sent) == 2 and all("array<bigint>" not in t for t in sent)
+
+
+def test_judgements_by_labels_equal_those_by_pairs(spark):
+    q, d = labelled(spark)
+    q = q.unionByName(q.where("query_id = 10")).unionByName(q.where("query_id = 15").withColumn("label", F.lit(2)))  # ids that repeat
+    ranked, j, p = X.topk(q.dropDuplicates(["query_id"]), d, 100), M.SameLabel(q, d), pairs(q, d)
+    assert rows(M.evaluate(ranked, j, q)) == rows(M.evaluate(ranked, p, q))
+    assert rows(M.evaluate_run(ranked, j)) == rows(M.evaluate_run(ranked, p))
+
+
+def test_no_judged_pair_is_a_row(spark):
+    """What is joined and aggregated for the ideal rankings has a row for each query and grade, not for each pair."""
+    q, d = labelled(spark)
+    assert isinstance(C.judged(q, d.drop("grade")), M.SameLabel)
+    assert M.SameLabel(q, d)._counts().count() <= 2 * q.count() and M.SameLabel(q, d).ideal((10,)).count() <= q.count()

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 DIGITS = 6
 
 
@@ -61,13 +63,14 @@ def readouts(plain: DataFrame, variants: dict[str, DataFrame], value: str, n: in
 
 def interval(sample: DataFrame, n: int, seed: int, alpha: float = 0.05, value: str = "d") -> DataFrame:
     """One row (n, mean, lo, hi): mean with a bootstrap interval of linear quantiles; nulls where there is no value."""
-    ok = sample.where(F.col(value).isNotNull())
+    ok = cut(sample.select("query_id", value).where(F.col(value).isNotNull()))  # a number for each query, read three times
     q = replicate_means(ok, n, seed, value).agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     return ok.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).crossJoin(q).select("n", _r("mean").alias("mean"), _r(F.col("q")[0]).alias("lo"), _r(F.col("q")[1]).alias("hi"))
 
 
 def interval_by_order(sample: DataFrame, n: int, seed: int, value: str = "d") -> DataFrame:
     """The same with order statistics at int(0.025 n) and int(0.975 n)."""
+    sample = cut(sample.select("query_id", value))
     s = replicate_means(sample, n, seed, value).agg(F.sort_array(F.collect_list("m")).alias("s"))  # n numbers
     at = lambda p: F.element_at("s", min(int(p * n), n - 1) + 1)
     return sample.agg(F.count("*").alias("n"), F.avg(value).alias("mean")).crossJoin(s).select("n", _r("mean").alias("mean"), _r(at(0.025)).alias("lo"), _r(at(0.975)).alias("hi"))
