@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import metrics as M
+from vectorloom.operators import preparation as P
 from vectorloom.operators import retrieval as X
 from vectorloom.operators import thresholds as H
 from vectorloom.plans import catalogue as C
@@ -55,3 +56,23 @@ def test_no_judged_pair_is_a_row(spark):
     q, d = labelled(spark)
     assert isinstance(C.judged(q, d.drop("grade")), M.SameLabel)
     assert M.SameLabel(q, d)._counts().count() <= 2 * q.count() and M.SameLabel(q, d).ideal((10,)).count() <= q.count()
+
+
+def test_near_pairs_join_a_tenth_of_the_items_and_miss_none(spark, monkeypatch):
+    """Texts with a common beginning: whatever is held for frequent, and with ids broadcast or not, pairs are those of a plain comparison."""
+    rng, text = np.random.default_rng(5), {}
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 400, 60)]
+        text[2 * i] = "the same few words begin every one of these texts " + " ".join(w)
+        w[int(rng.integers(0, 60))] = "other"
+        text[2 * i + 1] = text[2 * i] if i % 7 == 0 else "the same few words begin every one of these texts " + " ".join(w)
+    c = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in text.items()}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for few, known in ((P.FEW_IDS, 10), (0, 0)):
+        monkeypatch.setattr(P, "FEW_IDS", few)
+        monkeypatch.setattr(P, "FREQUENT", known)
+        assert {(r["a"], r["b"]): r["jaccard"] for r in P.near_pairs(c, F.col("text"), 0.8).collect()} == want
+    s = P.shingle_sets(c, F.col("text")).withColumnRenamed("doc_id", "rep")
+    got = P.prefixes(s, P.frequent(s, 120), 0.9).groupBy("item").count().orderBy(F.desc("count")).collect()
+    assert sum(r["count"] for r in got) <= 120 * 8 and got[0]["count"] <= 4  # of about 65 each; no frequent one

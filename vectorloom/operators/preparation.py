@@ -6,6 +6,8 @@ Random choices are by the order of a seeded MD5, so that they are the same on an
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,30 +60,74 @@ def shingle_sets(corpus: DataFrame, text: Column, size: int = 5, max_chars: int
 def near_pairs(corpus: DataFrame, text: Column, threshold: float = 0.9, size: int = 5) -> DataFrame:
     """(a, b, jaccard) of all pairs of different sets at or above the threshold, by prefix filtering, so that none is missed.
 
-    Sets that reach the threshold share one of their (1 - t) n + 1 rarest items; only those are joined on, then
-    the full sets are compared. Documents with equal sets are compared once and tied to the first of them.
+    In whatever order of all items, sets that reach the threshold share one of their first (1 - t) n + 1 items; only
+    those are joined on, then the full sets are compared. The order is that of the hashes, frequent items last. Which
+    are frequent is estimated from SAMPLE sets: that changes how many pairs are compared, never which are found.
+    Documents with equal sets are compared once and tied to the first of them. Items leave their place only where a
+    set is compared.
     """
     from .storage import cut
 
     # sorted, so that equal sets have equal signatures; worked out once, as what follows reads it several times
     sets = shingle_sets(corpus, text, size).select("doc_id", "n", F.array_sort("items").alias("items"))
     sets = cut(sets.withColumn("sig", F.md5(F.array_join(F.col("items").cast("array<string>"), ","))))
-    one = cut(sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("items").alias("items")))
-    item = one.select("rep", "n", F.explode("items").alias("item"))
-    often = item.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")  # an item of one set cannot be shared
-    ranked = item.join(often, "item", "left").withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "item")))
-    prefix = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & F.col("df").isNotNull()).select("rep", "n", "item")
+    reps = cut(sets.groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    n_reps = reps.count()
+    one = _of_ids(sets.withColumnRenamed("doc_id", "rep"), reps, n_reps)
+    prefix = prefixes(one, frequent(one, n_reps), threshold)
     x, y = prefix.alias("x"), prefix.alias("y")
     close = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold)
-    cand = x.join(y, (F.col("x.item") == F.col("y.item")) & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    left = one.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
-    right = one.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
+    cand = cut(x.join(y, (F.col("x.item") == F.col("y.item")) & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    ids = cut(cand.select(F.col("a").alias("rep")).unionByName(cand.select(F.col("b").alias("rep"))).distinct())
+    some = _of_ids(sets.select(F.col("doc_id").alias("rep"), "items"), ids, ids.count())
+    left = some.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
+    right = some.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
     both = F.size(F.array_intersect("ia", "ib"))
     pairs = cand.join(left, "a").join(right, "b").withColumn("jaccard", both / (F.size("ia") + F.size("ib") - both)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    same = sets.join(one.select("sig", "rep"), "sig").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    same = sets.select("doc_id", "sig").join(reps, "sig").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
     return pairs.unionByName(same).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+#: Ids that are broadcast at most; sets that frequent items are estimated from, and how many of these are known at most.
+FEW_IDS, SAMPLE, FREQUENT = 4_000_000, 50_000, 1_000_000
+
+
+def _of_ids(sets: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The sets of given ids (all columns of `ids`); few ids are broadcast, so that the sets stay where they are."""
+    return sets.join(F.broadcast(ids) if n <= FEW_IDS else ids, ids.columns, "left_semi")
+
+
+def frequent(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Items that at least two of about SAMPLE of n sets (rep, items) have, in ascending order, and how often."""
+    some = sets.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // SAMPLE))) == 0)
+    count = some.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    t = count.orderBy(F.desc("df"), "item").limit(FREQUENT).orderBy("item").toArrow()
+    return t["item"].to_numpy(), t["df"].to_numpy()
+
+
+def prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """(rep, n, item): the first n - ceil(t n) + 1 items of each set (rep, n, items), frequent ones last."""
+    sent = sets.sparkSession.sparkContext.broadcast(often)
+
+    def work(batches):
+        known, df = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):  # some at a time, as sets can be large
+                part = b.slice(at, 256)
+                n, item = part.column("n").to_numpy(), part.column("items").flatten().to_numpy()
+                row, weight = np.repeat(np.arange(len(n)), n), np.zeros(len(item), np.int64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, item), len(known) - 1)
+                    weight = np.where(known[i] == item, df[i], 0)
+                o = np.lexsort((item, weight, row))
+                keep = np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(n - np.ceil(n * threshold) + 1, n)
+                row, item = row[keep], item[o][keep]
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(n[row]), pa.array(item)], ["rep", "n", "item"])
+
+    kind = dict(sets.dtypes)
+    return sets.select("rep", "n", "items").mapInArrow(work, f"rep {kind['rep']}, n int, item long")
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, group_id): connected components of pairs (a, b), named by their smallest member.
 
